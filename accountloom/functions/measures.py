@@ -117,8 +117,8 @@ def excluded_reason(facility: Column, parent: Column, operator: Column,
 
 
 def fingerprint(*parts: Column) -> Column:
-    """First sixteen hex digits of SHA-256 over the parts, NUL-separated."""
-    return F.substring(F.sha2(F.concat_ws("\u0000", *parts), 256), 1, 16)
+    """First sixteen hex digits of SHA-256 over the parts, joined by the unit separator."""
+    return F.substring(F.sha2(F.concat_ws("\u001f", *parts), 256), 1, 16)
 
 
 def pseudonym(c: Column) -> Column:

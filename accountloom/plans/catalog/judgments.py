@@ -1 +1,226 @@
-"""."""
+"""Queries over stored judgments: evidence, answers, composition and the gate."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from accountloom import refdata as R
+from accountloom.functions.measures import fingerprint
+from accountloom.operators import judgments as J
+from accountloom.operators.ordering import top_n
+from accountloom.plans.catalog import query
+from accountloom.plans.catalog.water import ACCOUNTS_SQL, water_run
+
+VERSIONS = {"rules_version": R.RULES_VERSION, "prompt_version": R.PROMPT_VERSION,
+            "model_version": "judge-1"}
+
+
+def _accounts(spark, folder) -> DataFrame:
+    return water_run(spark, folder).accounts.withColumn("sheddability", F.col("icp.components.sheddability"))
+
+
+def _states(spark, folder) -> DataFrame:
+    run = water_run(spark, folder)
+    return J.build_states(run.accounts, run.keyed_sites.withColumn("account_key", F.col("key")))
+
+
+def _sidecar(accounts: DataFrame) -> DataFrame:
+    """A judgment table that follows from the accounts: two rows per account, so
+    that the newer one must win, over every level, source and probability."""
+    n, lb = F.col("sites"), F.col("chlorine_lb")
+    turn = accounts.select("account_key", "account", n, lb, "accidents", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    level = ((lb / 500).cast("long") + F.col("turn")) % 5
+    return turn.select(
+        fingerprint(F.col("account_key"), F.col("turn").cast("string")).alias("request_hash"),
+        fingerprint(F.col("account"), F.col("turn").cast("string")).alias("response_hash"),
+        F.lit(R.PROMPT_VERSION).alias("prompt_version"), F.lit("judge-1").alias("model_version"),
+        F.when((n + F.col("turn")) % 7 == 0, "mock").when((n + F.col("turn")) % 7 == 1, "live").otherwise("engine").alias("source"),
+        "account",
+        F.struct(
+            level.cast("int").alias("buffer_level_top"),
+            F.when((lb / 1000).cast("long") % 3 == 0, 0.91).otherwise(0.42).alias("buffer_p_top"),
+            F.when(F.col("accidents") % 6 == 5, 0.7).otherwise(0.12).alias("continuous_p_yes"),
+            F.lit(0.9).alias("regulated_p_yes")).alias("judgments"),
+        F.when(F.col("turn") == 0, "2026-01-01T00:00:00Z").otherwise("2026-02-01T00:00:00Z").alias("judged_at"))
+
+
+_SIDE = ACCOUNTS_SQL + """,
+side AS (SELECT account, turn,
+    CASE WHEN (sites + turn) % 7 = 0 THEN 'mock' WHEN (sites + turn) % 7 = 1 THEN 'live' ELSE 'engine' END AS source,
+    (floor(chlorine_lb / 500)::BIGINT + turn) % 5 AS top,
+    CASE WHEN floor(chlorine_lb / 1000)::BIGINT % 3 = 0 THEN 0.91 ELSE 0.42 END::DOUBLE AS p,
+    CASE WHEN accidents % 6 = 5 THEN 0.7 ELSE 0.12 END::DOUBLE AS cont,
+    substr(sha256(account_key || chr(31) || turn), 1, 16) AS request_hash,
+    substr(sha256(account || chr(31) || turn), 1, 16) AS response_hash
+  FROM accounts, (VALUES (0), (1)) t(turn)),
+latest AS (SELECT * FROM side WHERE turn = 1),
+j0 AS (
+  SELECT a.account, icp_score AS baseline_score, sheddability AS baseline_shed, source, top, p, cont,
+    request_hash, response_hash,
+    meter_size + price_exposure + sheddability + operating_signal + channel_fit AS parts,
+    CASE WHEN buffer_class LIKE 'elevated%' THEN 'elevated_any' WHEN buffer_class LIKE 'wet-well%' THEN 'wet_well_only'
+         WHEN buffer_class LIKE 'mixed%' THEN 'mixed' ELSE 'unknown' END AS rule_buffer,
+    CASE top WHEN 0 THEN 'wet_well_only' WHEN 1 THEN 'unknown' WHEN 2 THEN 'mixed' WHEN 3 THEN 'elevated_weak' ELSE 'elevated_strong' END AS top_name
+  FROM accounts a JOIN latest l ON a.account = l.account),
+j1 AS (SELECT *, CASE WHEN rule_buffer = 'elevated_any' THEN top >= 3 ELSE top_name = rule_buffer END AS agr FROM j0),
+j2 AS (SELECT *, CASE WHEN source = 'mock' THEN 'mock_source_no_lift' WHEN source = 'live' THEN 'legacy_live_frozen_no_lift'
+    WHEN cont >= 0.5 THEN 'continuous_suspect_demote'
+    WHEN top = 4 AND p >= 0.85 AND rule_buffer = 'elevated_any' THEN 'calibrated_high_lift'
+    WHEN top = 0 THEN 'wet_well_physics_floor'
+    WHEN NOT agr AND p >= 0.85 THEN 'judge_contradicts_rule_demote'
+    WHEN agr THEN 'agree_keep_cap' ELSE 'insufficient_evidence_keep_cap' END AS note FROM j1),
+j3 AS (SELECT *, CASE WHEN note IN ('continuous_suspect_demote', 'judge_contradicts_rule_demote') THEN least(baseline_shed, 10)
+    WHEN note = 'calibrated_high_lift' AND baseline_shed <= 15 THEN greatest(baseline_shed, 20)
+    WHEN note = 'wet_well_physics_floor' THEN least(baseline_shed, 9) ELSE baseline_shed END::BIGINT AS shed,
+    note = 'calibrated_high_lift' AS lifted FROM j2),
+results AS (SELECT account, baseline_score, least(100, parts - baseline_shed + shed)::BIGINT AS final_score,
+    baseline_shed, shed, lifted, rule_buffer, top_name AS judge_buffer_top, p AS judge_p_top, cont AS continuous_p_yes,
+    0.9::DOUBLE AS regulated_p_yes, source, note, request_hash, response_hash,
+    CASE WHEN agr THEN 'yes' ELSE 'no' END AS agreement,
+    NOT lifted AND agr AND source = 'engine' AND p >= 0.85 AS confirm_candidate,
+    CASE WHEN cont >= 0.5 THEN 'continuous_suspect' ELSE '' END AS review_flag,
+    CASE WHEN cont >= 0.5 THEN 'human-review' WHEN NOT agr AND note LIKE '%demote%' THEN 'demote'
+      WHEN NOT lifted AND agr AND source = 'engine' AND p >= 0.85 THEN 'confirm-candidate'
+      WHEN lifted THEN 'lifted' ELSE 'keep' END AS disposition FROM j3)"""
+
+
+def _composed(spark, folder) -> DataFrame:
+    accounts = _accounts(spark, folder)
+    parts = sum((F.col(f"icp.components.{c}") for c in (
+        "meter_size", "price_exposure", "sheddability", "operating_signal", "channel_fit")), F.lit(0))
+    return J.compose(accounts.withColumn("parts_total", parts), J.latest_judgments(_sidecar(accounts)))
+
+
+@query("judgment_compose", _SIDE + """
+SELECT *, final_score - baseline_score AS delta, 'optb-v1' AS rules_version, 'judge-1' AS model_version,
+  'uc1-water-v1' AS prompt_version, 'deterministic' AS qualification_basis, true AS judged FROM results""")
+def judgment_compose(spark, folder):
+    return _composed(spark, folder)
+
+
+@query("judgment_counts", _SIDE + """
+SELECT source, disposition, count(*) AS n, count(*) FILTER (lifted) AS lifted FROM results GROUP BY ALL""")
+def judgment_counts(spark, folder):
+    return J.run_counts(_composed(spark, folder))
+
+
+def _old_snapshot(results: DataFrame) -> DataFrame:
+    return results.select("account", F.col("baseline_score").alias("score"),
+                          F.lit("optb-v0").alias("rules_version"),
+                          F.lit(R.PROMPT_VERSION).alias("prompt_version"),
+                          F.lit("judge-1").alias("model_version"))
+
+
+@query("judgment_gate", _SIDE + """,
+v AS (SELECT count(*) FILTER (final_score <> baseline_score) AS moved FROM results)
+SELECT account, CASE WHEN moved > 5 THEN baseline_score ELSE final_score END AS final_score,
+  CASE WHEN moved > 5 THEN 'quarantined_fallback' ELSE disposition END AS disposition,
+  CASE WHEN moved > 5 THEN 'eval_gate_fail:' || note ELSE note END AS note,
+  CASE WHEN moved > 5 THEN false ELSE lifted END AS lifted FROM results, v""")
+def judgment_gate(spark, folder):
+    """A rules change against a pinned snapshot: too many moves strip every lift."""
+    results = _composed(spark, folder)
+    verdict = J.gate_verdict(results, _old_snapshot(results), VERSIONS)
+    return J.quarantine(results, verdict).select(
+        "account", "final_score", "disposition", "note", "lifted")
+
+
+@query("judgment_gate_verdict", _SIDE + """
+SELECT count(*) FILTER (final_score <> baseline_score) AS moved, true AS armed,
+  count(*) FILTER (final_score <> baseline_score) <= 5 AS passed FROM results""")
+def judgment_gate_verdict(spark, folder):
+    results = _composed(spark, folder)
+    return J.gate_verdict(results, _old_snapshot(results), VERSIONS)
+
+
+@query("judgment_snapshot", _SIDE + """,
+v AS (SELECT count(*) FILTER (final_score <> baseline_score) AS moved FROM results)
+SELECT account, CASE WHEN moved > 5 THEN baseline_score ELSE final_score END AS score,
+  CASE WHEN moved > 5 THEN 'optb-v0' ELSE 'optb-v1' END AS rules_version FROM results, v""")
+def judgment_snapshot(spark, folder):
+    """A failed gate does not advance the pinned snapshot."""
+    results = _composed(spark, folder)
+    snapshot = _old_snapshot(results)
+    verdict = J.gate_verdict(results, snapshot, VERSIONS)
+    return J.next_snapshot(results, snapshot, verdict, VERSIONS).select("account", "score", "rules_version")
+
+
+_STATES = ACCOUNTS_SQL + """,
+first_names AS (SELECT key, trim(facility_name) || ' (' || city || ', ' || state || ')' AS shown, ord,
+    row_number() OVER (PARTITION BY key, lower(trim(facility_name)) ORDER BY ord) AS rn FROM keyed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS pos, count(*) OVER (PARTITION BY key) AS n
+  FROM first_names WHERE rn = 1),
+states_of AS (
+  SELECT key AS account_key, string_agg(shown, ' | ' ORDER BY pos) FILTER (pos <= 8) AS names, greatest(0, max(n) - 8) AS overflow
+  FROM numbered GROUP BY key)"""
+
+
+@query("judgment_states", _STATES + """
+SELECT a.account_key, account, primary_naics AS vertical_naics, state_list AS states, sites AS site_count,
+  chlorine_lb AS total_chlorine_lb, names, overflow FROM accounts a JOIN states_of USING (account_key)""")
+def judgment_states(spark, folder):
+    return _states(spark, folder).select(
+        "account_key", "account", "vertical_naics", "states", "site_count", "total_chlorine_lb",
+        F.array_join("site_names_sample", " | ").alias("names"),
+        F.col("additional_sites_not_listed").alias("overflow"))
+
+
+@query("judgment_rule_judge", _STATES + """,
+t AS (SELECT account, lower(names) AS names FROM accounts JOIN states_of USING (account_key)),
+f AS (SELECT account, regexp_matches(names, 'elevat|storage tank|pumping station|pump station|distribution|reservoir|standpipe|boost') AS elev,
+  regexp_matches(names, 'sewer|wastewater|waste water|pollution control') AS sewer,
+  regexp_matches(names, 'treatment|plant|wwtp|reclamation|resource recovery') AS treat,
+  regexp_matches(names, 'fertilizer|chemical|refinery|mill|plant site \\d') AS ind FROM t)
+SELECT account, 'mock' AS source,
+  CASE WHEN elev AND NOT sewer THEN 4 WHEN elev THEN 2 WHEN sewer THEN 0 WHEN treat THEN 3 ELSE 1 END::INTEGER AS top,
+  CASE WHEN elev AND NOT sewer THEN 0.65 WHEN elev THEN 0.55 WHEN sewer THEN 0.72 WHEN treat THEN 0.6 ELSE 0.55 END::DOUBLE AS p_top,
+  CASE WHEN ind THEN 0.85 ELSE 0.06 END::DOUBLE AS continuous_p_yes, CASE WHEN ind THEN 0.3 ELSE 0.9 END::DOUBLE AS regulated_p_yes FROM f""")
+def judgment_rule_judge(spark, folder):
+    rows = J.judge_by_rules(_states(spark, folder), "2026-01-01T00:00:00Z")
+    return rows.select("account", "source", F.col("judgments.buffer_level_top").alias("top"),
+                       F.col("judgments.buffer_p_top").alias("p_top"),
+                       F.col("judgments.continuous_p_yes").alias("continuous_p_yes"),
+                       F.col("judgments.regulated_p_yes").alias("regulated_p_yes"))
+
+
+@query("judgment_cache_split", ACCOUNTS_SQL + """
+SELECT account, rank % 2 = 0 AS cached FROM accounts""")
+def judgment_cache_split(spark, folder):
+    """Evidence already judged (every second rank here) against evidence still to judge."""
+    states = J.with_request_hash(_states(spark, folder), R.PROMPT_VERSION, "judge-1")
+    ranks = water_run(spark, folder).accounts.filter("rank % 2 = 0").select("account_key")
+    sidecar = states.join(ranks, "account_key", "left_semi").select("request_hash")
+    done, todo = J.split_by_cache(states, sidecar)
+    return done.select("account", F.lit(True).alias("cached")).unionByName(
+        todo.select("account", F.lit(False).alias("cached")))
+
+
+@query("judgment_targets", ACCOUNTS_SQL + "SELECT account, rank FROM accounts ORDER BY rank LIMIT 50")
+def judgment_targets(spark, folder):
+    """The labelled set: the fifty best-ranked accounts."""
+    return top_n(water_run(spark, folder).accounts, 50, F.asc("rank")).select("account", "rank")
+
+
+@query("judgment_top_scores", _SIDE + """
+SELECT account, final_score, disposition FROM results JOIN (SELECT account, rank FROM accounts) USING (account)
+ORDER BY final_score DESC, rank LIMIT 12""")
+def judgment_top_scores(spark, folder):
+    results = _composed(spark, folder).join(
+        water_run(spark, folder).accounts.select("account", "rank"), "account")
+    return top_n(results, 12, F.desc("final_score"), F.asc("rank")).select(
+        "account", "final_score", "disposition")
+
+
+@query("export_eligibility", _SIDE + """
+SELECT account, CASE WHEN lifted THEN 'judged' ELSE 'deterministic' END AS basis, NOT lifted AS eligible,
+  CASE WHEN lifted THEN 'judged, pending confirmation' END AS held_reason FROM results""")
+def export_eligibility(spark, folder):
+    """Lifted accounts rest on a judgment alone here, so they are listed as held."""
+    from accountloom.operators.gates import export_split
+
+    rows = _composed(spark, folder).withColumn(
+        "qualification_basis", F.when(F.col("lifted"), "judged").otherwise("deterministic"))
+    eligible, held = export_split(rows)
+    return eligible.unionByName(held).select(
+        "account", F.col("qualification_basis").alias("basis"), "eligible", "held_reason")
