@@ -1 +1,46 @@
-"""."""
+"""Queries that run the event streams to the end and read the resulting tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from accountloom.plans.catalog import query
+from accountloom.sources.driver_tables import table
+from accountloom.streaming import events as E
+
+
+def _stream(spark, folder):
+    return E.read_events(spark, f"{folder}/events*.parquet", table(spark, folder, "events").schema)
+
+
+@query("stream_dedup", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_dedup(spark, folder):
+    """Every event is delivered twice and comes out once."""
+    twice = _stream(spark, folder).unionByName(_stream(spark, folder))
+    once = E.drop_repeats(twice, ["event_id"], "ts", "1 hour").select("event_id", "user_id", "event_type", "value")
+    return E.run_to_table(once, E.work_folder(spark, "stream-dedup"))
+
+
+@query("stream_counts", """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id, event_type, count(*) AS n
+FROM events GROUP BY ALL
+HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def stream_counts(spark, folder):
+    """Hourly counts per user and action for every window the watermark has closed."""
+    counts = E.hourly_counts(_stream(spark, folder), "ts", ["user_id", "event_type"], "2 hours")
+    return E.run_to_table(counts, E.work_folder(spark, "stream-counts")).withColumn(
+        "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_late", """
+SELECT event_id, 'late_event' AS kind, 'arrived after its window was closed' AS reason FROM events
+WHERE event_type = 'error' AND ts < (SELECT max(ts) FROM events WHERE event_type <> 'error') - INTERVAL 1 DAY""")
+def stream_late(spark, folder):
+    """Errors land after all other events; those more than a day behind are queued."""
+    events = table(spark, folder, "events")
+    home = E.work_folder(spark, "stream-late")
+    landing = f"{home}/landing"
+    for arrival in ("event_type <> 'error'", "event_type = 'error'"):
+        events.filter(arrival).write.mode("append").parquet(landing)
+        E.run_with_late_queue(E.read_events(spark, landing, events.schema), "ts", 86_400, home)
+    return E.late_queue(spark, events.schema, home).select("event_id", "kind", "reason")
