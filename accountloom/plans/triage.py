@@ -38,7 +38,9 @@ def judge_missing(accounts: DataFrame, sites: DataFrame, sidecar_path: str, *, l
 def previous_snapshot(spark: SparkSession, path: str) -> DataFrame:
     try:
         return sinks.read_snapshot(spark, path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], VERSION_COLUMNS)
 
 

@@ -12,10 +12,10 @@ SCHEMA = """request_hash string, response_hash string, prompt_version string, mo
 source string, account string,
 state struct<account:string,vertical_naics:string,states:string,site_count:bigint,
 total_chlorine_lb:bigint,site_names_sample:array<string>,additional_sites_not_listed:bigint>,
-answers struct<buffer_class:struct<score:double,probabilities:map<int,double>>,
+answers struct<buffer_class:struct<score:double,probabilities:map<string,double>>,
 process_continuous:double,regulated_utility:double>,
 judgments struct<buffer_level_selected:int,buffer_level_top:int,buffer_p_top:double,
-buffer_probabilities:map<int,double>,continuous_p_yes:double,regulated_p_yes:double>,
+buffer_probabilities:map<string,double>,continuous_p_yes:double,regulated_p_yes:double>,
 usage struct<input_tokens:bigint,output_tokens:bigint>, wall_ms bigint, judged_at string"""
 
 
@@ -24,7 +24,9 @@ def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     try:
         rows = spark.read.schema(SCHEMA).json(path)
         rows.limit(1).isEmpty()
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SCHEMA)
     return latest_per_key(rows, ["request_hash"], [F.desc("judged_at"), F.desc("response_hash")])
 
