@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from accountloom import refdata as R
 from accountloom.operators.ordering import running_total
+from accountloom.session import compute_once
 
 _ENTRY = "array<struct<gate:string,status:string,severity:string,reason:string>>"
 
@@ -32,12 +33,14 @@ def gate(df: DataFrame, name: str, *, refuse: Column | None = None, warn: Column
 
 def queue_rows(df: DataFrame, *keep: str) -> DataFrame:
     """One row per verdict that is not a pass."""
-    return df.select(*keep, F.inline(F.filter("gates", lambda g: g["status"] != "pass")))
+    verdicts = compute_once(df.select(*keep, "gates"), gates=F.col("gates"))
+    return verdicts.select(*keep, F.inline(F.filter("gates", lambda g: g["status"] != "pass")))
 
 
 def passed(df: DataFrame) -> DataFrame:
     """Rows that no gate refused."""
-    return df.filter(~F.exists("gates", lambda g: g["status"] == "refuse"))
+    return compute_once(df, gates=F.col("gates")).filter(
+        ~F.exists("gates", lambda g: g["status"] == "refuse"))
 
 
 def provenance(df: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -62,7 +65,7 @@ def quarantine(df: DataFrame, field: str, patterns: Mapping[str, str], name: str
     """
     kinds = F.array_compact(F.array(*[
         F.when(F.col(field).rlike(p), F.lit(k)) for k, p in patterns.items()]))
-    tagged = df.withColumn("_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
+    tagged = compute_once(df, _kinds=F.coalesce(kinds, F.array().cast("array<string>")))
     held = F.size("_kinds") > 0
     out = gate(tagged, name, warn=held, severity="blocking", reason=F.concat(
         F.lit(f"{field} quarantined: "), F.array_join("_kinds", ", ")))
@@ -147,7 +150,7 @@ def cap_without_url(confidence: Column, url: Column, ceiling: int = 2) -> Column
 def pending_review(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(usable for generation, held for a person)``."""
     held = F.exists("gates", lambda g: g["status"] != "pass")
-    tagged = df.withColumn("status", F.when(held, "pending_review").otherwise("accepted"))
+    tagged = compute_once(df, status=F.when(held, "pending_review").otherwise("accepted"))
     return tagged.filter("status = 'accepted'"), tagged.filter("status = 'pending_review'")
 
 
@@ -168,7 +171,7 @@ def export_split(df: DataFrame, bases: Sequence[str] = R.EXPORT_BASES) -> tuple[
 # --- documents ---------------------------------------------------------------
 
 def _spaced(text: Column) -> Column:
-    """Lower-cased words, each with a space of its own on both sides."""
+    """Lower-cased ASCII words, each with a space of its own on both sides."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  "), F.lit(" "))
 
 
@@ -178,8 +181,8 @@ def marker_count(spaced: Column, markers: Sequence[str]) -> Column:
     for m in markers:
         needle = " " + "  ".join(w for w in "".join(
             ch if ch.isalnum() else " " for ch in m.lower()).split()) + " "
-        total = total + ((F.length(spaced) - F.length(F.replace(spaced, F.lit(needle), F.lit(""))))
-                         / len(needle)).cast("long")
+        gone = F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(needle), F.lit("")))
+        total = total + (gone / len(needle)).cast("long")
     return total
 
 
@@ -194,12 +197,11 @@ def classify_documents(df: DataFrame, text: str, research: Sequence[str], activi
     lead = F.abs(a - b) / F.nullif(a + b, F.lit(0))
     kind = (F.when(a + b == 0, "unclassifiable").when(lead <= margin, "mixed")
             .when(a > b, "prior_research").otherwise("activity_record"))
-    prepared = df.withColumn("_spaced", _spaced(F.col(text)))
-    return prepared.withColumns({
-        "research_score": marker_count(F.col("_spaced"), research),
-        "activity_score": marker_count(F.col("_spaced"), activity)}).withColumns({
-            "document_class": kind,
-            "class_confidence": F.round(F.coalesce(lead, F.lit(0.0)), 6)}).drop("_spaced")
+    prepared = compute_once(df, _spaced=_spaced(F.col(text)))
+    scored = compute_once(prepared, research_score=marker_count(F.col("_spaced"), research),
+                          activity_score=marker_count(F.col("_spaced"), activity)).drop("_spaced")
+    return scored.withColumns({
+        "document_class": kind, "class_confidence": F.round(F.coalesce(lead, F.lit(0.0)), 6)})
 
 
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from accountloom.functions.measures import pseudonym
 from accountloom.operators import access as A
 from accountloom.operators import identity as I
 from accountloom.plans.catalog import query
@@ -196,6 +197,12 @@ def audit_filter(spark, folder):
         "event_id", "user_id", "action", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query("session_pseudonyms", "SELECT event_id, sha256('session-' || event_id) AS token_hash FROM events")
+def session_pseudonyms(spark, folder):
+    return table(spark, folder, "events").select(
+        "event_id", pseudonym(F.concat(F.lit("session-"), F.col("event_id").cast("string"))).alias("token_hash"))
+
+
 @query("active_counts", f"""WITH {SESSIONS}
 SELECT user_id, count(*) FILTER (revoked_at IS NULL AND expires_at > TIMESTAMP '{EVENTS_NOW}') AS active FROM sessions GROUP BY 1""")
 def active_counts(spark, folder):

@@ -184,6 +184,17 @@ def judgment_rule_judge(spark, folder):
                        F.col("judgments.regulated_p_yes").alias("regulated_p_yes"))
 
 
+@query("judgment_request_hashes", _STATES + """
+SELECT account, substr(sha256('uc1-water-v1' || chr(31) || 'judge-1' || chr(31) || to_json({
+    'account': account, 'additional_sites_not_listed': overflow, 'site_count': sites,
+    'site_names_sample': string_split(names, ' | '), 'states': state_list, 'total_chlorine_lb': chlorine_lb,
+    'vertical_naics': primary_naics})), 1, 16) AS request_hash
+FROM accounts JOIN states_of USING (account_key)""")
+def judgment_request_hashes(spark, folder):
+    """Content hash of each account's evidence, prompt version and model version."""
+    return J.with_request_hash(_states(spark, folder), R.PROMPT_VERSION, "judge-1").select("account", "request_hash")
+
+
 @query("judgment_cache_split", ACCOUNTS_SQL + """
 SELECT account, rank % 2 = 0 AS cached FROM accounts""")
 def judgment_cache_split(spark, folder):

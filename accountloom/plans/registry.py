@@ -2,7 +2,7 @@
 
 Stages hand over DataFrames.  ``resolve_sites`` works row by row; everything
 that needs a company works on *cells*, the counts and sums per
-(key, spelling, state, code) that Spark builds with partial aggregation, so a
+(spelling, state, grid) that Spark builds with partial aggregation, so a
 company that files a third of all rows is a handful of cells after the first
 shuffle.
 """
@@ -70,10 +70,14 @@ def resolve_spellings(sites: DataFrame, p: Profile) -> DataFrame:
                              "reported", p.rules, p.word_final)
 
 
-def usable_sites(sites: DataFrame, spellings: DataFrame) -> DataFrame:
-    """Sites whose name resolved.  The refused spellings are the short side of this
-    anti-join, so the sites are normally not shuffled for it."""
-    refused = spellings.filter("key is null").select("reported")
+def refused_spellings(spellings: DataFrame) -> DataFrame:
+    """The few spellings that are no names.  Pinned on their own, so that Spark sees
+    how small they are and joins the sites to them without moving the sites."""
+    return pin(spellings.filter("key is null").select("reported"), "refused")
+
+
+def usable_sites(sites: DataFrame, refused: DataFrame) -> DataFrame:
+    """Sites whose name resolved."""
     return sites.filter("reported is not null").join(refused, "reported", "left_anti")
 
 
@@ -86,14 +90,14 @@ def flag_sites(sites: DataFrame, p: Profile, stats: DataFrame) -> DataFrame:
 # --- company stage -----------------------------------------------------------
 
 def to_cells(sites: DataFrame, spellings: DataFrame) -> DataFrame:
-    """Counts and sums per (spelling, state, grid, code), then the spelling's key.
+    """Counts and sums per (spelling, state, grid), then the spelling's key.
 
     Only numbers are aggregated, so this first and largest aggregation is a
     hash aggregation with map-side combine, and only its result meets the
     spelling table.
     """
     ok = F.col("validated")
-    counted = sites.groupBy("reported", "state", "rto", "naics").agg(
+    counted = sites.groupBy("reported", "state", "rto").agg(
         F.count(F.lit(1)).alias("sites"),
         F.count_if(ok).alias("ok_sites"),
         F.sum(F.when(ok, F.col("charge_lb")).otherwise(0)).alias("charge_lb"),
@@ -104,6 +108,14 @@ def to_cells(sites: DataFrame, spellings: DataFrame) -> DataFrame:
     return counted.join(spellings.filter("key is not null"), "reported")
 
 
+def to_code_cells(sites: DataFrame, spellings: DataFrame) -> DataFrame:
+    """Site counts per (spelling, industry code).  Kept apart from the place cells:
+    crossing states with codes would leave little for the map side to combine."""
+    counted = sites.groupBy("reported", "naics").agg(
+        F.count(F.lit(1)).alias("sites"), F.min("ord").alias("first_ord"))
+    return counted.join(spellings.filter("key is not null").select("reported", "key"), "reported")
+
+
 def bucket_names(cells: DataFrame) -> DataFrame:
     """One display name per key: a rule name beats a fallback, then first seen."""
     return cells.groupBy("key").agg(
@@ -139,20 +151,17 @@ def merge_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
         F.col("final_key").isNotNull().alias("merged"), *cells.columns)
 
 
-def modes(cells: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """First-seen mode of several columns per account in one pass."""
-    entries = F.array(*[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d), F.lit("")).alias("value"))
-                        for d in dims])
-    long = cells.select("account_key", "sites", "merged", "first_ord", F.inline(entries))
-    per_value = long.groupBy("account_key", "dim", "value").agg(
+def account_mode(cells: DataFrame, dim: str) -> DataFrame:
+    """First-seen mode of one column per account; own cells come before merged-in ones."""
+    value = F.coalesce(F.col(dim), F.lit("")).alias("value")
+    per_value = cells.select("account_key", "sites", "merged", "first_ord", value).groupBy(
+        "account_key", "value").agg(
         F.sum("sites").alias("n"), F.min(F.struct("merged", "first_ord")).alias("at"))
-    best = F.struct(-F.col("n"), F.col("at"))
-    return per_value.groupBy("account_key").agg(*[
-        F.min_by(F.when(F.col("dim") == d, F.col("value")),
-                 F.when(F.col("dim") == d, best)).alias(f"primary_{d}") for d in dims])
+    return per_value.groupBy("account_key").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("at"))).alias(f"primary_{dim}"))
 
 
-def roll_up(cells: DataFrame, names: DataFrame, p: Profile) -> DataFrame:
+def roll_up(cells: DataFrame, code_cells: DataFrame, names: DataFrame, p: Profile) -> DataFrame:
     """Every bucket as one row, before any admission filter."""
     totals = cells.groupBy("account_key").agg(
         F.sum("sites").alias("sites"),
@@ -165,7 +174,8 @@ def roll_up(cells: DataFrame, names: DataFrame, p: Profile) -> DataFrame:
     own = names.withColumnRenamed("key", "account_key")
     labels = F.col("primary_naics") if p.naics_prefix is None else F.substring(
         "primary_naics", 1, p.naics_prefix)
-    return (totals.join(modes(cells, ("rto", "naics")), "account_key").join(own, "account_key")
+    return (totals.join(account_mode(cells, "rto"), "account_key")
+            .join(account_mode(code_cells, "naics"), "account_key").join(own, "account_key")
             .select("account_key", F.col("name").alias("account"),
                     F.col("name").isin(*p.customers).alias("is_customer") if p.customers
                     else F.lit(False).alias("is_customer"),
@@ -204,6 +214,7 @@ class RegistryRun:
     profile: Profile
     sites: DataFrame
     spellings: DataFrame
+    refused: DataFrame
     stats: DataFrame
     cells: DataFrame
     merges: DataFrame
@@ -240,8 +251,8 @@ class RegistryRun:
     @property
     def unresolved_sites(self) -> DataFrame:
         """Active sites without a usable name."""
-        usable = self.spellings.filter("key is not null").select("reported")
-        return self.sites.join(usable, "reported", "left_anti")
+        return self.sites.filter("reported is null").unionByName(
+            self.sites.join(self.refused, "reported", "left_semi"))
 
     @property
     def account_aliases(self) -> DataFrame:
@@ -265,7 +276,8 @@ def run_registry(filings: DataFrame, p: Profile) -> RegistryRun:
     """Resolve, gate and roll up.  Filings are read once; the slim site table is pinned."""
     rows = pin(with_reported(active(filings), p).select(*SITE_COLUMNS), "sites")
     spellings = pin(resolve_spellings(rows, p), "spellings")
-    stats = gate_statistics(usable_sites(rows, spellings), {p.charge_field: F.col("charge_lb")})
+    refused = refused_spellings(spellings)
+    stats = gate_statistics(usable_sites(rows, refused), {p.charge_field: F.col("charge_lb")})
     sites = flag_sites(rows, p, stats)
     cells = pin(to_cells(sites, spellings), "cells")
     names = bucket_names(cells)
@@ -274,7 +286,8 @@ def run_registry(filings: DataFrame, p: Profile) -> RegistryRun:
     else:
         merges = names.select("key", F.col("key").alias("final_key")).limit(0)
     merged = merge_cells(cells, merges)
-    return RegistryRun(p, sites, spellings, stats, merged, merges, roll_up(merged, names, p))
+    codes = merge_cells(to_code_cells(rows, spellings), merges)
+    return RegistryRun(p, sites, spellings, refused, stats, merged, merges, roll_up(merged, codes, names, p))
 
 
 def run_statistics(filings: DataFrame, run: RegistryRun) -> DataFrame:

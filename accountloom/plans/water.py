@@ -12,7 +12,8 @@ from accountloom.functions import measures as M
 from accountloom.operators.ordering import global_rank
 from accountloom.operators.outliers import flag_outliers, gate_statistics, water_note
 from accountloom.plans.profiles import Profile
-from accountloom.plans.registry import (NO_NAME, active, bucket_names, resolve_spellings,
+from accountloom.plans.registry import (NO_NAME, account_mode, active, bucket_names,
+                                        refused_spellings, resolve_spellings, to_code_cells,
                                         usable_sites, with_reported)
 from accountloom.session import pin
 
@@ -37,14 +38,14 @@ def with_site_measures(sites: DataFrame, p: Profile) -> DataFrame:
 
 
 def to_cells(sites: DataFrame, spellings: DataFrame, p: Profile) -> DataFrame:
-    """Counts and sums per (spelling, state, grid, code, buffer class), with the key."""
+    """Counts and sums per (spelling, state, grid, buffer class), with the key."""
     ok = F.col("validated")
 
     def total(c: str) -> Column:
         return F.sum(F.when(ok, F.col(c)).otherwise(0)).alias(c)
 
     counted = with_site_measures(sites, p).groupBy(
-        "reported", "state", "rto", "naics", "buffer_class").agg(
+        "reported", "state", "rto", "buffer_class").agg(
         F.count(F.lit(1)).alias("sites"), F.count_if(ok).alias("ok_sites"),
         total("chlorine_lb"), total("ammonia_lb"), total("est_peak_kw"),
         F.coalesce(F.max(F.when(ok, F.col("chlorine_lb"))), F.lit(0)).alias("max_chlorine_lb"),
@@ -52,8 +53,8 @@ def to_cells(sites: DataFrame, spellings: DataFrame, p: Profile) -> DataFrame:
         F.count_if(ok & (F.col("accidents") > 0)).alias("sites_with_accidents"),
         F.count_if(ok & (F.col("recent_accidents") > 0)).alias("recent_accident_sites"),
         F.min("ord").alias("first_ord"))
-    return counted.join(spellings.filter("key is not null"), "reported").withColumn(
-        "account_key", F.col("key"))
+    return counted.join(spellings.filter("key is not null"), "reported").withColumns(
+        {"account_key": F.col("key"), "merged": F.lit(False)})
 
 
 def majority_class(cells: DataFrame) -> DataFrame:
@@ -67,20 +68,7 @@ def majority_class(cells: DataFrame) -> DataFrame:
         F.col("top.buffer_class")).alias("buffer_class"))
 
 
-def modes(cells: DataFrame) -> DataFrame:
-    """First-seen mode of state, grid and code in one pass."""
-    dims = ("state", "rto", "naics")
-    entries = F.array(*[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d), F.lit("")).alias("value"))
-                        for d in dims])
-    per_value = cells.select("account_key", "sites", "first_ord", F.inline(entries)).groupBy(
-        "account_key", "dim", "value").agg(F.sum("sites").alias("n"), F.min("first_ord").alias("at"))
-    return per_value.groupBy("account_key").agg(*[
-        F.min_by(F.when(F.col("dim") == d, F.col("value")),
-                 F.when(F.col("dim") == d, F.struct(-F.col("n"), F.col("at")))).alias(f"primary_{d}")
-        for d in dims])
-
-
-def roll_up(cells: DataFrame, names: DataFrame, p: Profile) -> DataFrame:
+def roll_up(cells: DataFrame, code_cells: DataFrame, names: DataFrame, p: Profile) -> DataFrame:
     totals = cells.groupBy("account_key").agg(
         *[F.sum(c).alias(c) for c in ("sites", "ok_sites", "chlorine_lb", "ammonia_lb", "accidents",
                                       "sites_with_accidents", "recent_accident_sites")],
@@ -90,7 +78,10 @@ def roll_up(cells: DataFrame, names: DataFrame, p: Profile) -> DataFrame:
     code = F.col("primary_naics") if p.naics_prefix is None else F.substring(
         "primary_naics", 1, p.naics_prefix)
     name = F.col("name")
-    return (totals.join(modes(cells), "account_key").join(majority_class(cells), "account_key", "left")
+    return (totals.join(account_mode(cells, "state"), "account_key")
+            .join(account_mode(cells, "rto"), "account_key")
+            .join(account_mode(code_cells, "naics"), "account_key")
+            .join(majority_class(cells), "account_key", "left")
             .join(names.withColumnRenamed("key", "account_key"), "account_key")
             .select("account_key", name.alias("account"),
                     (name.isin(*p.customers) if p.customers else F.lit(False)).alias("is_customer"),
@@ -127,6 +118,7 @@ class WaterRun:
     rows: DataFrame
     sites: DataFrame
     spellings: DataFrame
+    refused: DataFrame
     stats: DataFrame
     buckets: DataFrame
 
@@ -164,8 +156,8 @@ def water_queue(run: WaterRun) -> DataFrame:
 
     names = run.buckets.select(F.col("account_key").alias("key"), "account")
     flagged = run.keyed_sites.filter(~F.col("validated")).join(names, "key")
-    usable = run.spellings.filter("key is not null").select("reported")
-    nameless = run.sites.join(usable, "reported", "left_anti")
+    nameless = run.sites.filter("reported is null").unionByName(
+        run.sites.join(run.refused, "reported", "left_semi"))
     refused = run.rows.filter("excluded is not null")
     small = run.buckets.filter(~admitted(run.profile))
     return (
@@ -195,7 +187,10 @@ def run_water(filings: DataFrame, p: Profile) -> WaterRun:
     kept = rows.filter("excluded is null")
     spellings = pin(resolve_spellings(kept, p), "water-spellings")
     fields = {f: F.col(f) for f in FIELDS}
-    stats = gate_statistics(usable_sites(kept, spellings), fields)
+    refused = refused_spellings(spellings)
+    stats = gate_statistics(usable_sites(kept, refused), fields)
     sites = flag_outliers(kept, fields, p.outlier_factor, water_note, stats)
     cells = pin(to_cells(sites, spellings, p), "water-cells")
-    return WaterRun(p, rows, sites, spellings, stats, roll_up(cells, bucket_names(cells), p))
+    codes = to_code_cells(kept, spellings).withColumns(
+        {"account_key": F.col("key"), "merged": F.lit(False)})
+    return WaterRun(p, rows, sites, spellings, refused, stats, roll_up(cells, codes, bucket_names(cells), p))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site capture per Column
 }
 
 
@@ -42,9 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="accountloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"accountloom-{application}-")
 
 
 def pin(df: DataFrame, label: str) -> DataFrame:
@@ -62,3 +68,14 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(conf).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each is evaluated once per row.
+
+    The optimizer copies a column's expression into every filter placed on it.
+    For pattern matching over whole texts that repeats the work; a one-element
+    ``inline`` keeps the filter behind the computation.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
