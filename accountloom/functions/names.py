@@ -71,16 +71,13 @@ def is_usable(c: Column) -> Column:
 def guard(pattern: str, word_final: Sequence[str] = R.WORD_FINAL) -> str:
     """Keep every alternative from matching in the middle of a word.
 
-    Each alternative gets a boundary in front unless it is anchored; the listed
-    complete words get one behind as well.
+    Anchored alternatives already start at a boundary; complete words must end
+    at one as well.
     """
-    def one(alternative: str) -> str:
-        anchored = alternative.startswith("^")
-        body = alternative.removeprefix("^")
-        return (("^" if anchored else "(?<![a-z0-9])") + body
-                + ("(?![a-z0-9])" if body in word_final else ""))
-
-    return "|".join(map(one, pattern.split("|")))
+    pieces = pattern.split("|")
+    before = ["" if p.startswith("^") else "(?<![a-z0-9])" for p in pieces]
+    behind = ["(?![a-z0-9])" if p.lstrip("^") in word_final else "" for p in pieces]
+    return "|".join(map("".join, zip(before, pieces, behind)))
 
 
 def first_rule(low: Column, rules: Sequence[Rule], *, guarded: bool = True,

@@ -82,18 +82,17 @@ def reject_rows(df: DataFrame, order: Sequence[Column], checks: Mapping[str, Col
 
 
 def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """1..n per key in ``order``; the sort is spread over the whole table, so one
-    key may hold most of the rows."""
+    """1..n per key in ``order`` and ``<name>s``, the n; the sort is spread over the
+    whole table, so one key may hold most of the rows."""
     at = running_total(df, [F.col(c) for c in (*keys, *order)], F.lit(1), "_at")
-    start = at.groupBy(*keys).agg(F.min("_at").alias("_start"))
-    return at.join(start, list(keys)).withColumn(name, F.col("_at") - F.col("_start") + 1).drop("_at", "_start")
+    span = at.groupBy(*keys).agg(F.min("_at").alias("_start"), F.count(F.lit(1)).alias(f"{name}s"))
+    return at.join(span, list(keys)).withColumn(name, F.col("_at") - F.col("_start") + 1).drop("_at", "_start")
 
 
 def version_records(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Repeats of a key become versions; the newest is current."""
-    versions = numbered_within(df, keys, order, "version")
-    newest = versions.groupBy(*keys).agg(F.max("version").alias("versions"))
-    return versions.join(newest, list(keys)).withColumn("is_current", F.col("version") == F.col("versions"))
+    return numbered_within(df, keys, order, "version").withColumn(
+        "is_current", F.col("version") == F.col("versions"))
 
 
 def conflicts(facts: DataFrame, subject: Sequence[str], value: str, at: str) -> DataFrame:

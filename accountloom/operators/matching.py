@@ -249,6 +249,27 @@ def resolve_fuzzy(inputs: DataFrame, name: str, candidates: DataFrame, candidate
             .withColumn("status", status))
 
 
+def resolve_three_pass(names: DataFrame, name: str, accounts: DataFrame, account: str) -> DataFrame:
+    """Known key, then fuzzy match, then a person.
+
+    ``pass`` is ``exact``, ``fuzzy`` or ``queue``; a queued name shows its
+    candidates when there are any.  Nothing is assigned on a close call.
+    """
+    known = accounts.groupBy(match_key(F.col(account)).alias("_key")).agg(F.min(account).alias("_exact"))
+    keyed = pin(names.select(name).distinct().withColumn("_key", match_key(F.col(name))).join(
+        known, "_key", "left"), "known")
+    exact = keyed.filter("_exact is not null").select(
+        name, F.lit("exact").alias("pass"), F.col("_exact").alias("account"),
+        F.lit(None).cast("string").alias("candidates"))
+    fuzzy = resolve_fuzzy(keyed.filter("_exact is null").select(name), name, accounts, account)
+    accepted = F.col("status") == "accepted"
+    rest = fuzzy.select(
+        name, F.when(accepted, "fuzzy").otherwise("queue").alias("pass"),
+        F.when(accepted, F.col("best")).alias("account"),
+        F.when(~accepted & F.col("best").isNotNull(), F.concat_ws(" | ", "best", "runner_up")).alias("candidates"))
+    return exact.unionByName(rest)
+
+
 def score_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Every similarity measure of given pairs."""
     ta, tb = tokens(F.col(a)), tokens(F.col(b))

@@ -11,8 +11,6 @@ from accountloom.functions.measures import thousands
 from accountloom.operators.ordering import order_statistics
 
 FRACTIONS = {"p99": 0.99, "median": 0.5}
-COLD_NOTE = (" lb); median is {median} lb. Probable units error or NAICS misclassification in the "
-             "self-reported filing. Excluded from scoring pending human review.")
 
 
 def gate_statistics(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:

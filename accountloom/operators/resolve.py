@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountloom.functions.names import match_key
-
 
 def resolve_by_rule_table(names: DataFrame, name: str, rules: DataFrame) -> DataFrame:
     """First matching rule per distinct name.
@@ -22,7 +20,3 @@ def resolve_by_rule_table(names: DataFrame, name: str, rules: DataFrame) -> Data
     guarded = F.concat(F.lit("(?<![a-z0-9])(?:"), "pattern", F.lit(")"))
     hits = pairs.filter(F.regexp_like(F.lower(name), guarded))
     return hits.groupBy(name).agg(F.min_by("canonical", "rule_ord").alias("canonical"))
-
-
-def with_canonical_key(resolved: DataFrame) -> DataFrame:
-    return resolved.withColumn("key", match_key(F.col("canonical")))

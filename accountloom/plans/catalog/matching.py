@@ -67,6 +67,26 @@ def fuzzy_match(spark, folder):
                             "runner_up_score": F.round("runner_up_score", 6)})
 
 
+@query("entity_resolution", S.ROLLED + f""",
+crm AS (SELECT DISTINCT p_name || ' ' || p_type AS nm0 FROM part UNION SELECT DISTINCT p_name || ' Co.' FROM part),
+known AS (SELECT {S.key_of('account')} AS k, min(account) AS exact FROM buckets GROUP BY 1),
+keyed_crm AS (SELECT nm0, exact FROM crm LEFT JOIN known ON k = {S.key_of('nm0')}),
+open_names AS (SELECT nm0 FROM keyed_crm WHERE exact IS NULL),
+inputs AS {sets('nm0', 'open_names')}, cands AS {sets('account', 'buckets')}""" + _BEST + """,
+f AS (SELECT i.nm0, f.b AS best, s.b AS runner_up, f.score - s.score <= 0.12::DOUBLE + 1e-9 AS close
+  FROM open_names i LEFT JOIN (SELECT * FROM placed WHERE place = 1) f ON f.a = i.nm0 LEFT JOIN (SELECT * FROM placed WHERE place = 2) s ON s.a = i.nm0)
+SELECT nm0 AS name, 'exact' AS pass, exact AS account, NULL::VARCHAR AS candidates FROM keyed_crm WHERE exact IS NOT NULL
+UNION ALL SELECT nm0, CASE WHEN best IS NOT NULL AND NOT coalesce(close, false) THEN 'fuzzy' ELSE 'queue' END,
+  CASE WHEN best IS NOT NULL AND NOT coalesce(close, false) THEN best END,
+  CASE WHEN best IS NOT NULL AND coalesce(close, false) THEN concat_ws(' | ', best, runner_up) END FROM f""")
+def entity_resolution(spark, folder):
+    """A sales list of part names and types against the account names, in three passes."""
+    part = table(spark, folder, "part")
+    crm = part.select(F.concat_ws(" ", "p_name", "p_type").alias("name")).unionByName(
+        part.select(F.concat("p_name", F.lit(" Co.")).alias("name")))
+    return M.resolve_three_pass(crm, "name", registry_run(spark, folder).buckets, "account")
+
+
 @query("alias_similarity", S.ROLLED + f""",
 inputs AS {sets('account', 'buckets')}, cands AS (SELECT * FROM inputs)""" + _BEST.replace(
     "AND length(b.d) > 0", "AND length(b.d) > 0 AND a.nm <> b.nm") + """

@@ -63,8 +63,13 @@ def rescues_by_bucket(run: RegistryRun) -> DataFrame:
 
 
 def largest_sites(run: RegistryRun, keys: DataFrame, *, validated_only: bool) -> DataFrame:
-    """The biggest site of each wanted bucket; first seen on a tie."""
-    rows = run.keyed_sites.join(keys.select("account_key"), "account_key", "left_semi")
+    """The biggest site of each wanted bucket; first seen on a tie.
+
+    Sites meet the wanted spellings first, so the maximum per bucket is combined
+    on the map side even where one bucket holds most of the sites.
+    """
+    wanted = run.keyed_spellings.join(keys.select("account_key"), "account_key", "left_semi")
+    rows = run.sites.join(wanted.select("reported", "account_key", "merged"), "reported")
     if validated_only:
         rows = rows.filter("validated")
     site = F.struct("facility_id", F.col("facility_name").alias("name"), "city", "state", "naics",

@@ -36,11 +36,11 @@ def active(filings: DataFrame) -> DataFrame:
     return filings.filter(~F.coalesce("is_deregistered", F.lit(False)))
 
 
-def in_scope(filings: DataFrame, naics: list[str] | None = None,
-             state: str | None = None) -> DataFrame:
+def in_scope(filings: DataFrame, naics: list[str] | None = None, state: str | None = None,
+             code: str = "naics") -> DataFrame:
     """Optional scope; both filters reach the file scan."""
     if naics:
-        filings = filings.filter(F.col("naics").isin(*naics))
+        filings = filings.filter(F.col(code).isin(*naics))
     if state:
         filings = filings.filter(F.col("state") == state)
     return filings
@@ -118,7 +118,8 @@ def to_code_cells(sites: DataFrame, spellings: DataFrame) -> DataFrame:
 
 def bucket_names(cells: DataFrame) -> DataFrame:
     """One display name per key: a rule name beats a fallback, then first seen."""
-    return cells.groupBy("key").agg(
+    shown = cells.groupBy("key", "shown", "resolved_by").agg(F.min("first_ord").alias("first_ord"))
+    return shown.groupBy("key").agg(
         F.min_by("shown", F.struct(F.col("resolved_by") != "rule", F.col("first_ord"))).alias("name"),
         F.min("first_ord").alias("first_ord"))
 
@@ -154,11 +155,13 @@ def merge_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
 def account_mode(cells: DataFrame, dim: str) -> DataFrame:
     """First-seen mode of one column per account; own cells come before merged-in ones."""
     value = F.coalesce(F.col(dim), F.lit("")).alias("value")
+    at = F.col("first_ord")
     per_value = cells.select("account_key", "sites", "merged", "first_ord", value).groupBy(
         "account_key", "value").agg(
-        F.sum("sites").alias("n"), F.min(F.struct("merged", "first_ord")).alias("at"))
-    return per_value.groupBy("account_key").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("at"))).alias(f"primary_{dim}"))
+        F.sum("sites").alias("n"), F.min(F.when(~F.col("merged"), at)).alias("own_at"),
+        F.min(at).alias("any_at"))
+    first = F.struct(-F.col("n"), F.col("own_at").isNull(), F.coalesce("own_at", "any_at"))
+    return per_value.groupBy("account_key").agg(F.min_by("value", first).alias(f"primary_{dim}"))
 
 
 def roll_up(cells: DataFrame, code_cells: DataFrame, names: DataFrame, p: Profile) -> DataFrame:
@@ -208,8 +211,8 @@ def aliases(cells: DataFrame, buckets: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RegistryRun:
-    """The tables of one run.  ``sites``, ``spellings`` and ``cells`` rest on pinned
-    tables; the rest is lazy."""
+    """The tables of one run.  ``sites``, ``spellings``, ``cells`` and ``buckets`` rest
+    on pinned tables; the rest is lazy."""
 
     profile: Profile
     sites: DataFrame
@@ -287,7 +290,8 @@ def run_registry(filings: DataFrame, p: Profile) -> RegistryRun:
         merges = names.select("key", F.col("key").alias("final_key")).limit(0)
     merged = merge_cells(cells, merges)
     codes = merge_cells(to_code_cells(rows, spellings), merges)
-    return RegistryRun(p, sites, spellings, refused, stats, merged, merges, roll_up(merged, codes, names, p))
+    buckets = pin(roll_up(merged, codes, names, p), "buckets")
+    return RegistryRun(p, sites, spellings, refused, stats, merged, merges, buckets)
 
 
 def run_statistics(filings: DataFrame, run: RegistryRun) -> DataFrame:

@@ -193,4 +193,5 @@ def run_water(filings: DataFrame, p: Profile) -> WaterRun:
     cells = pin(to_cells(sites, spellings, p), "water-cells")
     codes = to_code_cells(kept, spellings).withColumns(
         {"account_key": F.col("key"), "merged": F.lit(False)})
-    return WaterRun(p, rows, sites, spellings, refused, stats, roll_up(cells, codes, bucket_names(cells), p))
+    buckets = pin(roll_up(cells, codes, bucket_names(cells), p), "water-buckets")
+    return WaterRun(p, rows, sites, spellings, refused, stats, buckets)

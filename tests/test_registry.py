@@ -221,3 +221,42 @@ def test_sinks(spark, run, tmp_path):
     sinks.check_golden(back, back, ["account"])
     with pytest.raises(AssertionError):
         sinks.check_golden(back, back.filter("rank > 1"), ["account"])
+
+
+def test_command_line(spark, tmp_path):
+    from accountloom.__main__ import main
+
+    snap = land(tmp_path, NAMED)
+    main(["registry", "--from-json", snap, "--outdir", str(tmp_path / "dry"), "--dry-run"])
+    assert not (tmp_path / "dry").exists()
+    main(["registry", "--from-json", snap, "--outdir", str(tmp_path / "pa"), "--state", "PA"])
+    rows_pa = spark.read.csv(str(tmp_path / "pa" / "accounts_csv"), header=True)
+    assert {r["state_list"] for r in rows_pa.collect()} == {"PA"}
+
+    wet = [{"facilityId": str(i), "parentCompanyName": f"Town {chr(97 + i)} Water District", "facilityName": "Elm Pump Station",
+            "state": "TX", "naicsCode": "22131", "chemicals": [{"chemicalId": 17, "quantity": 50_000}]} for i in range(8)]
+    path = land(tmp_path, wet, "water.json")
+    main(["water", "--from-json", path, "--outdir", str(tmp_path / "water")])
+    assert spark.read.csv(str(tmp_path / "water" / "accounts_csv"), header=True).count() == 8
+    for run, at in (("r1", "2026-01-01"), ("r2", "2026-02-01")):
+        main(["triage", "--from-json", path, "--sidecar", str(tmp_path / "side"), "--snapshots", str(tmp_path / "snaps"),
+              "--outdir", str(tmp_path / run), "--run", run, "--judged-at", at, "--mock", "--limit", "5"])
+    triage_rows = spark.read.csv(str(tmp_path / "r2" / "triage_csv"), header=True).collect()
+    assert len(triage_rows) == 5 and {r["note"] for r in triage_rows} == {"mock_source_no_lift"}
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from accountloom import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Spark:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "yarn", "applicationId": "a"})()
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Spark())
+    Spark.sparkContext.master = "local[2]"
+    assert session.shared_folder(Spark()) == session.shared_folder(Spark())
