@@ -75,7 +75,8 @@ def order_statistics(df: DataFrame, fields: Mapping[str, Column], fractions: Map
         values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("cnt")),
         [F.col("field"), F.col("value")], F.col("cnt"), "upto")
     last = ordered.groupBy("field").agg(F.sum("cnt").alias("n"), F.max("upto").alias("end"))
-    placed = ordered.join(last, "field").withColumn("upto", F.col("upto") - F.col("end") + F.col("n"))
+    # one row per field named by the caller, so this side cannot grow with the data
+    placed = ordered.join(F.broadcast(last), "field").withColumn("upto", F.col("upto") - F.col("end") + F.col("n"))
     aggs = []
     for f in fields:
         mine = F.col("field") == f

@@ -11,6 +11,8 @@ from accountloom.operators import judgments as J
 from accountloom.operators.ordering import top_n
 from accountloom.plans.catalog import query
 from accountloom.plans.catalog.water import ACCOUNTS_SQL, water_run
+from accountloom.sources import sidecar as SC
+from accountloom.streaming.events import work_folder
 
 VERSIONS = {"rules_version": R.RULES_VERSION, "prompt_version": R.PROMPT_VERSION,
             "model_version": "judge-1"}
@@ -207,6 +209,15 @@ def judgment_cache_split(spark, folder):
         todo.select("account", F.lit(False).alias("cached")))
 
 
+@query("judgment_sidecar", ACCOUNTS_SQL + "SELECT account, '2026-01-01T00:00:00Z' AS judged_at, 'mock' AS source FROM accounts")
+def judgment_sidecar(spark, folder):
+    """Two runs append to one sidecar; the second finds every request answered."""
+    path = f"{work_folder(spark, 'sidecar')}/rows"
+    for judged_at in ("2026-01-01T00:00:00Z", "2026-02-01T00:00:00Z"):
+        SC.append_sidecar(J.judge_by_rules(_states(spark, folder), judged_at), path)
+    return SC.read_sidecar(spark, path).select("account", "judged_at", "source")
+
+
 @query("judgment_targets", ACCOUNTS_SQL + "SELECT account, rank FROM accounts ORDER BY rank LIMIT 50")
 def judgment_targets(spark, folder):
     """The labelled set: the fifty best-ranked accounts."""

@@ -71,6 +71,21 @@ def account_sites(spark, folder):
         "validation_note", "merged")
 
 
+@query("accounts_csv", S.ROLLED + f"""
+SELECT rank::VARCHAR AS rank, icp_score::VARCHAR AS icp_score, account, CASE WHEN is_customer THEN 'True' ELSE 'False' END AS is_customer,
+  sites::VARCHAR AS sites, charge_lb::VARCHAR AS ammonia_lb, state_list, vertical, aliases
+FROM accounts JOIN (SELECT account_key, string_agg(DISTINCT reported, ' | ' ORDER BY reported) AS aliases FROM keyed GROUP BY 1) USING (account_key)""")
+def accounts_csv(spark, folder):
+    """The account sink, written as CSV and read back as text."""
+    from accountloom.sources import sinks
+    from accountloom.streaming.events import work_folder
+
+    path = f"{work_folder(spark, 'accounts-csv')}/rows"
+    sinks.write_csv(sinks.accounts_table(registry_run(spark, folder)), path)
+    return spark.read.csv(path, header=True, quote='"', escape='"').select(
+        "rank", "icp_score", "account", "is_customer", "sites", "ammonia_lb", "state_list", "vertical", "aliases")
+
+
 @query("resolve_names", S.RESOLVED + f"""
 SELECT reported, key, shown, resolved_by,
   CASE WHEN loose IS NOT NULL AND loose_key IS DISTINCT FROM key THEN loose END AS rescue,
