@@ -188,11 +188,13 @@ def draft_visibility(spark, folder):
 
 
 @query("audit_filter", """
-SELECT event_id, user_id, event_type AS action, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events
-WHERE user_id % 10 = 3 AND event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100""")
+SELECT event_id, user_id, event_type AS action, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events JOIN customer ON c_custkey = user_id
+WHERE c_nationkey = 3 AND event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100""")
 def audit_filter(spark, folder):
-    log = table(spark, folder, "events").select(
-        "event_id", "user_id", F.col("event_type").alias("action"), "ts", (F.col("user_id") % 10).alias("tenant_id"))
+    """The newest entries of one tenant and action; the tenant is the user's nation."""
+    tenants = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("tenant_id"))
+    log = table(spark, folder, "events").join(tenants, "user_id").withColumn("action", F.col("event_type"))
     return I.audit_trail(log, 3, action="click", at="ts", tie="event_id").select(
         "event_id", "user_id", "action", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 

@@ -198,12 +198,11 @@ def judgment_request_hashes(spark, folder):
 
 
 @query("judgment_cache_split", ACCOUNTS_SQL + """
-SELECT account, rank % 2 = 0 AS cached FROM accounts""")
+SELECT account, sites > 3 AS cached FROM accounts""")
 def judgment_cache_split(spark, folder):
-    """Evidence already judged (every second rank here) against evidence still to judge."""
+    """Evidence already judged (larger accounts here) against evidence still to judge."""
     states = J.with_request_hash(_states(spark, folder), R.PROMPT_VERSION, "judge-1")
-    ranks = water_run(spark, folder).accounts.filter("rank % 2 = 0").select("account_key")
-    sidecar = states.join(ranks, "account_key", "left_semi").select("request_hash")
+    sidecar = states.filter("site_count > 3").select("request_hash")
     done, todo = J.split_by_cache(states, sidecar)
     return done.select("account", F.lit(True).alias("cached")).unionByName(
         todo.select("account", F.lit(False).alias("cached")))

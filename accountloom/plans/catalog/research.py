@@ -152,11 +152,11 @@ def correction_effect(spark, folder):
 
 @query("blocked_deliverables", f"""WITH {FACTS_SQL},
 w AS (SELECT account_id, predicate, min(confidence) AS weakest, CASE predicate WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'view' THEN 2 END AS floor
-  FROM facts WHERE amount > 1 GROUP BY 1, 2)
+  FROM facts GROUP BY 1, 2)
 SELECT account_id, string_agg(predicate || ' at ' || weakest || ', needs ' || floor, '; ' ORDER BY predicate || ' at ' || weakest || ', needs ' || floor) AS blocked_reason
 FROM w WHERE weakest < floor GROUP BY 1""")
 def blocked_deliverables(spark, folder):
-    return X.blocked_deliverables(facts(spark, folder).filter("amount > 1"), "account_id", "predicate",
+    return X.blocked_deliverables(facts(spark, folder), "account_id", "predicate",
                                   {"purchase": 3, "signup": 2, "view": 2})
 
 
