@@ -36,7 +36,6 @@ class _Master:
         self.is_cut = np.ones(self.rows, bool)
         self.inverse = np.eye(self.rows)
         self.x = self.demand.copy()
-        self.pivots = 0
 
     def duals(self) -> np.ndarray:
         return self.cost @ self.inverse
@@ -59,19 +58,8 @@ class _Master:
         self.inverse -= np.outer(direction, pivot)
         self.inverse[out] = pivot
         self.columns[out], self.cost[out], self.is_cut[out] = column, cost, cut
-        self.pivots += 1
-        if self.pivots % 250 == 0:
-            self.refresh()
         return True
 
-    def refresh(self) -> None:
-        basis = np.zeros((self.rows, self.rows))
-        for j, column in enumerate(self.columns):
-            for i, n in column.items():
-                basis[i, j] = n
-        self.inverse = np.linalg.inv(basis)
-        self.x = np.maximum(self.inverse @ self.demand, 0)
-
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, limit: np.ndarray, capacity: int,
              ) -> tuple[dict[int, int], float]:
@@ -163,7 +151,6 @@ def plan_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, cut_t
 
 def _rounded(master: _Master, demand: np.ndarray) -> list[tuple[dict[int, int], int]]:
     """Round down, then apply patterns once more, largest remainder first, while they fit."""
-    master.refresh()
     chosen = [(float(x), c) for x, c, cut in zip(master.x, master.columns, master.is_cut) if not cut and x > 1e-9]
     left = demand.copy()
     plan: dict[int, int] = {}
