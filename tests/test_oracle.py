@@ -13,9 +13,10 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 
 
-def test_every_query_has_sql():
+def test_every_library_query_has_sql():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == set()
+    library = {n for n in QUERIES if not n.startswith("op") or not n[2:3].isdigit()} - {"pipeline"}
+    assert library - set(SQL) == set()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
