@@ -17,18 +17,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver found it."""
+def worker_path(spark: SparkSession) -> None:
+    """Let workers import this package from where the driver found it."""
     import accountloom
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(accountloom.__file__)))
-    environment = df.sparkSession.sparkContext.environment
+    environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package."""
+    worker_path(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batch`` in order, in slices of about ``limit`` bytes of ``column``.
 
