@@ -8,12 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountloom.llm import packing, token_files
+from accountloom.llm import (chat, html_blocks, language, language_model, packing, simhash, sketches, sql,
+                             templates, token_files, url_rules)
 from accountloom.llm.frames import table
 from accountloom.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_decontamination": sql.DECONTAMINATION, "op7_url_rules": sql.URL_RULES}
+
+URL_RULES = (
+    url_rules.UrlRule("allow", "com", "/"),
+    url_rules.UrlRule("block", "example.com", "/en/"),
+    url_rules.UrlRule("allow", "www.example.com", "/en/"),
+    url_rules.UrlRule("block", "net", "/es/"),
+    url_rules.UrlRule("block", "net", "/fr/"),
+)
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,6 +44,59 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@_query
+def op2_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return html_blocks.extract_main_text(table(spark, folder, "pages"))
+
+
+@_query
+def op3_chat_examples(spark: SparkSession, folder: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.sql(f"""select cast(-1 as bigint) conv_id, cast(turn as bigint) turn, role, '{control}' text
+                      from values (0, 'user'), (1, 'assistant') as t(turn, role)"""))
+    path = work_path(spark, "chat")
+    chat.format_conversations(rows).write.option("compression", "zstd").parquet(path)
+    return chat.conversation_digest(spark.read.schema(chat.TURNS).parquet(path))
+
+
+@_query
+def op4_backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_model.score_documents(docs, ~language.held_out(7, 2))
+
+
+@_query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        "doc_id", "item_id", "matched", "windows", "verbatim", "slots_changed")
+
+
+@_query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), words_per_shingle=4, distance=4)
+
+
+@_query
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, folder, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@_query
+def op8_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@_query
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fold = language.held_out(4, 2)
+    model = language.fit(docs, ~fold)
+    return language.predict(docs.select("doc_id", fold.alias("held_out"), "text"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @_query
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "token-files")
