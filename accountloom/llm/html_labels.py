@@ -47,4 +47,11 @@ PAGES = (
     cloth for an hour or two until it has doubled.</p><p>+Heat a heavy pan with a lid.</p><p>+Bake the loaf over a low
     flame, turn it once, and let it cool on a rack before you cut it, however good it smells.</p><ul><li>
     <a href="/r1">-Soup</a></li><li><a href="/r2">-Salad</a></li><li><a href="/r3">-Sauces</a></li></ul></body>""",
+    """<html><body><article><h1>+Moss</h1><p>+It grows on stone.</p><p>+End</p></article></body></html>""",
+    """<article><p>+One</p><p>+Two words</p></article>""",
+    """<body><h1>+A letter home</h1><p>+Dear all, the ship reached the harbour on Tuesday after nine days of fog, and
+    we slept on land for the first time since May.</p><p>+The captain sends his regards and asks for more of the
+    plum jam, which did not last past the first week.</p><p>+Yours, Ida</p></body>""",
+    """<main><h2>+Opening hours</h2><p>+We are open from nine to five on all working days, and from ten to two on the
+    first Saturday of the month.</p><p>+Closed today</p></main><footer><p>-Imprint</p><p>-Contact</p></footer>""",
 )

@@ -11,14 +11,14 @@ def _templates(source: str, key: str) -> str:
     """Words and template of every text, as lists."""
     return f"""
   SELECT {key}, words,
-    list_transform(range(1, len(words) + 1), i -> CASE
+    list_transform(range(1, len(words) + 1), lambda i: CASE
       WHEN starts_with(words[i], chr(57344)) THEN chr(57344)
       WHEN starts_with(words[i], chr(57345)) THEN chr(57345)
       WHEN i > 1 AND starts_with(words[i - 1], chr(57345)) AND words[i] IN ({_UNITS}) THEN chr(57346)
       ELSE words[i] END) AS shape
   FROM (SELECT {key}, list_filter(string_split_regex(regexp_replace(regexp_replace(lower(marked),
           '(^|[^0-9])[.,:/]+', '\\1 ', 'g'), '[.,:/]+([^0-9]|$)', ' \\1', 'g'),
-          '[^\\p{{L}}\\p{{M}}\\p{{N}}.,:/' || chr(57344) || chr(57345) || ']+'), w -> w <> '') AS words
+          '[^\\p{{L}}\\p{{M}}\\p{{N}}.,:/' || chr(57344) || chr(57345) || ']+'), lambda w: w <> '') AS words
         FROM (SELECT {key}, regexp_replace(named, '([0-9]+(?:[.,:/][0-9]+)*)', ' ' || chr(57345) || '\\1 ', 'g') AS marked
               FROM (SELECT {key}, regexp_replace(text, '([\\p{{Ll}}\\p{{N}},;:][ \\t\\n\\x0b\\f\\r])(\\p{{Lu}}\\p{{Ll}})',
                       '\\1' || chr(57344) || '\\2', 'g') AS named
@@ -28,8 +28,8 @@ def _templates(source: str, key: str) -> str:
 def _windows(key: str, source: str, size: int = 8) -> str:
     return f"""
   SELECT {key}, i AS pos, shape[i:i + {size - 1}] AS shape,
-    list_filter(list_transform(range(i, i + {size}), k -> CASE WHEN words[k] <> shape[k] THEN words[k] END),
-                v -> v IS NOT NULL) AS slots
+    list_filter(list_transform(range(i, i + {size}), lambda k: CASE WHEN words[k] <> shape[k] THEN words[k] END),
+                lambda v: v IS NOT NULL) AS slots
   FROM (SELECT *, unnest(range(1, len(words) - {size - 2})) AS i FROM {source} WHERE len(words) >= {size})"""
 
 
@@ -39,7 +39,7 @@ b AS ({_templates('benchmark', 'item_id')}),
 bw AS (SELECT * FROM ({_windows('item_id', 'b')}) WHERE len(slots) <= 8 * 0.4),
 wanted AS (SELECT item_id, count(*) AS windows FROM bw GROUP BY 1),
 hits AS (SELECT doc_id, bw.item_id, bw.pos,
-           len(list_filter(range(1, len(bw.slots) + 1), k -> bw.slots[k] <> dw.slots[k])) AS changed
+           len(list_filter(range(1, len(bw.slots) + 1), lambda k: bw.slots[k] <> dw.slots[k])) AS changed
          FROM ({_windows('doc_id', 'd')}) dw JOIN bw ON dw.shape = bw.shape
          WHERE len(list_distinct(list_zip(bw.slots, dw.slots))) = len(list_distinct(bw.slots))
            AND len(list_distinct(list_zip(bw.slots, dw.slots))) = len(list_distinct(dw.slots))),

@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
                           F.coalesce(F.col("text"), F.lit("")).alias("text"))
               .repartitionByRange(*order[:2]).sortWithinPartitions(*order))
     ids = map_arrow(sliced, encode_slices(tokenizer or default_tokenizer(), end_id), SCHEMA)
-    (ids.write.option("compression", "zstd")
+    (ids.write.option("compression", "snappy")
      .option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.enable.dictionary", "true")
      .option("parquet.dictionary.page.size", 1 << 20)

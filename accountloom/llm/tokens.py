@@ -23,7 +23,7 @@ BYTE_LEVEL_SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}
 PRINTABLE_BYTES = (range(33, 127), range(161, 173), range(174, 256))
 
 ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
-BATCH_BYTES = 16 << 20
+STOPS = ".,;:!?"
 
 
 def _byte_alphabet() -> str:
@@ -37,11 +37,11 @@ def _byte_alphabet() -> str:
 class BatchEncoder:
     """Ids of text columns by one tokenizer file; equal to its ``encode_batch``.
 
-    ``memo_limit`` bounds the words a worker remembers; beyond it the memory starts
-    anew, which costs time and changes nothing else.
+    ``memo_limit`` bounds the words a worker remembers, in two generations; a word that
+    is forgotten is encoded again, which changes nothing else.
     """
 
-    def __init__(self, path: str, memo_limit: int = 800_000) -> None:
+    def __init__(self, path: str, memo_limit: int = 500_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -52,13 +52,22 @@ class BatchEncoder:
         self.alphabet = _byte_alphabet()
         self.limit = memo_limit
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
+    def _recall(self, key: str) -> bytes | None:
+        found = self.memo.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is not None:
+                self.memo[key] = found
+        return found
+
     def _piece(self, piece: str) -> bytes:
-        found = self.memo.get(piece)
+        found = self._recall(piece)
         if found is None:
             shown = charmap_decode(piece.encode(), "strict", self.alphabet)[0]
             found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
@@ -66,24 +75,28 @@ class BatchEncoder:
         return found
 
     def _part(self, part: str) -> bytes:
-        found = self.memo.get(part)
+        found = self._recall(part)
         if found is None:
-            if part[1:].isalpha() and part.isascii() and part[0] == " ":
-                return self._piece(part)
+            word = part.rstrip(STOPS)
             try:
                 part.encode("latin-1")
             except UnicodeEncodeError:
                 found = self._whole(part)
             else:
+                if part[:1] == " " and word[1:].isalpha():  # one word, perhaps with stops behind it
+                    found = self._piece(word)
+                    return found + self._piece(part[len(word):]) if len(word) < len(part) else found
                 found = b"".join([self._piece(p) for p in self.split(part)])
             self.memo[part] = found
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(offsets, ids)``: the ids of row i are ``ids[offsets[i]:offsets[i + 1]]``."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        if len(self.memo) > self.limit:  # what is not met again in a generation is forgotten
+            self.older, self.memo = self.memo, {}
+        # a fresh copy: some kernels misread arrays that are slices of others
+        texts = pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), ""), pa.array([""], pa.large_string())])
+        texts = texts.slice(0, len(column))
         rows = len(texts)
         odd = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False))
         if len(odd):

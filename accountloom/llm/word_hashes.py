@@ -20,6 +20,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 END = int(mix(np.array([0x656E64], np.uint64))[0])
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(RADIX))
+_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -40,10 +41,11 @@ def _window_end(data: np.ndarray, rows: np.ndarray, low: int, high: int) -> int:
     end = low + WINDOW
     if end >= high:
         return high
-    tail = data[end - 4096:end]
+    near = max(low, end - 4096)
+    tail = data[near:end]
     blank = np.flatnonzero((tail == 32) | ((tail >= 9) & (tail <= 13)))
     row = int(rows[np.searchsorted(rows, end, "right") - 1])
-    best = max(row, end - 4096 + int(blank[-1]) + 1 if len(blank) else 0)
+    best = max(row, near + int(blank[-1]) + 1 if len(blank) else 0)
     if best > low:
         return best
     ahead = data[end:high]
@@ -57,7 +59,7 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Words are stretches without ASCII white space; a null is an empty text.
     """
-    texts = pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
     rows = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
     data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)

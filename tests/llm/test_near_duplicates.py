@@ -74,9 +74,9 @@ def test_links_of_planted_distances(spark):
     for u, v in found:
         assert bin(u ^ v).count("1") <= 4
     want = brute_components(dict(enumerate(prints.values())), 4)
-    edges = spark.createDataFrame(list(found), "u decimal(20,0), v decimal(20,0)")
+    edges = spark.createDataFrame([(f"{u:016x}", f"{v:016x}") for u, v in found], "u string, v string")
     for r in components.connected_components(edges).collect():
-        graph[int(r["node"])] = int(r["component"])
+        graph[int(r["node"], 16)] = int(r["component"], 16)
     values = list(prints.values())
     assert len({graph.get(v, v) for v in values}) == len({w for w in want.values()})
 

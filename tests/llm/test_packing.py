@@ -146,3 +146,6 @@ def test_encoder_equals_the_library():
     for i, t in enumerate(texts):
         want = own.tokenizer.encode(t or "", add_special_tokens=False).ids
         assert ids[offsets[i]:offsets[i + 1]].tolist() == want
+    for low in range(len(texts)):
+        part, some = own.encode(pa.array(texts).slice(low, 3))
+        assert some.tolist() == ids[offsets[low]:offsets[min(low + 3, len(texts))]].tolist()
