@@ -18,8 +18,7 @@ def lookup(c: Column, table: Mapping[str, str], default: str) -> Column:
 
 
 def rto_of_state(state: Column) -> Column:
-    by_state = {s: rto for rto, states in R.STATES_BY_RTO.items() for s in states.split()}
-    return lookup(state, by_state, "Other")
+    return lookup(state, R.RTO_OF_STATE, "Other")
 
 
 def max_charge(chemicals: Column, ids: Sequence[int], fragment: str) -> Column:

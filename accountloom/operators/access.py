@@ -25,7 +25,7 @@ class Principal:
 
 def can(roles: Sequence[str], permission: str) -> bool:
     """One granted role is enough; an unknown permission is never granted."""
-    return bool(set(roles) & set(R.PERMISSIONS.get(permission, "").split()))
+    return bool(set(roles) & set(R.PERMISSIONS.get(permission, ())))
 
 
 def permissions_for(roles: Sequence[str]) -> list[str]:
@@ -34,7 +34,7 @@ def permissions_for(roles: Sequence[str]) -> list[str]:
 
 def matrix(spark) -> DataFrame:
     """The permission matrix as a table ``(permission, role)``."""
-    rows = [(p, r) for p, allowed in R.PERMISSIONS.items() for r in allowed.split()]
+    rows = [(p, r) for p, allowed in R.PERMISSIONS.items() for r in allowed]
     return spark.createDataFrame(rows, "permission string, role string")
 
 
@@ -54,7 +54,7 @@ def has_role(roles: Column, *wanted: str) -> Column:
 
 def can_access_pii(roles: Column, is_owner: Column) -> Column:
     """Everywhere for admin and marketing, own accounts for sales_lead and rep."""
-    reader = has_role(roles, *R.PERMISSIONS["pii.read"].split())
+    reader = has_role(roles, *R.PERMISSIONS["pii.read"])
     everywhere = has_role(roles, "admin", "marketing")
     return reader & (everywhere | F.coalesce(is_owner, F.lit(False)))
 
@@ -74,16 +74,12 @@ def ceiling(principal: Principal | None) -> int:
     return next((tier for permission, tier in ladder if can(principal.roles, permission)), -1)
 
 
-def tier_of(entity: str) -> dict[str, str]:
-    return {f: t for t, fields in R.FIELD_TIERS[entity].items() for f in fields.split()}
-
-
 def visible_fields(entity: str, principal: Principal | None, *, owner: bool = False,
                    for_export: bool = False) -> list[str]:
     """Fields of an entity a caller receives; an unmapped field is never among them."""
     top = ceiling(principal)
     fields = []
-    for field, tier in tier_of(entity).items():
+    for field, tier in R.FIELD_TIERS[entity].items():
         if _RANK[tier] > top or (tier == "T4" and for_export):
             continue
         if tier == "T3" and not (set(principal.roles) & {"admin", "marketing"} or owner):
@@ -127,7 +123,7 @@ def as_documents(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 def pii_reads(df: DataFrame, principal: Principal, entity: str, key: str, at: str) -> DataFrame:
     """Audit rows: one per contact field that was actually emitted."""
-    watched = [f for f, t in tier_of(entity).items() if t == "T3" and f in df.columns]
+    watched = [f for f, t in R.FIELD_TIERS[entity].items() if t == "T3" and f in df.columns]
     read = F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in watched]),
                     lambda f: f.isNotNull()) if watched else F.array().cast("array<string>")
     return df.select(
