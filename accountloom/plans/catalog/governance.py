@@ -110,7 +110,7 @@ def role_reconcile(spark, folder):
 
 
 _PERMS = "(VALUES " + ", ".join(
-    f"('{p}', '{r}')" for p, rs in A.R.PERMISSIONS.items() for r in rs.split()) + ") m(permission, role)"
+    f"('{p}', '{r}')" for p, rs in A.R.PERMISSIONS.items() for r in rs) + ") m(permission, role)"
 
 
 @query("effective_permissions", f"WITH {GRANTS} SELECT DISTINCT user_id, permission FROM grants JOIN {_PERMS} USING (role)")
@@ -231,7 +231,7 @@ def offboarding(spark, folder):
 
 @query("user_upsert", """
 WITH e AS (SELECT s_nationkey AS tenant_id, s_suppkey AS subject, s_name AS name0, s_acctbal > 0 AS is_active FROM supplier),
-p AS (SELECT c_nationkey AS tenant_id, c_custkey AS subject, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000)
+p AS (SELECT c_nationkey AS tenant_id, c_custkey AS subject, c_name, c_acctbal FROM customer)
 SELECT tenant_id, subject, CASE WHEN c_name IS NOT NULL THEN lower(c_name) || '@example.com' ELSE lower(name0) || '@example.org' END AS email,
   CASE WHEN c_name IS NULL THEN name0 WHEN c_acctbal > 8000 THEN c_name || ' of Segment' ELSE lower(c_name) END AS display_name,
   CASE WHEN c_name IS NULL THEN 'S' WHEN c_acctbal > 8000 THEN 'CS' END AS initials,
@@ -243,7 +243,7 @@ def user_upsert(spark, folder):
         F.col("s_nationkey").alias("tenant_id"), F.col("s_suppkey").alias("subject"),
         F.concat(F.lower("s_name"), F.lit("@example.org")).alias("email"), F.col("s_name").alias("display_name"),
         F.lit("S").alias("initials"), (F.col("s_acctbal") > 0).alias("is_active"))
-    profiles = table(spark, folder, "customer").filter("c_acctbal > 5000").select(
+    profiles = table(spark, folder, "customer").select(
         F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("subject"),
         F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
         F.when(F.col("c_acctbal") > 8000, F.concat("c_name", F.lit(" of Segment"))).alias("name"))

@@ -156,7 +156,7 @@ def customer_suppression(spark, folder):
 
 
 @query("reconcile", S.BASE + f""",
-crm AS (SELECT p_name || ' Company' AS nm FROM part WHERE p_brand <> 'Brand#3' AND p_size > 2),
+crm AS (SELECT p_name || CASE WHEN p_brand = 'Brand#3' OR p_size <= 2 THEN ' Trading' ELSE ' Company' END AS nm FROM part),
 a AS (SELECT {S.key_of('nm')} AS key, min(nm) AS crm_name, count(*) AS crm_rows FROM crm GROUP BY 1),
 b AS (SELECT {S.key_of('reported')} AS key, min(reported) AS registry_name, count(*) AS registry_rows
       FROM named WHERE reported IS NOT NULL GROUP BY 1)
@@ -164,9 +164,9 @@ SELECT key, crm_name, crm_rows, registry_name, registry_rows,
   CASE WHEN registry_name IS NULL THEN 'crm_only' WHEN crm_name IS NULL THEN 'registry_only' ELSE 'matched' END AS status
 FROM a FULL JOIN b USING (key)""")
 def reconcile(spark, folder):
-    """Part names as the sales list, reported names as the registry."""
-    crm = table(spark, folder, "part").filter("p_brand <> 'Brand#3' and p_size > 2").select(
-        F.concat("p_name", F.lit(" Company")).alias("name"))
+    """Part names as the sales list, some under a name the registry lacks; reported names as the registry."""
+    ending = F.when((F.col("p_brand") == "Brand#3") | (F.col("p_size") <= 2), " Trading").otherwise(" Company")
+    crm = table(spark, folder, "part").select(F.concat("p_name", ending).alias("name"))
     sites = registry_run(spark, folder).sites.filter("reported is not null")
     return M.reconcile(crm, "name", sites, "reported")
 

@@ -144,9 +144,16 @@ def max_charge_by_chemical(spark, folder):
 
 
 @query("filings_dedup", S.BASE + """
+SELECT facility_id, facility_name, city, state, naics, charge_lb, is_deregistered FROM filings""")
+def filings_dedup(spark, folder):
+    return filings(spark, folder).select("facility_id", "facility_name", "city", "state", "naics", "charge_lb",
+                                         "is_deregistered")
+
+
+@query("filings_in_scope", S.BASE + """
 SELECT facility_id, facility_name, city, state, naics, charge_lb, is_deregistered
 FROM filings WHERE naics IN ('Brand#1', 'Brand#12', 'Brand#7')""")
-def filings_dedup(spark, folder):
+def filings_in_scope(spark, folder):
     f = P.in_scope(filings(spark, folder), naics=["Brand#1", "Brand#12", "Brand#7"])
     return f.select("facility_id", "facility_name", "city", "state", "naics", "charge_lb",
                     "is_deregistered")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from accountloom.operators import identity as I
 from accountloom.operators import research as X
-from accountloom.operators.ordering import top_n
+from accountloom.operators.ordering import global_rank
 from accountloom.plans import queue as RQ
 from accountloom.plans.catalog import query
 from accountloom.plans.catalog import registry_sql as S
@@ -59,7 +59,7 @@ def signal_impact(spark, folder):
 
 
 @query("pain_severity", """
-WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+WITH f AS (SELECT l_orderkey - l_orderkey % 4 + l_linenumber % 3 AS l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS pain_id, coalesce(n, 0) AS n_facts,
   least(o_orderkey % 5 + 1, CASE WHEN n IS NULL THEN 2 WHEN n < 2 THEN 4 ELSE 5 END)::INTEGER AS final_severity,
   o_orderstatus = 'P' AS rejected FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
@@ -68,7 +68,8 @@ def pain_severity(spark, folder):
     evidence = F.when(F.col("o_orderstatus") == "P", "a general need").otherwise(
         F.concat(F.lit("order of "), F.date_format("o_orderdate", "yyyy-MM-dd")))
     pains = o.select(F.col("o_orderkey").alias("pain_id"), (F.col("o_orderkey") % 5 + 1).alias("severity"), evidence.alias("evidence"))
-    links = table(spark, folder, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("pain_id"))
+    links = table(spark, folder, "lineitem").select(
+        F.expr("l_orderkey - l_orderkey % 4 + l_linenumber % 3").alias("pain_id"))  # every line cites one pain of its four orders
     return X.pain_severity(pains, links, "pain_id", r"[0-9]{4}-[0-9]{2}-[0-9]{2}").select(
         "pain_id", "n_facts", "final_severity", "rejected")
 
@@ -238,32 +239,36 @@ def text_search(spark, folder):
 
 
 _WHITE = S.ROLLED + f""",
-crm AS (SELECT DISTINCT {S.key_of('p_name')} AS account_key FROM part WHERE p_size > 49),
+crm AS (SELECT {S.key_of('p_name')} AS account_key FROM part GROUP BY 1 HAVING bool_or(p_size > 49)),
 white AS (SELECT account_key, account, round((icp_score / 100::DOUBLE) * CASE WHEN states > 5 THEN 0.9 ELSE 0.6 END::DOUBLE
   * CASE WHEN primary_rto IN ('ASIA', 'EUROPE') THEN 1.0 ELSE 0.7 END::DOUBLE * (1 + sites_with_accidents::DOUBLE / sites), 6) AS whitespace_score, rank
   FROM accounts WHERE account_key NOT IN (SELECT account_key FROM crm))"""
 
 
-@query("whitespace_ranking", _WHITE + "SELECT account_key, account, whitespace_score FROM white ORDER BY whitespace_score DESC, rank LIMIT 25")
+@query("whitespace_ranking", _WHITE + """
+SELECT account_key, account, whitespace_score, row_number() OVER (ORDER BY whitespace_score DESC, rank) AS place FROM white""")
 def whitespace_ranking(spark, folder):
-    """The 25 most valuable accounts that the sales list does not hold."""
+    """Every account that the sales list does not hold, the most valuable first."""
     from accountloom.functions.names import match_key
 
-    crm = table(spark, folder, "part").filter("p_size > 49").select(match_key(F.col("p_name")).alias("account_key")).distinct()
+    crm = table(spark, folder, "part").groupBy(match_key(F.col("p_name")).alias("account_key")).agg(
+        F.bool_or(F.col("p_size") > 49).alias("held")).filter("held")
     rows = X.whitespace(registry_run(spark, folder).accounts, crm, "account_key",
                         F.when(F.col("states") > 5, 0.9).otherwise(0.6),
                         F.when(F.col("primary_rto").isin("ASIA", "EUROPE"), 1.0).otherwise(0.7))
-    return top_n(rows, 25, F.desc("whitespace_score"), F.asc("rank")).select("account_key", "account", "whitespace_score")
+    return global_rank(rows, [F.desc("whitespace_score"), F.asc("rank")], "place").select(
+        "account_key", "account", "whitespace_score", "place")
 
 
 @query("queue_by_severity", """
-SELECT event_id, severity, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM (SELECT *, CASE event_type WHEN 'error' THEN 'blocking' WHEN 'signup' THEN 'waiting' ELSE 'info' END AS severity FROM events)
-ORDER BY CASE severity WHEN 'blocking' THEN 1 WHEN 'waiting' THEN 2 ELSE 3 END, ts, event_id LIMIT 200""")
+SELECT event_id, severity, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at,
+  row_number() OVER (ORDER BY CASE severity WHEN 'blocking' THEN 1 WHEN 'waiting' THEN 2 ELSE 3 END, ts, event_id) AS rank
+FROM (SELECT *, CASE event_type WHEN 'error' THEN 'blocking' WHEN 'signup' THEN 'waiting' ELSE 'info' END AS severity FROM events)""")
 def queue_by_severity(spark, folder):
-    """The head of the one ranked list: severity, then age."""
+    """The one ranked list, whole: severity, then age."""
     severity = F.when(F.col("event_type") == "error", "blocking").when(F.col("event_type") == "signup", "waiting").otherwise("info")
     rows = table(spark, folder, "events").select("event_id", severity.alias("severity"), F.col("ts").alias("created_at"))
-    return top_n(rows, 200, *RQ.ranked(rows), F.asc("event_id")).withColumn(
+    return global_rank(rows, [*RQ.ranked(rows), F.asc("event_id")]).withColumn(
         "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -292,8 +297,10 @@ def cost_rollup(spark, folder):
 @query("connector_health", """
 SELECT source, strftime(max(ts) FILTER (event_type <> 'error'), '%Y-%m-%d %H:%M:%S') AS last_success,
   count(*) FILTER (event_type <> 'error') AS rows, count(*) FILTER (event_type = 'error') AS failures
-FROM documents JOIN events ON event_id = doc_id GROUP BY 1""")
+FROM (SELECT 'src' || event_id % 20 AS source, ts, event_type FROM events) GROUP BY 1""")
 def connector_health(spark, folder):
-    pulls = table(spark, folder, "documents").select("doc_id", "source").join(
-        table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), "ts", (F.col("event_type") == "error").alias("failed")), "doc_id")
+    """Every event is a pull of one of twenty connectors."""
+    pulls = table(spark, folder, "events").select(
+        F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("source"), "ts",
+        (F.col("event_type") == "error").alias("failed"))
     return X.connector_health(pulls, "source", "ts").withColumn("last_success", F.date_format("last_success", "yyyy-MM-dd HH:mm:ss"))

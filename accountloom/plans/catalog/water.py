@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from accountloom.operators.ordering import top_n
 from accountloom.plans import water as W
 from accountloom.plans.catalog import query
 from accountloom.plans.catalog import registry_sql as S
@@ -138,13 +137,6 @@ def water_icp_rank(spark, folder):
     return fresh_water_run(spark, folder).accounts.select(*ACCOUNT, "icp_score", "rank", "icp.components.*")
 
 
-@query("water_top_accounts", _ROLLED + """
-SELECT account, icp_score, rank FROM accounts ORDER BY icp_score DESC, rank LIMIT 12""")
-def water_top_accounts(spark, folder):
-    return top_n(water_run(spark, folder).accounts, 12, F.desc("icp_score"), F.asc("rank")).select(
-        "account", "icp_score", "rank")
-
-
 @query("water_site_measures", _SITES + """
 SELECT facility_id, chlorine_lb::BIGINT AS chlorine_lb, ammonia_lb, validated, validation_note, est_peak_kw, buffer_class FROM sites""")
 def water_site_measures(spark, folder):
