@@ -60,7 +60,7 @@ def run_triage(spark: SparkSession, args: argparse.Namespace) -> None:
                             triage.previous_snapshot(spark, args.snapshots), limit=args.limit, versions=versions)
     out.verdict.show()
     sinks.write_triage(out.results, f"{args.outdir}/triage_csv")
-    sinks.write_snapshot(out.snapshot, args.snapshots, args.run)
+    sinks.write_snapshot(out.snapshot, args.snapshots, args.run, args.judged_at)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -80,7 +80,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--run", required=True)
             c.add_argument("--judged-at", required=True)
             c.add_argument("--model-version", default="rule-judge")
-            c.add_argument("--limit", type=int, default=50)
+            c.add_argument("--limit", type=int, help="judge only so many of the best-ranked accounts")
             c.add_argument("--mock", action="store_true")
         else:
             c.add_argument("--dry-run", action="store_true")

@@ -24,11 +24,16 @@ class Triage:
     snapshot: DataFrame
 
 
-def judge_missing(accounts: DataFrame, sites: DataFrame, sidecar_path: str, *, limit: int, judged_at: str,
+def targets(accounts: DataFrame, limit: int | None) -> DataFrame:
+    """The best-ranked accounts, or all of them without a limit."""
+    return accounts if limit is None else top_n(accounts, limit, F.asc("rank"))
+
+
+def judge_missing(accounts: DataFrame, sites: DataFrame, sidecar_path: str, *, limit: int | None, judged_at: str,
                   prompt_version: str = R.PROMPT_VERSION, model_version: str = "rule-judge") -> None:
     """Answer, by the rule judge, the top accounts whose evidence is not in the sidecar."""
     spark = accounts.sparkSession
-    states = J.build_states(top_n(accounts, limit, F.asc("rank")), sites)
+    states = J.build_states(targets(accounts, limit), sites)
     asked = J.with_request_hash(states, prompt_version, model_version)
     _, todo = J.split_by_cache(asked, SC.read_sidecar(spark, sidecar_path))
     rows = J.judge_by_rules(todo.drop("request_hash"), judged_at, prompt_version, model_version)
@@ -44,11 +49,20 @@ def previous_snapshot(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], VERSION_COLUMNS)
 
 
-def run_triage(accounts: DataFrame, sidecar: DataFrame, snapshot: DataFrame, *, limit: int = 50,
+def run_triage(accounts: DataFrame, sidecar: DataFrame, snapshot: DataFrame, *, limit: int | None = None,
                versions: dict[str, str], budget: int = R.SHIFT_BUDGET) -> Triage:
-    """Compose the top accounts and hold them against the pinned snapshot."""
-    results = J.compose(top_n(accounts, limit, F.asc("rank")), J.latest_judgments(sidecar),
-                        versions["rules_version"])
+    """Compose the accounts and hold them against the pinned snapshot.
+
+    With a limit only the best-ranked accounts are judged; every other account has a
+    ``not_targeted`` row with its own score.
+    """
+    chosen = targets(accounts, limit)
+    results = J.compose(chosen, J.latest_judgments(sidecar), versions["rules_version"])
     verdict = J.gate_verdict(results, snapshot, versions, budget)
-    return Triage(J.quarantine(results, verdict), verdict,
-                  J.next_snapshot(results, snapshot, verdict, versions))
+    shown = J.quarantine(results, verdict)
+    if limit is not None:
+        others = J.compose(accounts.join(chosen.select("account"), "account", "left_anti"),
+                           sidecar.limit(0), versions["rules_version"])
+        shown = shown.unionByName(others.withColumns({
+            "disposition": F.lit("not_targeted"), "note": F.lit("outside the judged accounts")}))
+    return Triage(shown, verdict, J.next_snapshot(results, snapshot, verdict, versions))

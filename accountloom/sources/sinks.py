@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def accounts_table(run: RegistryRun) -> DataFrame:
 
 def queue_table(run: RegistryRun) -> DataFrame:
     return cold_queue(run).withColumnsRenamed(
-        {"facility_id": "rmp_id", "charge_lb": "ammonia_lb"}).orderBy("kind_ord").select(*QUEUE_COLUMNS)
+        {"facility_id": "rmp_id", "charge_lb": "ammonia_lb"}).orderBy("kind_ord", "rmp_id", "reported_name").select(*QUEUE_COLUMNS)
 
 
 def write_registry(run: RegistryRun, folder: str, provenance: Mapping[str, str]) -> None:
@@ -84,17 +85,36 @@ def write_triage(results: DataFrame, path: str) -> None:
     write_csv(results.select(*TRIAGE_COLUMNS), path)
 
 
-def write_snapshot(snapshot: DataFrame, path: str, run: str) -> None:
-    """Pin a snapshot under its run; earlier runs stay as they are."""
-    snapshot.withColumn("run", F.lit(run)).write.mode("append").partitionBy(
-        "run", "rules_version", "prompt_version").parquet(path)
+SNAPSHOT_SCHEMA = ("account string, score bigint, model_version string, run string, taken_at string, "
+                   "rules_version string, prompt_version string")
+
+
+def write_snapshot(snapshot: DataFrame, path: str, run: str, taken_at: str) -> None:
+    """Pin a snapshot under its run; earlier runs stay as they are and a run is written once.
+
+    ``taken_at`` is an ISO time and decides which snapshot is the newest; names do not.
+    """
+    try:
+        used = not read_all_snapshots(snapshot.sparkSession, path).filter(F.col("run") == run).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        used = False
+    if used:
+        raise ValueError(f"run {run} already has a snapshot")
+    snapshot.withColumns({"run": F.lit(run), "taken_at": F.lit(taken_at)}).write.mode("append").partitionBy(
+        "rules_version", "prompt_version").parquet(path)
+
+
+def read_all_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot of the newest run."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max(F.col("run").cast("string"))).scalar()
-    return rows.filter(F.col("run").cast("string") == newest).drop("run")
+    """The snapshot that was taken last; of two taken at once, the later run name."""
+    rows = read_all_snapshots(spark, path)
+    newest = rows.agg(F.max(F.struct("taken_at", "run")).alias("n")).select("n.run").scalar()
+    return rows.filter(F.col("run") == newest).drop("run", "taken_at")
 
 
 def check_golden(actual: DataFrame, expected: DataFrame, keys: list[str]) -> None:

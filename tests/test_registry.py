@@ -10,7 +10,7 @@ from accountloom.plans import registry as P
 from accountloom.plans.profiles import COLD, WATER
 from accountloom.plans.queue import queue_counts
 from accountloom.plans.water import run_water
-from accountloom.sources import sinks
+from accountloom.sources import sinks, snapshots
 from accountloom.sources.snapshots import normalise, read_pages, read_snapshot, registry_filings
 
 META = {"dataset_version": "7", "pulled": "2026-09-13", "source": "registry", "licence": "CC BY-SA 4.0",
@@ -242,7 +242,8 @@ def test_command_line(spark, tmp_path):
         main(["triage", "--from-json", path, "--sidecar", str(tmp_path / "side"), "--snapshots", str(tmp_path / "snaps"),
               "--outdir", str(tmp_path / run), "--run", run, "--judged-at", at, "--mock", "--limit", "5"])
     triage_rows = spark.read.csv(str(tmp_path / "r2" / "triage_csv"), header=True).collect()
-    assert len(triage_rows) == 5 and {r["note"] for r in triage_rows} == {"mock_source_no_lift"}
+    targeted = [r for r in triage_rows if r["disposition"] != "not_targeted"]
+    assert len(triage_rows) == 8 and len(targeted) == 5 and {r["note"] for r in targeted} == {"mock_source_no_lift"}
 
 
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
@@ -260,3 +261,34 @@ def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
         session.shared_folder(Spark())
     Spark.sparkContext.master = "local[2]"
     assert session.shared_folder(Spark()) == session.shared_folder(Spark())
+
+
+def test_several_files_keep_one_order(spark, tmp_path):
+    """The last file by name holds the last filing, whatever the number of partitions."""
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    land(folder, [filing("same", "First Parent"), filing("a", "A")], "1.json")
+    land(folder, [filing("b", "B"), filing("same", "Second Parent")], "2.json")
+    landed = read_snapshot(spark, str(folder))
+    assert landed.select("ord").distinct().count() == landed.count() == 4
+    for n in (1, 7):
+        last = snapshots.keep_last_filing(landed.repartition(n)).filter("facilityId = 'same'").collect()
+        assert [(r["parentCompanyName"], r["ord"]) for r in last] == [("Second Parent", 0)]
+
+
+def test_filings_by_line_equal_the_envelope(spark, tmp_path):
+    landed = read_snapshot(spark, land(tmp_path, NAMED))
+    for form in ("json", "parquet"):
+        landed.write.format(form).save(str(tmp_path / form))
+        again = snapshots.read_landed(spark, str(tmp_path / form), form)
+        assert sorted(map(str, normalise(again).collect())) == sorted(map(str, normalise(landed).collect()))
+    assert [p["licence"] for p in snapshots.provenance_of(landed)] == ["CC BY-SA 4.0"]
+    with pytest.raises(ValueError):
+        snapshots.provenance_of(landed.withColumn("licence", F.lit(None).cast("string")))
+
+
+def test_a_page_may_land_once(spark, tmp_path):
+    for name in ("1.json", "2.json"):
+        (tmp_path / name).write_text(json.dumps({"meta": META, "page": 1, "total": 2, "facilities": [filing(1)]}))
+    with pytest.raises(ValueError):
+        read_pages(spark, str(tmp_path))
