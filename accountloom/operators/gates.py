@@ -106,10 +106,8 @@ def conflicts(facts: DataFrame, subject: Sequence[str], value: str, at: str) ->
 
 def source_confidence(kind: Column) -> Column:
     """What a source kind can earn; the lowest level for anything unknown."""
-    out = F.lit(1)
-    for level, kinds in R.SOURCE_CONFIDENCE.items():
-        out = F.when(kind.isin(*kinds.split()), level).otherwise(out)
-    return out
+    levels = F.create_map(*[F.lit(x) for item in R.SOURCE_CONFIDENCE.items() for x in item])
+    return F.coalesce(F.try_element_at(levels, F.coalesce(kind, F.lit(""))), F.lit(1))
 
 
 def promote(facts: DataFrame, claim: Sequence[str], source: str) -> DataFrame:

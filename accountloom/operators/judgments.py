@@ -16,6 +16,8 @@ from accountloom import refdata as R
 from accountloom.functions.measures import fingerprint
 from accountloom.operators.ordering import first_seen_names, latest_per_key
 
+MARKS = {"elevated": R.RULE_JUDGE_ELEVATED, "sewer": R.RULE_JUDGE_SEWER,
+         "treatment": R.RULE_JUDGE_TREATMENT, "industrial": R.RULE_JUDGE_INDUSTRIAL}
 STATE_FIELDS = ("account", "vertical_naics", "states", "site_count", "total_chlorine_lb",
                 "site_names_sample", "additional_sites_not_listed")
 
@@ -23,16 +25,25 @@ STATE_FIELDS = ("account", "vertical_naics", "states", "site_count", "total_chlo
 # --- evidence ----------------------------------------------------------------
 
 def build_states(accounts: DataFrame, sites: DataFrame, cap: int = R.MAX_SITE_NAMES) -> DataFrame:
-    """One evidence row per account: its figures and its first ``cap`` site names."""
+    """One evidence row per account: its figures, its first ``cap`` site names, and marks.
+
+    The names are the text of a request and have a length; the marks, which patterns
+    occur among the names, are over all sites.
+    """
     place = F.concat(F.trim("facility_name"), F.lit(" ("), F.coalesce("city", F.lit("?")),
                      F.lit(", "), F.coalesce("state", F.lit("?")), F.lit(")"))
     names = first_seen_names(sites, ["account_key"], F.col("facility_name"), place, "ord", cap)
-    return accounts.join(names, "account_key", "left").select(
+    low = F.lower(place)
+    marks = sites.groupBy("account_key").agg(F.struct(*[
+        F.coalesce(F.bool_or(low.rlike(p)), F.lit(False)).alias(n) for n, p in MARKS.items()]).alias("marks"))
+    named = accounts.join(names, "account_key", "left").join(marks, "account_key", "left")
+    return named.select(
         "account_key", "account", F.col("primary_naics").alias("vertical_naics"),
         F.col("state_list").alias("states"), F.col("sites").alias("site_count"),
         F.col("chlorine_lb").alias("total_chlorine_lb"),
         F.coalesce("names", F.array().cast("array<string>")).alias("site_names_sample"),
-        F.coalesce("overflow", F.lit(0)).alias("additional_sites_not_listed"))
+        F.coalesce("overflow", F.lit(0)).alias("additional_sites_not_listed"),
+        F.coalesce("marks", F.struct(*[F.lit(False).alias(n) for n in MARKS])).alias("marks"))
 
 
 def with_request_hash(states: DataFrame, prompt_version: str, model_version: str) -> DataFrame:
@@ -51,11 +62,9 @@ def split_by_cache(states: DataFrame, sidecar: DataFrame) -> tuple[DataFrame, Da
 
 # --- answers -----------------------------------------------------------------
 
-def rule_judge(names: Column) -> Column:
+def rule_judge(marks: Column) -> Column:
     """Deterministic stand-in judge over site names: level, probabilities, two yes-probabilities."""
-    text = F.lower(F.concat_ws(" | ", names))
-    elevated, sewer = text.rlike(R.RULE_JUDGE_ELEVATED), text.rlike(R.RULE_JUDGE_SEWER)
-    industrial = text.rlike(R.RULE_JUDGE_INDUSTRIAL)
+    elevated, sewer, industrial = marks["elevated"], marks["sewer"], marks["industrial"]
 
     def answer(case: str) -> Column:
         level, spread = R.RULE_JUDGE_SPREADS[case]
@@ -65,7 +74,7 @@ def rule_judge(names: Column) -> Column:
     buffer = (F.when(elevated & ~sewer, answer("elevated"))
               .when(elevated & sewer, answer("elevated_and_sewer"))
               .when(sewer, answer("sewer"))
-              .when(text.rlike(R.RULE_JUDGE_TREATMENT), answer("treatment"))
+              .when(marks["treatment"], answer("treatment"))
               .otherwise(answer("nothing")))
     return F.struct(
         buffer.alias("buffer_class"),
@@ -93,7 +102,7 @@ def judge_by_rules(states: DataFrame, judged_at: str, prompt_version: str = R.PR
                    model_version: str = "rule-judge") -> DataFrame:
     """Sidecar rows from the rule judge, tagged ``mock`` so that they can never move a score."""
     answered = with_request_hash(states, prompt_version, model_version).withColumn(
-        "answers", rule_judge(F.col("site_names_sample")))
+        "answers", rule_judge(F.col("marks")))
     return answered.select(
         "request_hash", fingerprint(F.to_json("answers")).alias("response_hash"),
         F.lit(prompt_version).alias("prompt_version"), F.lit(model_version).alias("model_version"),

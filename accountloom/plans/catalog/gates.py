@@ -184,13 +184,19 @@ def conflicts(spark, folder):
     return G.conflicts(facts(spark, folder), ["account_id", "predicate"], "value", "as_of")
 
 
-@query("confidence_promotion", "WITH " + FACTS_SQL + """
-SELECT fact_id, source_kind, CASE WHEN hit THEN 3 ELSE confidence END::INTEGER AS confidence, hit AS corroborated
-FROM (SELECT f.*, f.confidence = 2 AND EXISTS (SELECT 1 FROM facts s WHERE s.confidence = 3 AND s.account_id = f.account_id
-    AND s.predicate = f.predicate AND s.value = f.value AND s.source_kind <> f.source_kind) AS hit FROM facts f)""")
+@query("confidence_promotion", "WITH " + FACTS_SQL + """,
+facts_by AS (SELECT * REPLACE (account_id % 40 AS account_id, substr(value, 1, 1) AS value),
+  'publisher-' || fact_id % 3 AS source_id FROM facts)
+SELECT fact_id, source_kind, source_id, CASE WHEN hit THEN 3 ELSE confidence END::INTEGER AS confidence, hit AS corroborated
+FROM (SELECT f.*, f.confidence = 2 AND EXISTS (SELECT 1 FROM facts_by s WHERE s.confidence = 3 AND s.account_id = f.account_id
+    AND s.predicate = f.predicate AND s.value = f.value AND s.source_id <> f.source_id) AS hit FROM facts_by f)""")
 def confidence_promotion(spark, folder):
-    return G.promote(facts(spark, folder), ["account_id", "predicate", "value"], "source_kind").select(
-        "fact_id", "source_kind", "confidence", "corroborated")
+    """Three publishers, each with strong and weak pages: one of them repeating itself is no second source."""
+    rows = facts(spark, folder).withColumns({
+        "account_id": F.col("account_id") % 40, "value": F.substr("value", F.lit(1), F.lit(1)),
+        "source_id": F.concat(F.lit("publisher-"), (F.col("fact_id") % 3).cast("string"))})
+    return G.promote(rows, ["account_id", "predicate", "value"], "source_id").select(
+        "fact_id", "source_kind", "source_id", "confidence", "corroborated")
 
 
 @query("capture_decay", "WITH " + FACTS_SQL + """
@@ -234,11 +240,11 @@ def activity_attribution(spark, folder):
 @query("plays_already_tried", """
 WITH f AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
 SELECT DISTINCT o.o_custkey, o.o_orderpriority, coalesce(n, 0) AS failed_attempts, n IS NOT NULL AS suppress
-FROM orders o LEFT JOIN f USING (o_custkey, o_orderpriority) WHERE o.o_orderstatus = 'O'""")
+FROM orders o LEFT JOIN f USING (o_custkey, o_orderpriority) WHERE o.o_orderstatus <> 'F'""")
 def plays_already_tried(spark, folder):
     orders = table(spark, folder, "orders")
     keys = ["o_custkey", "o_orderpriority"]
-    return G.already_tried(orders.filter("o_orderstatus = 'O'").select(*keys).distinct(),
+    return G.already_tried(orders.filter("o_orderstatus <> 'F'").select(*keys).distinct(),
                            orders.filter("o_orderstatus = 'F'"), keys)
 
 

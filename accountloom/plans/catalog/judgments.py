@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accountloom import refdata as R
@@ -27,46 +27,57 @@ def _states(spark, folder) -> DataFrame:
     return J.build_states(run.accounts, run.keyed_sites.withColumn("account_key", F.col("key")))
 
 
+def _digit(n: int) -> Column:
+    """The n-th hexadecimal digit of the key's hash, as a number."""
+    return F.expr(f"locate(substr(sha2(account_key, 256), {n}, 1), '0123456789abcdef') - 1")
+
+
+def _digit_sql(n: int) -> str:
+    return f"(strpos('0123456789abcdef', substr(sha256(account_key), {n}, 1)) - 1)"
+
+
 def _sidecar(accounts: DataFrame) -> DataFrame:
     """A judgment table that follows from the accounts: two rows per account, so
-    that the newer one must win, over every level, source and probability."""
-    n, lb = F.col("sites"), F.col("chlorine_lb")
-    turn = accounts.select("account_key", "account", n, lb, "accidents", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
-    level = ((lb / 500).cast("long") + F.col("turn")) % 5
+    that the newer one must win, over every level, source and probability.  One
+    account in sixteen has none."""
+    turn = accounts.filter(_digit(5) != 3).select(
+        "account_key", "account", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    level = (_digit(1) + F.col("turn")) % 5
+    origin = _digit(2) + F.col("turn")
     return turn.select(
         fingerprint(F.col("account_key"), F.col("turn").cast("string")).alias("request_hash"),
         fingerprint(F.col("account"), F.col("turn").cast("string")).alias("response_hash"),
         F.lit(R.PROMPT_VERSION).alias("prompt_version"), F.lit("judge-1").alias("model_version"),
-        F.when((n + F.col("turn")) % 7 == 0, "mock").when((n + F.col("turn")) % 7 == 1, "live").otherwise("engine").alias("source"),
+        F.when(origin < 2, "mock").when(origin < 4, "live").otherwise("engine").alias("source"),
         "account",
         F.struct(
             level.cast("int").alias("buffer_level_top"),
-            F.when((lb / 1000).cast("long") % 3 == 0, 0.91).otherwise(0.42).alias("buffer_p_top"),
-            F.when(F.col("accidents") % 6 == 5, 0.7).otherwise(0.12).alias("continuous_p_yes"),
+            F.when(_digit(3) < 9, 0.91).otherwise(0.42).alias("buffer_p_top"),
+            F.when(_digit(4) < 2, 0.7).otherwise(0.12).alias("continuous_p_yes"),
             F.lit(0.9).alias("regulated_p_yes")).alias("judgments"),
         F.when(F.col("turn") == 0, "2026-01-01T00:00:00Z").otherwise("2026-02-01T00:00:00Z").alias("judged_at"))
 
 
-_SIDE = ACCOUNTS_SQL + """,
+_SIDE = ACCOUNTS_SQL + f""",
 side AS (SELECT account, turn,
-    CASE WHEN (sites + turn) % 7 = 0 THEN 'mock' WHEN (sites + turn) % 7 = 1 THEN 'live' ELSE 'engine' END AS source,
-    (floor(chlorine_lb / 500)::BIGINT + turn) % 5 AS top,
-    CASE WHEN floor(chlorine_lb / 1000)::BIGINT % 3 = 0 THEN 0.91 ELSE 0.42 END::DOUBLE AS p,
-    CASE WHEN accidents % 6 = 5 THEN 0.7 ELSE 0.12 END::DOUBLE AS cont,
+    CASE WHEN {_digit_sql(2)} + turn < 2 THEN 'mock' WHEN {_digit_sql(2)} + turn < 4 THEN 'live' ELSE 'engine' END AS source,
+    ({_digit_sql(1)} + turn) % 5 AS top,
+    CASE WHEN {_digit_sql(3)} < 9 THEN 0.91 ELSE 0.42 END::DOUBLE AS p,
+    CASE WHEN {_digit_sql(4)} < 2 THEN 0.7 ELSE 0.12 END::DOUBLE AS cont,
     substr(sha256(account_key || chr(31) || turn), 1, 16) AS request_hash,
     substr(sha256(account || chr(31) || turn), 1, 16) AS response_hash
-  FROM accounts, (VALUES (0), (1)) t(turn)),
+  FROM accounts, (VALUES (0), (1)) t(turn) WHERE {_digit_sql(5)} <> 3),
 latest AS (SELECT * FROM side WHERE turn = 1),
 j0 AS (
   SELECT a.account, icp_score AS baseline_score, sheddability AS baseline_shed, source, top, p, cont,
     request_hash, response_hash,
     meter_size + price_exposure + sheddability + operating_signal + channel_fit AS parts,
     CASE WHEN buffer_class LIKE 'elevated%' THEN 'elevated_any' WHEN buffer_class LIKE 'wet-well%' THEN 'wet_well_only'
-         WHEN buffer_class LIKE 'mixed%' THEN 'mixed' ELSE 'unknown' END AS rule_buffer,
-    CASE top WHEN 0 THEN 'wet_well_only' WHEN 1 THEN 'unknown' WHEN 2 THEN 'mixed' WHEN 3 THEN 'elevated_weak' ELSE 'elevated_strong' END AS top_name
-  FROM accounts a JOIN latest l ON a.account = l.account),
+         WHEN buffer_class LIKE 'mixed%' THEN 'mixed' ELSE 'unknown' END AS rule_buffer, l.account IS NOT NULL AS judged,
+    CASE top WHEN 0 THEN 'wet_well_only' WHEN 1 THEN 'unknown' WHEN 2 THEN 'mixed' WHEN 3 THEN 'elevated_weak' WHEN 4 THEN 'elevated_strong' END AS top_name
+  FROM accounts a LEFT JOIN latest l ON a.account = l.account),
 j1 AS (SELECT *, CASE WHEN rule_buffer = 'elevated_any' THEN top >= 3 ELSE top_name = rule_buffer END AS agr FROM j0),
-j2 AS (SELECT *, CASE WHEN source = 'mock' THEN 'mock_source_no_lift' WHEN source = 'live' THEN 'legacy_live_frozen_no_lift'
+j2 AS (SELECT *, CASE WHEN NOT judged THEN 'sidecar miss' WHEN source = 'mock' THEN 'mock_source_no_lift' WHEN source = 'live' THEN 'legacy_live_frozen_no_lift'
     WHEN cont >= 0.5 THEN 'continuous_suspect_demote'
     WHEN top = 4 AND p >= 0.85 AND rule_buffer = 'elevated_any' THEN 'calibrated_high_lift'
     WHEN top = 0 THEN 'wet_well_physics_floor'
@@ -78,11 +89,11 @@ j3 AS (SELECT *, CASE WHEN note IN ('continuous_suspect_demote', 'judge_contradi
     note = 'calibrated_high_lift' AS lifted FROM j2),
 results AS (SELECT account, baseline_score, least(100, parts - baseline_shed + shed)::BIGINT AS final_score,
     baseline_shed, shed, lifted, rule_buffer, top_name AS judge_buffer_top, p AS judge_p_top, cont AS continuous_p_yes,
-    0.9::DOUBLE AS regulated_p_yes, source, note, request_hash, response_hash,
-    CASE WHEN agr THEN 'yes' ELSE 'no' END AS agreement,
-    NOT lifted AND agr AND source = 'engine' AND p >= 0.85 AS confirm_candidate,
+    CASE WHEN judged THEN 0.9::DOUBLE END AS regulated_p_yes, source, note, request_hash, response_hash, judged,
+    CASE WHEN agr THEN 'yes' WHEN NOT agr THEN 'no' ELSE '' END AS agreement,
+    coalesce(NOT lifted AND agr AND source = 'engine' AND p >= 0.85, false) AS confirm_candidate,
     CASE WHEN cont >= 0.5 THEN 'continuous_suspect' ELSE '' END AS review_flag,
-    CASE WHEN cont >= 0.5 THEN 'human-review' WHEN NOT agr AND note LIKE '%demote%' THEN 'demote'
+    CASE WHEN NOT judged THEN 'no_judgment' WHEN cont >= 0.5 THEN 'human-review' WHEN NOT agr AND note LIKE '%demote%' THEN 'demote'
       WHEN NOT lifted AND agr AND source = 'engine' AND p >= 0.85 THEN 'confirm-candidate'
       WHEN lifted THEN 'lifted' ELSE 'keep' END AS disposition FROM j3)"""
 
@@ -95,14 +106,14 @@ def _composed(spark, folder) -> DataFrame:
 
 
 @query("judgment_compose", _SIDE + """
-SELECT *, final_score - baseline_score AS delta, 'optb-v1' AS rules_version, 'judge-1' AS model_version,
-  'uc1-water-v1' AS prompt_version, 'deterministic' AS qualification_basis, true AS judged FROM results""")
+SELECT *, final_score - baseline_score AS delta, 'optb-v1' AS rules_version, CASE WHEN judged THEN 'judge-1' END AS model_version,
+  CASE WHEN judged THEN 'uc1-water-v1' END AS prompt_version, 'deterministic' AS qualification_basis FROM results""")
 def judgment_compose(spark, folder):
     return _composed(spark, folder)
 
 
 @query("judgment_counts", _SIDE + """
-SELECT source, disposition, count(*) AS n, count(*) FILTER (lifted) AS lifted FROM results GROUP BY ALL""")
+SELECT coalesce(source, 'missing') AS source, disposition, count(*) AS n, count(*) FILTER (lifted) AS lifted FROM results GROUP BY ALL""")
 def judgment_counts(spark, folder):
     return J.run_counts(_composed(spark, folder))
 
@@ -136,6 +147,29 @@ def judgment_gate_verdict(spark, folder):
     return J.gate_verdict(results, _old_snapshot(results), VERSIONS)
 
 
+def _near_snapshot(spark, folder, results: DataFrame) -> DataFrame:
+    """A pinned snapshot that differs from the results in three accounts, within the budget."""
+    ranks = water_run(spark, folder).accounts.select("account", "rank")
+    return results.join(ranks, "account").select(
+        "account", (F.col("final_score") + F.when(F.col("rank") <= 3, 1).otherwise(0)).alias("score"),
+        F.lit("optb-v0").alias("rules_version"), F.lit(R.PROMPT_VERSION).alias("prompt_version"),
+        F.lit("judge-1").alias("model_version"))
+
+
+@query("judgment_gate_passing", _SIDE + """
+SELECT account, final_score, disposition, note, lifted, 3 AS moved, 'optb-v1' AS pinned_rules FROM results""")
+def judgment_gate_passing(spark, folder):
+    """A rules change that moves few labelled scores: results stay and the snapshot advances."""
+    results = _composed(spark, folder)
+    snapshot = _near_snapshot(spark, folder, results)
+    verdict = J.gate_verdict(results, snapshot, VERSIONS)
+    pinned = J.next_snapshot(results, snapshot, verdict, VERSIONS).select(
+        "account", F.col("rules_version").alias("pinned_rules"))
+    return J.quarantine(results, verdict).join(pinned, "account").select(
+        "account", "final_score", "disposition", "note", "lifted",
+        verdict.select(F.col("moved").cast("int")).scalar().alias("moved"), "pinned_rules")
+
+
 @query("judgment_snapshot", _SIDE + """,
 v AS (SELECT count(*) FILTER (final_score <> baseline_score) AS moved FROM results)
 SELECT account, CASE WHEN moved > 5 THEN baseline_score ELSE final_score END AS score,
@@ -168,18 +202,27 @@ def judgment_states(spark, folder):
         F.col("additional_sites_not_listed").alias("overflow"))
 
 
-@query("judgment_rule_judge", _STATES + """,
-t AS (SELECT account, lower(names) AS names FROM accounts JOIN states_of USING (account_key)),
+_KIND = "CASE WHEN d < 3 THEN ' Reservoir' WHEN d < 6 THEN ' Sewer' WHEN d < 9 THEN ' Treatment' WHEN d < 11 THEN ' Reservoir Sewer' WHEN d < 12 THEN ' Fertilizer' ELSE '' END"
+
+
+@query("judgment_rule_judge", _STATES + f""",
+every AS (SELECT key AS account_key, trim(facility_name) || ' (' || city || ', ' || state || ')' AS shown FROM keyed),
+suffixed AS (SELECT account_key, shown || {_KIND} AS shown FROM (SELECT *, {_digit_sql(6)} AS d FROM every)),
+t AS (SELECT account, lower(string_agg(shown, ' | ')) AS names FROM accounts JOIN suffixed USING (account_key) GROUP BY account),
 f AS (SELECT account, regexp_matches(names, 'elevat|storage tank|pumping station|pump station|distribution|reservoir|standpipe|boost') AS elev,
   regexp_matches(names, 'sewer|wastewater|waste water|pollution control') AS sewer,
   regexp_matches(names, 'treatment|plant|wwtp|reclamation|resource recovery') AS treat,
-  regexp_matches(names, 'fertilizer|chemical|refinery|mill|plant site \\d') AS ind FROM t)
+  regexp_matches(names, 'fertilizer|chemical|refinery|mill|plant site [0-9]') AS ind FROM t)
 SELECT account, 'mock' AS source,
   CASE WHEN elev AND NOT sewer THEN 4 WHEN elev THEN 2 WHEN sewer THEN 0 WHEN treat THEN 3 ELSE 1 END::INTEGER AS top,
   CASE WHEN elev AND NOT sewer THEN 0.65 WHEN elev THEN 0.55 WHEN sewer THEN 0.72 WHEN treat THEN 0.6 ELSE 0.55 END::DOUBLE AS p_top,
   CASE WHEN ind THEN 0.85 ELSE 0.06 END::DOUBLE AS continuous_p_yes, CASE WHEN ind THEN 0.3 ELSE 0.9 END::DOUBLE AS regulated_p_yes FROM f""")
 def judgment_rule_judge(spark, folder):
-    rows = J.judge_by_rules(_states(spark, folder), "2026-01-01T00:00:00Z")
+    """Sites whose names carry the words of every branch, by a hash of the account."""
+    run = water_run(spark, folder)
+    sites = run.keyed_sites.withColumn("account_key", F.col("key")).withColumn("d", _digit(6)).withColumn(
+        "facility_name", F.concat("facility_name", F.expr(_KIND)))
+    rows = J.judge_by_rules(J.build_states(run.accounts, sites), "2026-01-01T00:00:00Z")
     return rows.select("account", "source", F.col("judgments.buffer_level_top").alias("top"),
                        F.col("judgments.buffer_p_top").alias("p_top"),
                        F.col("judgments.continuous_p_yes").alias("continuous_p_yes"),

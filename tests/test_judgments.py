@@ -84,7 +84,7 @@ def test_first_run_has_no_snapshot(spark, tmp_path):
     a = accounts(spark, [("x", "elevated")])
     t = run_triage(a, judgments(spark, [("x", "engine", 4, 0.9, 0.1, "2026")]), empty, versions=V)
     assert t.verdict.first()["passed"]
-    sinks.write_snapshot(t.snapshot, str(tmp_path / "snap"), "2026-01-01")
+    sinks.write_snapshot(t.snapshot, str(tmp_path / "snap"), "run-1", "2026-01-01")
     back = previous_snapshot(spark, str(tmp_path / "snap"))
     assert [tuple(r) for r in back.select("account", "score", "rules_version").collect()] == [("x", 70, "r1")]
     sinks.write_triage(t.results, str(tmp_path / "triage"))
@@ -134,3 +134,34 @@ def test_hash_follows_content(spark):
     h = [J.with_request_hash(x, p, m).first()["request_hash"] for x, p, m in (
         (J.build_states(a, s), "p", "m"), (b, "p", "m"), (b, "p2", "m"), (b, "p", "m2"))]
     assert h[0] == h[1] and len(set(h)) == 3 and len(h[0]) == 16
+
+
+def test_newest_snapshot_is_the_one_taken_last(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    for run, at, score in (("run-9", "2026-01-09", 1), ("run-10", "2026-01-10", 2), ("007", "2026-01-08", 3)):
+        sinks.write_snapshot(snapshot(spark, [("x", score)]), path, run, at)
+    back = sinks.read_snapshot(spark, path).collect()
+    assert [(r["account"], r["score"]) for r in back] == [("x", 2)] and back[0]["rules_version"] == "r1"
+    assert {r["run"] for r in sinks.read_all_snapshots(spark, path).collect()} == {"run-9", "run-10", "007"}
+    with pytest.raises(ValueError):
+        sinks.write_snapshot(snapshot(spark, [("x", 9)]), path, "run-9", "2026-02-01")
+
+
+def test_accounts_outside_the_limit_have_a_row(spark):
+    names = [f"n{i}" for i in range(5)]
+    a = accounts(spark, [(n, "elevated") for n in names])
+    j = judgments(spark, [(n, "engine", 4, 0.9, 0.1, "2026") for n in names])
+    t = run_triage(a, j, snapshot(spark, []), limit=2, versions=V)
+    got = {r["account"]: (r["disposition"], r["delta"]) for r in t.results.collect()}
+    assert got == {"n0": ("lifted", 8), "n1": ("lifted", 8), **{n: ("not_targeted", 0) for n in names[2:]}}
+    assert {r["account"] for r in t.snapshot.collect()} == {"n0", "n1"}
+    everyone = run_triage(a, j, snapshot(spark, []), versions=V)
+    assert {r["disposition"] for r in everyone.results.collect()} == {"lifted"}
+
+
+def test_rule_judge_sees_names_beyond_the_request(spark):
+    a, s = evidence(spark, [f"Elm {i}" for i in range(20)] + ["Oak Sewer"])
+    states = J.build_states(a, s)
+    row = states.first()
+    assert len(row["site_names_sample"]) == R.MAX_SITE_NAMES and row["additional_sites_not_listed"] == 13
+    assert J.judge_by_rules(states, "2026").first()["judgments"]["buffer_level_top"] == 0

@@ -21,7 +21,7 @@ def test_every_library_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
-    ok, message = compare(spark, FOLDER, QUERIES[name], SQL[name])
+    ok, message = compare(spark, FOLDER, QUERIES[name], SQL[name], name)
     assert ok, message
 
 
