@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 4 << 20
+WINDOW = 2 << 20
 RADIX = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
 MASK = (1 << 64) - 1
 
