@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from accountloom import refdata as R
 from accountloom.functions.names import initials, read_groups
 
 
+USER = ("tenant_id", "user_id")  # a user number means something within its tenant only
+
+
 def moment(at: str) -> Column:
     return F.lit(at).cast("timestamp_ntz")
 
@@ -21,20 +25,31 @@ def live(expires: str, as_of: str) -> Column:
 
 def orphaned_accounts(accounts: DataFrame, users: DataFrame) -> DataFrame:
     """Accounts without an owner, or whose owner was deactivated."""
-    owners = users.select(F.col("user_id").alias("owner_id"), "is_active")
-    joined = accounts.filter("status <> 'excluded'").join(owners, "owner_id", "left")
+    owners = users.select("tenant_id", F.col("user_id").alias("owner_id"), "is_active")
+    joined = accounts.filter("status <> 'excluded'").join(owners, ["tenant_id", "owner_id"], "left")
     reason = F.when(F.col("owner_id").isNull(), "unowned").when(~F.col("is_active"), "owner_inactive")
     return joined.withColumn("reason", reason).filter("reason is not null").drop("is_active")
 
 
 def live_grants(grants: DataFrame, users: DataFrame, as_of: str) -> DataFrame:
-    """PII grants in force: not expired, and held by an active user."""
+    """Grants in force: not expired, and held by an active user of the grant's tenant."""
     return grants.filter(live("expires_at", as_of)).join(
-        users.filter("is_active").select("user_id"), "user_id", "left_semi")
+        users.filter("is_active").select(*USER), list(USER), "left_semi")
+
+
+def granted_fields(requests: DataFrame, pii_grants: DataFrame, users: DataFrame, as_of: str) -> DataFrame:
+    """Requests for a person's field with whether a live grant covers exactly that.
+
+    A grant holds for one tenant, user, person and field.
+    """
+    keys = [*USER, "person_id", "field"]
+    held = live_grants(pii_grants, users, as_of).select(*keys).distinct().withColumn("_held", F.lit(True))
+    return requests.join(held, keys, "left").withColumn(
+        "granted", F.coalesce("_held", F.lit(False))).drop("_held")
 
 
-def active_roles(grants: DataFrame, as_of: str, keys: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Sorted distinct roles in force per user; there are five roles."""
+def active_roles(grants: DataFrame, as_of: str, keys: Sequence[str] = USER) -> DataFrame:
+    """Sorted distinct roles in force per user of a tenant; there are five roles."""
     return grants.filter(live("expires_at", as_of)).groupBy(*keys).agg(
         F.array_sort(F.collect_set("role")).alias("roles"))
 
@@ -43,34 +58,59 @@ def desired_roles(memberships: DataFrame, mapping: Mapping[str, Sequence[str]])
     """Group claims to roles; an unmapped group implies nothing."""
     pairs = [(g, r) for g, roles in mapping.items() for r in roles]
     table = memberships.sparkSession.createDataFrame(pairs, "grp string, role string")
-    spread = memberships.select("user_id", F.explode(read_groups(F.col("groups"))).alias("grp"))
-    return spread.distinct().join(table, "grp").select("user_id", "role").distinct()
+    spread = memberships.select(*USER, F.explode(read_groups(F.col("groups"))).alias("grp"))
+    return spread.distinct().join(table, "grp").select(*USER, "role").distinct()
 
 
 def reconcile_roles(desired: DataFrame, current: DataFrame) -> DataFrame:
     """Grant and revoke actions.  Grants made by hand (``granted_by`` set) are not touched."""
-    synced = current.filter("granted_by is null").select("user_id", "role").distinct()
-    keys = ["user_id", "role"]
+    keys = [*USER, "role"]
+    synced = current.filter("granted_by is null").select(*keys).distinct()
     return (desired.join(synced, keys, "left_anti").withColumn("action", F.lit("grant"))
             .unionByName(synced.join(desired, keys, "left_anti").withColumn("action", F.lit("revoke"))))
 
 
-def offboard(grants: DataFrame, sessions: DataFrame, leavers: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Expire live grants and revoke open sessions of leavers; rows and history stay.
+@dataclass(frozen=True)
+class Offboarded:
+    """All tables after users left; rows and history stay."""
+
+    users: DataFrame
+    grants: DataFrame
+    pii_grants: DataFrame
+    sessions: DataFrame
+    audit: DataFrame
+    counts: DataFrame
+
 
-    Returns the changed grants, the changed sessions and counts per leaver.
+def offboard(users: DataFrame, grants: DataFrame, pii_grants: DataFrame, sessions: DataFrame,
+             leavers: DataFrame, at: str) -> Offboarded:
+    """Deactivate leavers, expire their role and PII grants, revoke open sessions, write audit rows.
+
+    ``leavers`` hold (tenant, user); a user of the same number elsewhere is untouched.
     """
-    who = leavers.select("user_id").distinct().withColumn("_leaves", F.lit(True))
+    keys = list(USER)
+    who = leavers.select(*keys).distinct().withColumn("_leaves", F.lit(True))
     now = moment(at)
     gone = F.coalesce("_leaves", F.lit(False))
-    g = grants.join(who, "user_id", "left").withColumn("_hit", gone & live("expires_at", at))
-    s = sessions.join(who, "user_id", "left").withColumn("_hit", gone & F.col("revoked_at").isNull())
-    counts = (g.filter("_hit").groupBy("user_id").agg(F.count(F.lit(1)).alias("grants_expired")).join(
-        s.filter("_hit").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions_revoked")), "user_id", "full_outer"))
-    counts = leavers.select("user_id").distinct().join(counts, "user_id", "left").fillna(0)
-    return (g.withColumn("expires_at", F.when(F.col("_hit"), now).otherwise(F.col("expires_at"))).drop("_hit", "_leaves"),
-            s.withColumn("revoked_at", F.when(F.col("_hit"), now).otherwise(F.col("revoked_at"))).drop("_hit", "_leaves"),
-            counts)
+
+    def end(table: DataFrame, column: str, open_row: Column, count: str) -> tuple[DataFrame, DataFrame]:
+        hit = table.join(who, keys, "left").withColumn("_hit", gone & open_row)
+        ended = hit.withColumn(column, F.when(F.col("_hit"), now).otherwise(F.col(column))).drop("_hit", "_leaves")
+        return ended, hit.filter("_hit").groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+
+    roles, n_roles = end(grants, "expires_at", live("expires_at", at), "grants_expired")
+    fields, n_fields = end(pii_grants, "expires_at", live("expires_at", at), "pii_grants_expired")
+    closed, n_sessions = end(sessions, "revoked_at", F.col("revoked_at").isNull(), "sessions_revoked")
+    counts = who.drop("_leaves")
+    for part in (n_roles, n_fields, n_sessions):
+        counts = counts.join(part, keys, "left")
+    counts = counts.fillna(0)
+    audit = counts.select(
+        *keys, F.lit("user.offboard").alias("action"), F.lit("allow").alias("outcome"), F.lit(at).alias("at"),
+        F.to_json(F.struct("grants_expired", "pii_grants_expired", "sessions_revoked")).alias("meta"))
+    left = users.join(who, keys, "left").withColumn(
+        "is_active", F.col("is_active") & ~gone).drop("_leaves")
+    return Offboarded(left, roles, fields, closed, audit, counts)
 
 
 def upsert_users(existing: DataFrame, profiles: DataFrame, at: str) -> DataFrame:
@@ -95,7 +135,7 @@ def upsert_users(existing: DataFrame, profiles: DataFrame, at: str) -> DataFrame
 
 def active_sessions(sessions: DataFrame, as_of: str) -> DataFrame:
     """Open sessions per user; a user without one counts zero."""
-    return sessions.groupBy("user_id").agg(
+    return sessions.groupBy(*USER).agg(
         F.count_if(F.col("revoked_at").isNull() & (F.col("expires_at") > moment(as_of))).alias("active"))
 
 

@@ -16,15 +16,16 @@ GROUP_ROLES = {"sales": ["rep"], "leads": ["rep", "sales_lead"], "mkt": ["market
 
 
 def users(spark, folder):
+    """Two tenants with the same user numbers, so that a number alone says nothing."""
     return table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("user_id"), F.col("s_nationkey").alias("tenant_id"),
+        F.floor(F.col("s_suppkey") / 2).alias("user_id"), (F.col("s_suppkey") % 2).alias("tenant_id"),
         (F.col("s_acctbal") > 1000).alias("is_active"))
 
 
 def accounts(spark, folder):
     c = table(spark, folder, "customer")
     return c.select(
-        F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("tenant_id"),
+        F.col("c_custkey").alias("account_id"), (F.col("c_custkey") % 2).alias("tenant_id"),
         F.col("c_name").alias("canonical_name"),
         F.when(F.col("c_acctbal") >= 0, F.col("c_custkey") % OWNERS).alias("owner_id"),
         F.when(F.col("c_mktsegment") == "FURNITURE", "excluded").otherwise("working").alias("status"))
@@ -36,7 +37,8 @@ def role_grants(spark, folder):
             .when(F.col("o_orderpriority") == "2-HIGH", "sales_lead")
             .when(F.col("o_orderpriority") == "5-LOW", "viewer").otherwise("rep"))
     return o.select(
-        F.col("o_orderkey").alias("grant_id"), F.col("o_custkey").alias("user_id"), role.alias("role"),
+        F.col("o_orderkey").alias("grant_id"), (F.col("o_orderkey") % 2).alias("tenant_id"),
+        F.col("o_custkey").alias("user_id"), role.alias("role"),
         F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.make_dt_interval(F.lit(365))).alias("expires_at"),
         F.when(F.col("o_orderstatus") == "P", F.lit("admin-1")).alias("granted_by"))
 
@@ -44,26 +46,40 @@ def role_grants(spark, folder):
 def sessions(spark, folder):
     e = table(spark, folder, "events")
     return e.select(
-        F.col("event_id").alias("session_id"), "user_id", F.col("ts").alias("issued_at"),
+        F.col("event_id").alias("session_id"), (F.col("event_id") % 2).alias("tenant_id"), "user_id",
+        F.col("ts").alias("issued_at"),
         (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(8))).alias("expires_at"),
         F.when(F.col("event_type") == "error", F.col("ts")).alias("revoked_at"))
 
 
-USERS = "users AS (SELECT s_suppkey AS user_id, s_nationkey AS tenant_id, s_acctbal > 1000 AS is_active FROM supplier)"
-ACCOUNTS = f"""accounts AS (SELECT c_custkey AS account_id, c_nationkey AS tenant_id, c_name AS canonical_name,
+def pii_grants(spark, folder):
+    """One field of one person to one user, per order line."""
+    line = table(spark, folder, "lineitem")
+    return line.select(
+        (F.col("l_orderkey") % 2).alias("tenant_id"), (F.col("l_suppkey") % 40).alias("user_id"),
+        (F.col("l_partkey") % 300).alias("person_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, "email").otherwise("phone").alias("field"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_shipdate") + F.make_dt_interval(F.lit(365))).alias("expires_at"))
+
+
+PII_GRANTS = """pii AS (SELECT l_orderkey % 2 AS tenant_id, l_suppkey % 40 AS user_id, l_partkey % 300 AS person_id,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'email' ELSE 'phone' END AS field,
+  CASE WHEN l_returnflag <> 'N' THEN l_shipdate + INTERVAL 365 DAY END AS expires_at FROM lineitem)"""
+USERS = "users AS (SELECT s_suppkey // 2 AS user_id, s_suppkey % 2 AS tenant_id, s_acctbal > 1000 AS is_active FROM supplier)"
+ACCOUNTS = f"""accounts AS (SELECT c_custkey AS account_id, c_custkey % 2 AS tenant_id, c_name AS canonical_name,
   CASE WHEN c_acctbal >= 0 THEN c_custkey % {OWNERS} END AS owner_id,
   CASE WHEN c_mktsegment = 'FURNITURE' THEN 'excluded' ELSE 'working' END AS status FROM customer)"""
-GRANTS = """grants AS (SELECT o_orderkey AS grant_id, o_custkey AS user_id,
+GRANTS = """grants AS (SELECT o_orderkey AS grant_id, o_orderkey % 2 AS tenant_id, o_custkey AS user_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'marketing' WHEN '2-HIGH' THEN 'sales_lead' WHEN '5-LOW' THEN 'viewer' ELSE 'rep' END AS role,
   CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 365 DAY END AS expires_at,
   CASE WHEN o_orderstatus = 'P' THEN 'admin-1' END AS granted_by FROM orders)"""
-SESSIONS = """sessions AS (SELECT event_id AS session_id, user_id, ts AS issued_at, ts + INTERVAL 8 HOUR AS expires_at,
+SESSIONS = """sessions AS (SELECT event_id AS session_id, event_id % 2 AS tenant_id, user_id, ts AS issued_at, ts + INTERVAL 8 HOUR AS expires_at,
   CASE WHEN event_type = 'error' THEN ts END AS revoked_at FROM events)"""
 
 
 @query("orphaned_accounts", f"""WITH {USERS}, {ACCOUNTS}
 SELECT account_id, canonical_name, CASE WHEN owner_id IS NULL THEN 'unowned' ELSE 'owner_inactive' END AS reason
-FROM accounts a LEFT JOIN users u ON u.user_id = a.owner_id
+FROM accounts a LEFT JOIN users u ON u.user_id = a.owner_id AND u.tenant_id = a.tenant_id
 WHERE status <> 'excluded' AND (owner_id IS NULL OR NOT is_active)""")
 def orphaned_accounts(spark, folder):
     return I.orphaned_accounts(accounts(spark, folder), users(spark, folder)).select(
@@ -71,28 +87,46 @@ def orphaned_accounts(spark, folder):
 
 
 @query("live_grants", f"""WITH {USERS}, {GRANTS}
-SELECT grant_id, user_id FROM grants WHERE (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')
-  AND user_id IN (SELECT user_id FROM users WHERE is_active)""")
+SELECT grant_id, tenant_id, user_id FROM grants g WHERE (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')
+  AND EXISTS (SELECT 1 FROM users u WHERE is_active AND u.user_id = g.user_id AND u.tenant_id = g.tenant_id)""")
 def live_grants(spark, folder):
-    return I.live_grants(role_grants(spark, folder), users(spark, folder), NOW).select("grant_id", "user_id")
+    return I.live_grants(role_grants(spark, folder), users(spark, folder), NOW).select("grant_id", "tenant_id", "user_id")
+
+
+@query("pii_grant_lookup", f"""WITH {USERS}, {PII_GRANTS},
+asked AS (SELECT DISTINCT event_id % 2 AS tenant_id, user_id % 40 AS user_id, event_id % 300 AS person_id,
+  CASE WHEN event_type = 'click' THEN 'email' ELSE 'phone' END AS field FROM events)
+SELECT tenant_id, user_id, person_id, field, EXISTS (
+  SELECT 1 FROM pii g JOIN users u ON u.user_id = g.user_id AND u.tenant_id = g.tenant_id AND u.is_active
+  WHERE g.tenant_id = a.tenant_id AND g.user_id = a.user_id AND g.person_id = a.person_id AND g.field = a.field
+    AND (g.expires_at IS NULL OR g.expires_at > TIMESTAMP '{NOW}')) AS granted FROM asked a""")
+def pii_grant_lookup(spark, folder):
+    """A grant covers one tenant, user, person and field."""
+    asked = table(spark, folder, "events").select(
+        (F.col("event_id") % 2).alias("tenant_id"), (F.col("user_id") % 40).alias("user_id"),
+        (F.col("event_id") % 300).alias("person_id"),
+        F.when(F.col("event_type") == "click", "email").otherwise("phone").alias("field")).distinct()
+    return I.granted_fields(asked, pii_grants(spark, folder), users(spark, folder), NOW)
 
 
 @query("active_roles", f"""WITH {GRANTS}
-SELECT user_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM grants
-WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}' GROUP BY user_id""")
+SELECT tenant_id, user_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM grants
+WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}' GROUP BY tenant_id, user_id""")
 def active_roles(spark, folder):
-    return I.active_roles(role_grants(spark, folder), NOW).select("user_id", F.array_join("roles", ",").alias("roles"))
+    return I.active_roles(role_grants(spark, folder), NOW).select(
+        "tenant_id", "user_id", F.array_join("roles", ",").alias("roles"))
 
 
 def _memberships(spark, folder):
     c = table(spark, folder, "customer")
     groups = (F.when(F.col("c_mktsegment") == "MACHINERY", "sales, leads").when(F.col("c_mktsegment") == "BUILDING", "mkt,,other")
               .when(F.col("c_mktsegment") == "HOUSEHOLD", " sales "))
-    return c.select(F.col("c_custkey").alias("user_id"), groups.alias("groups"))
+    return c.select((F.col("c_custkey") % 2).alias("tenant_id"), F.floor(F.col("c_custkey") / 2).alias("user_id"),
+                    groups.alias("groups"))
 
 
-_DESIRED = """desired AS (SELECT DISTINCT user_id, role FROM (
-  SELECT c_custkey AS user_id, unnest(CASE c_mktsegment WHEN 'MACHINERY' THEN ['rep', 'sales_lead'] WHEN 'BUILDING' THEN ['marketing']
+_DESIRED = """desired AS (SELECT DISTINCT tenant_id, user_id, role FROM (
+  SELECT c_custkey % 2 AS tenant_id, c_custkey // 2 AS user_id, unnest(CASE c_mktsegment WHEN 'MACHINERY' THEN ['rep', 'sales_lead'] WHEN 'BUILDING' THEN ['marketing']
     WHEN 'HOUSEHOLD' THEN ['rep'] ELSE []::VARCHAR[] END) AS role FROM customer))"""
 
 
@@ -102,9 +136,9 @@ def group_roles(spark, folder):
 
 
 @query("role_reconcile", f"""WITH {_DESIRED}, {GRANTS},
-synced AS (SELECT DISTINCT user_id, role FROM grants WHERE granted_by IS NULL)
-SELECT user_id, role, 'grant' AS action FROM (SELECT * FROM desired EXCEPT SELECT * FROM synced)
-UNION ALL SELECT user_id, role, 'revoke' FROM (SELECT * FROM synced EXCEPT SELECT * FROM desired)""")
+synced AS (SELECT DISTINCT tenant_id, user_id, role FROM grants WHERE granted_by IS NULL)
+SELECT tenant_id, user_id, role, 'grant' AS action FROM (SELECT * FROM desired EXCEPT SELECT * FROM synced)
+UNION ALL SELECT tenant_id, user_id, role, 'revoke' FROM (SELECT * FROM synced EXCEPT SELECT * FROM desired)""")
 def role_reconcile(spark, folder):
     return I.reconcile_roles(I.desired_roles(_memberships(spark, folder), GROUP_ROLES), role_grants(spark, folder))
 
@@ -171,9 +205,9 @@ def outbound_usable(spark, folder):
                          A.usable_for_outbound(F.col("roles"), owner, F.col("consent"), F.col("confidence")).alias("outbound"))
 
 
-@query("tenant_scope", f"WITH {ACCOUNTS} SELECT account_id, canonical_name, status FROM accounts WHERE tenant_id = 7")
+@query("tenant_scope", f"WITH {ACCOUNTS} SELECT account_id, canonical_name, status FROM accounts WHERE tenant_id = 1")
 def tenant_scope(spark, folder):
-    return A.tenant_scope(accounts(spark, folder), 7).select("account_id", "canonical_name", "status")
+    return A.tenant_scope(accounts(spark, folder), 1).select("account_id", "canonical_name", "status")
 
 
 @query("draft_visibility", """
@@ -206,7 +240,8 @@ def session_pseudonyms(spark, folder):
 
 
 @query("active_counts", f"""WITH {SESSIONS}
-SELECT user_id, count(*) FILTER (revoked_at IS NULL AND expires_at > TIMESTAMP '{EVENTS_NOW}') AS active FROM sessions GROUP BY 1""")
+SELECT tenant_id, user_id, count(*) FILTER (revoked_at IS NULL AND expires_at > TIMESTAMP '{EVENTS_NOW}') AS active
+FROM sessions GROUP BY 1, 2""")
 def active_counts(spark, folder):
     return I.active_sessions(sessions(spark, folder), EVENTS_NOW)
 
@@ -219,14 +254,40 @@ def retention_sweep(spark, folder):
     return removed.select("removed", kept.agg(F.count(F.lit(1)).alias("n")).scalar().alias("kept"))
 
 
-@query("offboarding", f"""WITH {USERS}, {GRANTS}, {SESSIONS}
-SELECT u.user_id, (SELECT count(*) FROM grants g WHERE g.user_id = u.user_id AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')) AS grants_expired,
-  (SELECT count(*) FROM sessions s WHERE s.user_id = u.user_id AND revoked_at IS NULL) AS sessions_revoked
-FROM users u WHERE NOT is_active""")
+_LEAVERS = f"""WITH {USERS}, {GRANTS}, {PII_GRANTS}, {SESSIONS},
+gone AS (SELECT u.tenant_id, u.user_id,
+  (SELECT count(*) FROM grants g WHERE g.user_id = u.user_id AND g.tenant_id = u.tenant_id
+     AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')) AS grants_expired,
+  (SELECT count(*) FROM pii g WHERE g.user_id = u.user_id AND g.tenant_id = u.tenant_id
+     AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')) AS pii_grants_expired,
+  (SELECT count(*) FROM sessions s WHERE s.user_id = u.user_id AND s.tenant_id = u.tenant_id AND revoked_at IS NULL) AS sessions_revoked
+FROM users u WHERE NOT is_active)"""
+
+
+def _offboarded(spark, folder):
+    everyone = users(spark, folder)
+    return I.offboard(everyone.withColumn("is_active", F.lit(True)), role_grants(spark, folder), pii_grants(spark, folder),
+                      sessions(spark, folder), everyone.filter("not is_active"), NOW)
+
+
+@query("offboarding", _LEAVERS + """
+SELECT *, 'user.offboard' AS action, '{"grants_expired":' || grants_expired || ',"pii_grants_expired":' || pii_grants_expired
+  || ',"sessions_revoked":' || sessions_revoked || '}' AS meta FROM gone""")
 def offboarding(spark, folder):
-    leavers = users(spark, folder).filter("not is_active")
-    _, _, counts = I.offboard(role_grants(spark, folder), sessions(spark, folder), leavers, NOW)
-    return counts
+    """Leavers with what was ended for them and the audit row that says so."""
+    out = _offboarded(spark, folder)
+    return out.counts.join(out.audit.select(*I.USER, "action", "meta"), list(I.USER))
+
+
+@query("offboarded_users", _LEAVERS + f"""
+SELECT tenant_id, user_id, is_active, (SELECT count(*) FROM pii g WHERE g.tenant_id = users.tenant_id AND g.user_id = users.user_id
+  AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND users.is_active) AS open_fields FROM users""")
+def offboarded_users(spark, folder):
+    """Everybody after the leavers left: who is active, and which field grants are still open."""
+    out = _offboarded(spark, folder)
+    still = out.pii_grants.filter(I.live("expires_at", NOW)).groupBy(*I.USER).agg(F.count(F.lit(1)).alias("open_fields"))
+    return out.users.join(still, list(I.USER), "left").fillna(0, ["open_fields"]).select(
+        "tenant_id", "user_id", "is_active", "open_fields")
 
 
 @query("user_upsert", """

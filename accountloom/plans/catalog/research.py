@@ -218,7 +218,7 @@ def account_staleness(spark, folder):
 
 
 @query("orphan_alerts", f"""WITH {USERS}, {ACCOUNTS}, {_IMPACT},
-o AS (SELECT account_id FROM accounts a LEFT JOIN users u ON u.user_id = a.owner_id WHERE status <> 'excluded' AND (owner_id IS NULL OR NOT is_active))
+o AS (SELECT account_id FROM accounts a LEFT JOIN users u ON u.user_id = a.owner_id AND u.tenant_id = a.tenant_id WHERE status <> 'excluded' AND (owner_id IS NULL OR NOT is_active))
 SELECT account_id FROM o WHERE account_id IN (SELECT account_id FROM impacts WHERE impact = 'critical')""")
 def orphan_alerts(spark, folder):
     orphans = I.orphaned_accounts(accounts(spark, folder), users(spark, folder))

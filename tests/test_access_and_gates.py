@@ -72,13 +72,27 @@ def test_outbound(spark):
     assert got == [True, False, False, False, False, False]
 
 
-def test_offboarding_keeps_history(spark):
-    grants = spark.sql("select * from values (1, timestamp_ntz'2030-01-01'), (1, cast(null as timestamp_ntz)), "
-                       "(1, timestamp_ntz'2000-01-01'), (2, cast(null as timestamp_ntz)) t(user_id, expires_at)")
-    sessions = spark.sql("select * from values (1, cast(null as timestamp_ntz)), (2, cast(null as timestamp_ntz)) t(user_id, revoked_at)")
-    g, s, counts = I.offboard(grants, sessions, spark.createDataFrame([(1,), (3,)], "user_id int"), "2024-01-01 00:00:00")
-    assert g.count() == 4 and s.filter("revoked_at is not null").count() == 1
-    assert sorted(tuple(r) for r in counts.collect()) == [(1, 2, 1), (3, 0, 0)]
+def test_offboarding_ends_everything_in_one_tenant(spark):
+    """User 1 exists in both tenants and leaves the first; user 3 has nothing to end."""
+    grants = spark.sql("select * from values ('a', 1, timestamp_ntz'2030-01-01'), ('a', 1, cast(null as timestamp_ntz)), "
+                       "('a', 1, timestamp_ntz'2000-01-01'), ('b', 1, cast(null as timestamp_ntz)), "
+                       "('a', 2, cast(null as timestamp_ntz)) t(tenant_id, user_id, expires_at)")
+    pii = grants.withColumns({"person_id": F.lit(7), "field": F.lit("email")})
+    sessions = spark.sql("select * from values ('a', 1, cast(null as timestamp_ntz)), ('b', 1, cast(null as timestamp_ntz)) "
+                         "t(tenant_id, user_id, revoked_at)")
+    users = spark.createDataFrame([("a", 1, True), ("b", 1, True), ("a", 2, True), ("a", 3, True)],
+                                  "tenant_id string, user_id int, is_active boolean")
+    out = I.offboard(users, grants, pii, sessions, users.filter("tenant_id = 'a' and user_id in (1, 3)"), "2024-01-01 00:00:00")
+    assert out.grants.count() == 5 and out.pii_grants.count() == 5
+    assert {(r["tenant_id"], r["user_id"]) for r in out.users.filter("is_active").collect()} == {("b", 1), ("a", 2)}
+    assert [r["tenant_id"] for r in out.sessions.filter("revoked_at is null").collect()] == ["b"]
+    assert sorted(tuple(r) for r in out.counts.collect()) == [("a", 1, 2, 2, 1), ("a", 3, 0, 0, 0)]
+    assert {(r["tenant_id"], r["user_id"], r["action"]) for r in out.audit.collect()} == {
+        ("a", 1, "user.offboard"), ("a", 3, "user.offboard")}
+    asked = users.select("tenant_id", "user_id").crossJoin(spark.sql("select 7 person_id, explode(array('email', 'phone')) field"))
+    held = {(r["tenant_id"], r["user_id"]) for r in I.granted_fields(
+        asked, out.pii_grants, out.users, "2024-01-02 00:00:00").filter("granted").collect()}
+    assert held == {("b", 1), ("a", 2)}
 
 
 def test_upsert_does_not_reactivate(spark):
@@ -91,11 +105,13 @@ def test_upsert_does_not_reactivate(spark):
 
 
 def test_roles_granted_by_hand_stay(spark):
-    current = spark.createDataFrame([(1, "rep", None), (1, "admin", "boss"), (1, "viewer", None)], "user_id int, role string, granted_by string")
-    members = spark.createDataFrame([(1, "sales,unknown")], "user_id int, groups string")
+    current = spark.createDataFrame([("a", 1, "rep", None), ("a", 1, "admin", "boss"), ("a", 1, "viewer", None), ("b", 1, "sales_lead", None)],
+                                    "tenant_id string, user_id int, role string, granted_by string")
+    members = spark.createDataFrame([("a", 1, "sales,unknown")], "tenant_id string, user_id int, groups string")
     desired = I.desired_roles(members, {"sales": ["rep", "sales_lead"]})
-    assert sorted(tuple(r) for r in I.reconcile_roles(desired, current).select("user_id", "role", "action").collect()) == [
-        (1, "sales_lead", "grant"), (1, "viewer", "revoke")]
+    assert sorted(tuple(r) for r in I.reconcile_roles(desired, current).select(
+        "tenant_id", "user_id", "role", "action").collect()) == [
+        ("a", 1, "sales_lead", "grant"), ("a", 1, "viewer", "revoke"), ("b", 1, "sales_lead", "revoke")]
 
 
 def test_audit_only_appends(spark, tmp_path):
