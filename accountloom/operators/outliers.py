@@ -37,13 +37,13 @@ def flag_outliers(df: DataFrame, fields: Mapping[str, Column], factor: int, note
                   stats: DataFrame | None = None) -> DataFrame:
     """Add ``validated`` and ``validation_note``; notes of several fields join with " | ".
 
-    The statistics are scalar subqueries, one value each, so nothing is joined.
+    The statistics are one row, two values per field; they are read once and become
+    constants, so that no later plan carries them.
     """
-    stats = gate_statistics(df, fields) if stats is None else stats
+    row = (gate_statistics(df, fields) if stats is None else stats).first()
     notes = []
     for f, value in fields.items():
-        p99 = stats.select(f"{f}_p99").scalar()
-        median = stats.select(f"{f}_median").scalar()
+        p99, median = (F.lit(row[f"{f}_{k}"]).cast("long") for k in ("p99", "median"))
         notes.append(F.when(value > p99 * factor, note(f, value, p99, median, factor)))
     joined = F.concat_ws(" | ", *notes)
     return df.withColumn("validation_note", joined).withColumn(

@@ -15,9 +15,9 @@ from accountloom.plans import registry as P
 from accountloom.plans.catalog import query
 from accountloom.plans.catalog import registry_sql as S
 from accountloom.plans.catalog.demo import COLD_DEMO
-from accountloom.sources.driver_tables import all_filings, filings, table
+from accountloom.sources.driver_tables import all_filings, filings, landed_at, table
 
-_RUNS: dict[tuple[str, str], P.RegistryRun] = {}
+_RUNS: dict[tuple, P.RegistryRun] = {}
 
 
 def fresh_run(spark: SparkSession, folder: str) -> P.RegistryRun:
@@ -25,9 +25,9 @@ def fresh_run(spark: SparkSession, folder: str) -> P.RegistryRun:
 
 
 def registry_run(spark: SparkSession, folder: str) -> P.RegistryRun:
-    """One pipeline run per application and folder: its tables are pinned in the
-    shared folder, and the report queries below read them."""
-    at = (spark.sparkContext.applicationId, folder)
+    """One pipeline run per application and state of the landed tables: its tables are
+    pinned in the shared folder, and the report queries below read them."""
+    at = (spark.sparkContext.applicationId, folder, landed_at(spark, folder))
     if at not in _RUNS:
         _RUNS[at] = fresh_run(spark, folder)
     return _RUNS[at]

@@ -8,7 +8,7 @@ from accountloom.plans import water as W
 from accountloom.plans.catalog import query
 from accountloom.plans.catalog import registry_sql as S
 from accountloom.plans.catalog.demo import WATER_DEMO
-from accountloom.sources.driver_tables import filings
+from accountloom.sources.driver_tables import filings, landed_at
 
 _RUNS: dict = {}
 
@@ -19,8 +19,8 @@ def fresh_water_run(spark, folder) -> W.WaterRun:
 
 
 def water_run(spark, folder) -> W.WaterRun:
-    """One run per application and folder; see ``registry_run``."""
-    at = (spark.sparkContext.applicationId, folder)
+    """One run per application and state of the landed tables; see ``registry_run``."""
+    at = (spark.sparkContext.applicationId, folder, landed_at(spark, folder))
     if at not in _RUNS:
         _RUNS[at] = fresh_water_run(spark, folder)
     return _RUNS[at]

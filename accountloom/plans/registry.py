@@ -10,6 +10,7 @@ shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,19 +228,19 @@ class RegistryRun:
     def admitted_buckets(self) -> DataFrame:
         return self.buckets.filter(admitted(self.profile))
 
-    @property
+    @cached_property
     def accounts(self) -> DataFrame:
-        """Admitted accounts, scored and ranked."""
+        """Admitted accounts, scored and ranked once."""
         return global_rank(score_accounts(self.admitted_buckets, self.profile),
                            [F.desc("sites"), F.desc("charge_lb"), F.asc("first_ord")])
 
-    @property
+    @cached_property
     def keyed_spellings(self) -> DataFrame:
-        """Usable spellings with the key of the bucket they ended up in."""
-        return self.spellings.filter("key is not null").join(self.merges, "key", "left").select(
+        """Usable spellings with the key of the bucket they ended up in, pinned for the queue's branches."""
+        return pin(self.spellings.filter("key is not null").join(self.merges, "key", "left").select(
             "reported", "key", "shown", "resolved_by",
             F.coalesce("final_key", "key").alias("account_key"),
-            F.col("final_key").isNotNull().alias("merged"))
+            F.col("final_key").isNotNull().alias("merged")), "keyed-spellings")
 
     @property
     def keyed_sites(self) -> DataFrame:
@@ -280,7 +281,7 @@ def run_registry(filings: DataFrame, p: Profile) -> RegistryRun:
     rows = pin(with_reported(active(filings), p).select(*SITE_COLUMNS), "sites")
     spellings = pin(resolve_spellings(rows, p), "spellings")
     refused = refused_spellings(spellings)
-    stats = gate_statistics(usable_sites(rows, refused), {p.charge_field: F.col("charge_lb")})
+    stats = pin(gate_statistics(usable_sites(rows, refused), {p.charge_field: F.col("charge_lb")}), "statistics")
     sites = flag_sites(rows, p, stats)
     cells = pin(to_cells(sites, spellings), "cells")
     names = bucket_names(cells)

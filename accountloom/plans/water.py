@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ class WaterRun:
     stats: DataFrame
     buckets: DataFrame
 
-    @property
+    @cached_property
     def accounts(self) -> DataFrame:
         scored = score(self.buckets.filter(admitted(self.profile)), self.profile)
         return global_rank(scored, [F.desc("est_peak_kw_total"), F.desc("chlorine_lb"),
@@ -188,7 +189,7 @@ def run_water(filings: DataFrame, p: Profile) -> WaterRun:
     spellings = pin(resolve_spellings(kept, p), "water-spellings")
     fields = {f: F.col(f) for f in FIELDS}
     refused = refused_spellings(spellings)
-    stats = gate_statistics(usable_sites(kept, refused), fields)
+    stats = pin(gate_statistics(usable_sites(kept, refused), fields), "water-statistics")
     sites = flag_outliers(kept, fields, p.outlier_factor, water_note, stats)
     cells = pin(to_cells(sites, spellings, p), "water-cells")
     codes = to_code_cells(kept, spellings).withColumns(

@@ -12,6 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def landed_at(spark: SparkSession, folder: str) -> tuple[int, ...]:
+    """When the tables behind the filings were last written: a run is reused only while these hold."""
+    conf = spark._jsc.hadoopConfiguration()
+    times = []
+    for name in ("lineitem", "part", "supplier", "nation", "region"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+        times.append(path.getFileSystem(conf).getFileStatus(path).getModificationTime())
+    return tuple(times)
+
+
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
