@@ -103,7 +103,7 @@ def segment_recall(differing: float, segments: Sequence[tuple[int, int]]) -> flo
     return 1 - miss
 
 
-def distance_for(similarity: float, width: int = 64, spread: float = 1.6) -> int:
+def distance_for(similarity: float, width: int = 64, spread: float = 1.1) -> int:
     """Bits that texts with this Jaccard similarity differ in at most, ``spread`` deviations above the mean."""
     share = acos(2 * similarity / (1 + similarity)) / pi
     return round(width * share + spread * sqrt(width * share * (1 - share)))
