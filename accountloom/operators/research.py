@@ -140,6 +140,16 @@ def stale_artefacts(changed: DataFrame, links: DataFrame, fact: str, deliverable
         F.count(F.lit(1)).alias("changed_facts"))
 
 
+STATED_NUMBER = r"(?:^|[^0-9A-Za-z_.+-])([+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?)"
+
+
+def plain_number(text: Column) -> Column:
+    """One spelling per value: no separators, no plus sign, no trailing zeros."""
+    bare = F.regexp_replace(text, r"^\+|,", "")
+    exact = bare.try_cast("decimal(38,8)").cast("string")
+    return F.coalesce(F.regexp_replace(exact, r"\.?0+$", ""), bare)
+
+
 def ground_claims(claims: DataFrame, sources: DataFrame, tenant: str = "tenant_id") -> DataFrame:
     """Claims with their outcome: kept, missing source, or a source of another tenant."""
     known = sources.select("source_id", F.col(tenant).alias("_t"))
@@ -149,10 +159,15 @@ def ground_claims(claims: DataFrame, sources: DataFrame, tenant: str = "tenant_i
 
 
 def unverified_numbers(texts: DataFrame, key: str, text: str, facts: DataFrame, value: str) -> DataFrame:
-    """Numbers a text states that no fact holds, once per text."""
-    said = texts.select(key, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col(text), F.lit(r"([0-9]+)"), 1))).alias("number"))
-    return said.join(facts.select(F.col(value).alias("number")).distinct(), "number", "left_anti")
+    """Numbers a text states that no fact holds, once per text and value.
+
+    Thousands separators, decimals and signs belong to a number; ``2,724,270`` is one
+    and equals ``2724270.0``.  Digits inside a word are no number.
+    """
+    said = texts.select(key, F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all(F.col(text), F.lit(STATED_NUMBER), 1), plain_number))).alias("number"))
+    held = facts.select(plain_number(F.col(value)).alias("number")).distinct()
+    return said.join(held, "number", "left_anti")
 
 
 def version_chain(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:

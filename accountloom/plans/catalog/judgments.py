@@ -288,3 +288,17 @@ def export_eligibility(spark, folder):
     eligible, held = export_split(rows)
     return eligible.unionByName(held).select(
         "account", F.col("qualification_basis").alias("basis"), "eligible", "held_reason")
+
+
+@query("snapshot_round_trip", ACCOUNTS_SQL + """
+SELECT account, icp_score AS score, 'optb-v1' AS rules_version FROM accounts""")
+def snapshot_round_trip(spark, folder):
+    """Two runs are pinned; the one taken last is read, whatever the runs are called."""
+    from accountloom.sources import sinks
+
+    scores = water_run(spark, folder).accounts.select("account", F.col("icp_score").alias("score"))
+    pinned = scores.withColumns({k: F.lit(v) for k, v in VERSIONS.items()})
+    path = work_folder(spark, "snapshots")
+    sinks.write_snapshot(pinned.withColumn("score", F.lit(0).cast("long")), path, "run-9", "2026-01-09T00:00:00Z")
+    sinks.write_snapshot(pinned, path, "run-10", "2026-01-10T00:00:00Z")
+    return sinks.read_snapshot(spark, path).select("account", "score", "rules_version")

@@ -346,3 +346,41 @@ def golden_diff(spark, folder):
 SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def uniqueness_violations(spark, folder):
     return Q.uniqueness_violations(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+_STATES = [*M.R.RTO_OF_STATE, "AK", "HI", ""]
+
+
+@query("grid_of_state", f"""
+WITH c AS (SELECT c_custkey, [{", ".join(f"'{s}'" for s in _STATES)}][(c_custkey % {len(_STATES)} + 1)::INTEGER] AS state FROM customer),
+g(state, rto) AS (VALUES {", ".join(f"('{s}', '{r}')" for s, r in M.R.RTO_OF_STATE.items())})
+SELECT c_custkey, state, coalesce(rto, 'Other') AS rto FROM c LEFT JOIN g USING (state)""")
+def grid_of_state(spark, folder):
+    """Every customer, given a state in turn, with the grid operator of that state."""
+    states = F.array(*map(F.lit, _STATES))
+    state = F.get(states, (F.col("c_custkey") % len(_STATES)).cast("int"))
+    return table(spark, folder, "customer").select("c_custkey", state.alias("state"), M.rto_of_state(state).alias("rto"))
+
+
+@query("landed_filings", S.BASE + """
+SELECT facility_id, coalesce(parent_name, '') AS parent_name, facility_name, city, state, naics, greatest(charge_lb, 0) AS charge_lb,
+  accidents::INTEGER AS accidents, is_deregistered FROM filings""")
+def landed_filings(spark, folder):
+    """Filings written one per line, each facility twice, read back and merged to the last filing."""
+    from accountloom.sources import snapshots
+    from accountloom.streaming.events import work_folder
+
+    raw = filings(spark, folder).select(
+        F.lit("7").alias("dataset_version"), F.lit("CC BY-SA 4.0").alias("licence"), F.lit("the registry").alias("attribution"),
+        F.col("facility_id").alias("facilityId"), F.col("facility_name").alias("facilityName"), "city", "state",
+        F.col("parent_name").alias("parentCompanyName"), F.col("operator_name").alias("operatorName"),
+        F.col("is_deregistered").alias("isDeregistered"), F.col("naics").alias("naicsCode"),
+        F.col("accidents").alias("allAccidentsCount"),
+        F.transform("chemicals", lambda c: F.struct(
+            c["id"].alias("chemicalId"), c["name"].alias("chemicalName"), c["quantity"].alias("quantity"))).alias("chemicals"))
+    path = work_folder(spark, "landed")
+    earlier = raw.withColumns({"ord": F.lit(0).cast("long"), "city": F.lit("elsewhere")})
+    earlier.unionByName(raw.withColumn("ord", F.lit(1).cast("long"))).write.json(path)
+    read = snapshots.normalise(snapshots.keep_last_filing(snapshots.read_landed(spark, path)))
+    return read.select("facility_id", F.coalesce("parent_name", F.lit("")).alias("parent_name"), "facility_name", "city",
+                       "state", "naics", "charge_lb", "accidents", "is_deregistered")

@@ -190,9 +190,15 @@ def claim_grounding(spark, folder):
     return X.ground_claims(claims, sources).select("claim_id", "outcome")
 
 
+_BARE = "regexp_replace({x}, '^\\+|,', '', 'g')"
+_PLAIN = (f"coalesce(regexp_replace(TRY_CAST({_BARE} AS DECIMAL(38, 8))::VARCHAR, '\\.?0+$', ''), {_BARE})")
+
+
 @query("unverified_numbers", f"""WITH {FACTS_SQL}
-SELECT DISTINCT page_id, number FROM (SELECT page_id, unnest(regexp_extract_all(html, '[0-9]+')) AS number FROM pages)
-WHERE number NOT IN (SELECT value FROM facts)""")
+SELECT DISTINCT page_id, number FROM (SELECT page_id, {_PLAIN.format(x="stated")} AS number FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, '(?:^|[^0-9A-Za-z_.+-])([+-]?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\\.[0-9]+)?)', 1)) AS stated
+  FROM pages))
+WHERE number NOT IN (SELECT {_PLAIN.format(x="value")} FROM facts WHERE value IS NOT NULL)""")
 def unverified_numbers(spark, folder):
     return X.unverified_numbers(table(spark, folder, "pages"), "page_id", "html", facts(spark, folder), "value")
 

@@ -22,13 +22,16 @@ def stream_dedup(spark, folder):
 
 
 @query("stream_counts", """
-SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id, event_type, count(*) AS n
-FROM events GROUP BY ALL
-HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id, event_type, count(*) AS n,
+  CASE WHEN time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR
+       THEN 'closed' ELSE 'open' END AS status
+FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts), user_id, event_type""")
 def stream_counts(spark, folder):
-    """Hourly counts per user and action for every window the watermark has closed."""
-    counts = E.hourly_counts(_stream(spark, folder), "ts", ["user_id", "event_type"], "2 hours")
-    return E.run_to_table(counts, E.work_folder(spark, "stream-counts")).withColumn(
+    """Hourly counts per user and action: windows the watermark has closed, and those still open."""
+    keys = ["user_id", "event_type"]
+    counts = E.hourly_counts(_stream(spark, folder), "ts", keys, "2 hours")
+    closed = E.run_to_table(counts, E.work_folder(spark, "stream-counts"))
+    return E.with_open_windows(closed, table(spark, folder, "events"), "ts", keys).withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
