@@ -7,6 +7,11 @@ from accountloom.llm.templates import UNITS
 _UNITS = ", ".join(f"'{u}'" for u in UNITS)
 
 
+# twice: the second letter of a two-letter name may be the one before the next name
+_NAMED = ("regexp_replace({x}, '([\\p{{Ll}}\\p{{N}},;:][ \\t\\n\\x0b\\f\\r])(\\p{{Lu}}\\p{{Ll}})', "
+          "'\\1' || chr(57344) || '\\2', 'g')")
+
+
 def _templates(source: str, key: str) -> str:
     """Words and template of every text, as lists."""
     return f"""
@@ -20,8 +25,7 @@ def _templates(source: str, key: str) -> str:
           '(^|[^0-9])[.,:/]+', '\\1 ', 'g'), '[.,:/]+([^0-9]|$)', ' \\1', 'g'),
           '[^\\p{{L}}\\p{{M}}\\p{{N}}.,:/' || chr(57344) || chr(57345) || ']+'), lambda w: w <> '') AS words
         FROM (SELECT {key}, regexp_replace(named, '([0-9]+(?:[.,:/][0-9]+)*)', ' ' || chr(57345) || '\\1 ', 'g') AS marked
-              FROM (SELECT {key}, regexp_replace(text, '([\\p{{Ll}}\\p{{N}},;:][ \\t\\n\\x0b\\f\\r])(\\p{{Lu}}\\p{{Ll}})',
-                      '\\1' || chr(57344) || '\\2', 'g') AS named
+              FROM (SELECT {key}, {_NAMED.format(x=_NAMED.format(x='text'))} AS named
                     FROM {source} WHERE text IS NOT NULL))) WHERE len(words) > 0"""
 
 

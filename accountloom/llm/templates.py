@@ -33,38 +33,53 @@ UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "lb", "lbs", "oz", "l", "m
 BROADCAST_WINDOWS = 500_000  # hashes and slots of so many benchmark windows fit in every task
 
 
-def template(text: Column) -> tuple[Column, str]:
-    """Words of a text, and the expression that turns column ``words`` into its template."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:]\s)(?=\p{Lu}\p{Ll})", NAME)
-    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(named, r"[0-9]+(?:[.,:/][0-9]+)*", f" {NUMBER}$0 ")
-                    ).otherwise(named)
-    words = F.filter(F.split(F.lower(marked), r"(?:[^\p{L}\p{M}\p{N}.,:/" + NAME + NUMBER
-                             + r"]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+"), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    """Lower-case words; names and numbers carry a mark in front."""
+    kept = r"\p{L}\p{M}\p{N}" + NAME + NUMBER
+    named = F.regexp_replace(text, r"([\p{Ll}\p{N},;:]\s)(?=\p{Lu}\p{Ll})", f"$1{NAME}")
+    numbered = F.regexp_replace(named, r"[0-9]+(?:[.,:/][0-9]+)*", f" {NUMBER}$0 ")
+    words = F.when(text.rlike("[0-9]"), F.split(F.lower(numbered), (
+        f"(?:[^{kept}.,:/]" + r"|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+"))).otherwise(
+        F.split(F.lower(named), f"[^{kept}]+"))
+    return F.filter(words, lambda w: w != "")
+
+
+def _typed(words: str, before: str, plain: str) -> str:
+    """What each word counts as, given the word before it."""
     units = ", ".join(f"'{u}'" for u in UNITS)
-    typed = (f"zip_with(words, concat(array(''), words), (w, before) -> case when w is null then null "
-             f"when startswith(w, '{NAME}') then '{NAME}' when startswith(w, '{NUMBER}') then '{NUMBER}' "
-             f"when startswith(before, '{NUMBER}') and w in ({units}) then '{UNIT}' else w end)")
-    return words, typed
+    return (f"zip_with({words}, {before}, (w, b) -> case when w is null then null "
+            f"when startswith(w, '{NAME}') then {plain.format(w=f"'{NAME}'")} "
+            f"when startswith(w, '{NUMBER}') then {plain.format(w=f"'{NUMBER}'")} "
+            f"when startswith(b, '{NUMBER}') and w in ({units}) then {plain.format(w=f"'{UNIT}'")} "
+            f"else {plain.format(w='w')} end)")
 
 
-def _templates(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    words, typed = template(F.col(text))
-    rows = df.filter(F.col(text).isNotNull()).select(*key, words.alias("words"))
-    return (rows.select(*key, "words", F.expr(f"slice({typed}, 1, size(words))").alias("shape"))
-            .filter("size(words) > 0")
-            .select(*key, "words", "shape", F.expr("transform(shape, w -> xxhash64(w))").alias("hashes")))
+def _hashed(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """The words of every text and the hashes of its template."""
+    words = df.select(*key, words_of(F.col(text)).alias("words"))
+    return words.select(*key, "words", F.expr(
+        _typed("words", "concat(array(''), slice(words, 1, greatest(size(words) - 1, 0)))", "xxhash64({w})")
+    ).alias("hashes"))
 
 
 def _windows(size: int) -> str:
     parts = ", ".join(f"get(hashes, i + {k})" for k in range(size))
     return (f"if(size(hashes) >= {size}, transform(sequence(0, size(hashes) - {size}), i -> xxhash64({parts})), "
-            f"array())")
+            f"cast(array() as array<bigint>))")
 
 
 def _slots(size: int, at: str) -> str:
-    """Values of the placeholders of a window, in order."""
-    return (f"filter(zip_with(slice(words, {at} + 1, {size}), slice(shape, {at} + 1, {size}), "
-            f"(w, s) -> case when w <> s then w end), v -> v is not null)")
+    """Values of the placeholders of the window at a place, in order."""
+    inside = f"slice(words, {at} + 1, {size})"
+    before = (f"if({at} = 0, concat(array(''), slice(words, 1, {size - 1})), slice(words, {at}, {size}))")
+    shape = _typed(inside, before, "{w}")
+    return (f"filter(zip_with({inside}, {shape}, (w, s) -> case when w <> s then w end), v -> v is not null)")
+
+
+def _seen(df: DataFrame, size: int, *columns: str) -> DataFrame:
+    """Every window of every text.  An outer explode: an inner one would add a filter
+    that computes all windows a second time; a text without any gives one null row."""
+    return df.select(*columns, F.posexplode_outer(F.expr(_windows(size))).alias("pos", "window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_words: int = 4,
@@ -75,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_
     with consistent slots.  Windows in which less than ``min_plain`` of the words are
     plain say too little and are left out.
     """
-    items = _templates(benchmark.select("item_id", F.col("text").alias("text")), ["item_id"], "text").filter(
+    items = _hashed(benchmark.select("item_id", "text"), ["item_id"], "text").filter(
         F.size("words") >= min_words)
     short = [r["n"] for r in items.filter(F.size("words") < window)
              .select(F.size("words").alias("n")).distinct().collect()]  # fewer than ``window`` values
@@ -83,21 +98,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_
     wanted = None
     for size in sizes:
         fits = F.size("words") >= window if size == window else F.size("words") == size
-        part = (items.filter(fits).select("item_id", "words", "shape", F.posexplode(F.expr(_windows(size))))
+        part = (_seen(items.filter(fits), size, "item_id", "words")
                 .filter(F.expr(f"size({_slots(size, 'pos')}) <= {size * (1 - min_plain)}"))
-                .select(F.lit(size).alias("size"), F.col("col").alias("window"), "item_id",
-                        F.col("pos").alias("item_pos"), F.expr(_slots(size, "pos")).alias("item_slots")))
+                .select(F.lit(size).alias("size"), "window", "item_id", F.col("pos").alias("item_pos"),
+                        F.expr(_slots(size, "pos")).alias("item_slots")))
         wanted = part if wanted is None else wanted.unionByName(part)
     wanted = wanted.persist()
     try:
         few = wanted.count() <= BROADCAST_WINDOWS
         totals = wanted.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
         key = ["doc_id", "text_hash"]
-        texts = _templates(docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), key, "text")
+        texts = _hashed(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), key, "text")
         hits = None
         for size in sizes:
-            seen = texts.select(*key, "words", "shape", F.posexplode(F.expr(_windows(size)))).withColumnRenamed(
-                "col", "window")
+            seen = _seen(texts, size, *key, "words")
             mine = wanted.filter(F.col("size") == size)
             slots = F.expr(_slots(size, "pos")).alias("slots")
             if few:  # the texts' words are read only where a window matched
