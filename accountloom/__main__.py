@@ -20,9 +20,8 @@ from accountloom.plans.queue import queue_counts
 from accountloom.sources import sidecar, sinks, snapshots
 
 
-def _provenance(spark: SparkSession, path: str) -> dict[str, str]:
-    row = snapshots.read_snapshot(spark, path).select(*snapshots.PROVENANCE).first()
-    return {k: v for k, v in row.asDict().items() if v is not None}
+def _provenance(spark: SparkSession, path: str) -> list[dict[str, str]]:
+    return snapshots.provenance_of(snapshots.read_snapshot(spark, path))
 
 
 def _filings(spark: SparkSession, args: argparse.Namespace, naics: list[str] | None = None) -> DataFrame:
@@ -41,15 +40,14 @@ def run_cold(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run_water(spark: SparkSession, args: argparse.Namespace) -> None:
-    run = water.run_water(_filings(spark, args), WATER)
+    run = water.run_water(_filings(spark, args, list(R.WATER_NAICS)), WATER)
     queue_counts(run.review_queue).show(truncate=False)
     if not args.dry_run:
-        sinks.write_csv(run.accounts.orderBy("rank").select(*sinks.WATER_COLUMNS), f"{args.outdir}/accounts_csv")
-        sinks.write_csv(run.review_queue, f"{args.outdir}/review_queue_csv")
+        sinks.write_water(run, args.outdir, _provenance(spark, args.from_json))
 
 
 def run_triage(spark: SparkSession, args: argparse.Namespace) -> None:
-    run = water.run_water(_filings(spark, args), WATER)
+    run = water.run_water(_filings(spark, args, list(R.WATER_NAICS)), WATER)
     accounts = run.accounts.withColumn("sheddability", F.col("icp.components.sheddability"))
     if args.mock:
         sites = run.keyed_sites.withColumn("account_key", F.col("key"))

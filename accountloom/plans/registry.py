@@ -33,6 +33,15 @@ SITE_COLUMNS = ("facility_id", "ord", "facility_name", "city", "state", "rto", "
                 "program_level", "accidents", "operator_name", "operator_is_person", "reported")
 
 
+SITE_DETAILS = {"recent_accidents": "int", "submissions": "int", "url": "string", "lat": "string", "lon": "string"}
+
+
+def with_details(filings: DataFrame) -> DataFrame:
+    """Columns that a site sheet shows; a source without them leaves them null."""
+    missing = {c: F.lit(None).cast(kind) for c, kind in SITE_DETAILS.items() if c not in filings.columns}
+    return filings.withColumns(missing) if missing else filings
+
+
 def active(filings: DataFrame) -> DataFrame:
     return filings.filter(~F.coalesce("is_deregistered", F.lit(False)))
 
@@ -278,7 +287,7 @@ class RegistryRun:
 
 def run_registry(filings: DataFrame, p: Profile) -> RegistryRun:
     """Resolve, gate and roll up.  Filings are read once; the slim site table is pinned."""
-    rows = pin(with_reported(active(filings), p).select(*SITE_COLUMNS), "sites")
+    rows = pin(with_details(with_reported(active(filings), p)).select(*SITE_COLUMNS, *SITE_DETAILS), "sites")
     spellings = pin(resolve_spellings(rows, p), "spellings")
     refused = refused_spellings(spellings)
     stats = pin(gate_statistics(usable_sites(rows, refused), {p.charge_field: F.col("charge_lb")}), "statistics")

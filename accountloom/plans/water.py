@@ -14,8 +14,8 @@ from accountloom.operators.ordering import global_rank
 from accountloom.operators.outliers import flag_outliers, gate_statistics, water_note
 from accountloom.plans.profiles import Profile
 from accountloom.plans.registry import (NO_NAME, account_mode, active, bucket_names,
-                                        refused_spellings, resolve_spellings, to_code_cells,
-                                        usable_sites, with_reported)
+                                        SITE_DETAILS, refused_spellings, resolve_spellings,
+                                        to_code_cells, usable_sites, with_details, with_reported)
 from accountloom.session import pin
 
 SITE_COLUMNS = ("facility_id", "ord", "facility_name", "city", "state", "rto", "naics",
@@ -133,6 +133,18 @@ class WaterRun:
     def keyed_sites(self) -> DataFrame:
         return self.sites.join(self.spellings.filter("key is not null"), "reported")
 
+    @property
+    def account_sites(self) -> DataFrame:
+        """Every site of an admitted account with its power estimate and buffer class."""
+        names = self.buckets.filter(admitted(self.profile)).select(F.col("account_key").alias("key"), "account")
+        return with_site_measures(self.keyed_sites, self.profile).join(names, "key")
+
+    @property
+    def account_aliases(self) -> DataFrame:
+        names = self.buckets.filter(admitted(self.profile)).select(F.col("account_key").alias("key"), "account_key", "account")
+        return (self.spellings.filter("key is not null").join(names, "key")
+                .select("account_key", F.col("reported").alias("alias"), "account"))
+
     @property
     def review_queue(self) -> DataFrame:
         return water_queue(self)
@@ -183,7 +195,8 @@ def water_queue(run: WaterRun) -> DataFrame:
 
 def run_water(filings: DataFrame, p: Profile) -> WaterRun:
     """``filings`` carries ``chlorine_lb`` and ``ammonia_lb`` per site."""
-    rows = pin(with_exclusion(with_reported(active(filings), p), p).select(*SITE_COLUMNS),
+    details = [c for c in SITE_DETAILS if c not in SITE_COLUMNS]
+    rows = pin(with_details(with_exclusion(with_reported(active(filings), p), p)).select(*SITE_COLUMNS, *details),
                "water-sites")
     kept = rows.filter("excluded is null")
     spellings = pin(resolve_spellings(kept, p), "water-spellings")

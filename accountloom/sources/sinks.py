@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from accountloom.operators.quality import golden_diff
 from accountloom.plans.queue import cold_queue
 from accountloom.plans.registry import RegistryRun
+from accountloom.plans.water import WaterRun
+from accountloom.session import pin
 
 ACCOUNT_COLUMNS = (
     "rank", "icp_score", "account", "is_customer", "sites", "unvalidated_sites", "ammonia_lb",
@@ -20,9 +22,12 @@ WATER_COLUMNS = (
     "rank", "icp_score", "account", "is_customer", "sites", "unvalidated_sites", "chlorine_lb",
     "max_site_chlorine_lb", "est_peak_kw_total", "buffer_class", "buffer_confirmed", "states",
     "state_list", "primary_state", "primary_rto", "dereg_state", "multi_site", "is_authority",
-    "accidents", "sites_with_accidents", "recent_accident_sites", "primary_naics", "vertical")
+    "accidents", "sites_with_accidents", "recent_accident_sites", "primary_naics", "vertical", "aliases")
 QUEUE_COLUMNS = ("kind", "rmp_id", "name", "city", "state", "naics", "ammonia_lb", "reported_name",
                  "account", "reason", "validation_note", "action")
+WATER_QUEUE_COLUMNS = ("kind", "rmp_id", "name", "city", "state", "naics", "chlorine_lb", "ammonia_lb",
+                       "reported_name", "account", "reason", "validation_note", "action")
+WATER_KINDS = ("numeric_outlier", "unresolved_name", "process_exclusion", "below_threshold")
 TRIAGE_COLUMNS = (
     "account", "baseline_score", "final_score", "delta", "baseline_shed", "shed", "lifted",
     "disposition", "agreement", "rule_buffer", "judge_buffer_top", "judge_p_top",
@@ -51,34 +56,52 @@ def accounts_table(run: RegistryRun) -> DataFrame:
     The spellings are distinct per account before they are joined; the flat
     alias table is the one to use where a company may have very many.
     """
-    spellings = run.account_aliases.groupBy("account_key").agg(
-        F.array_join(F.array_sort(F.collect_set("alias")), " | ").alias("aliases"))
-    return run.accounts.join(spellings, "account_key").withColumnsRenamed({
+    return run.accounts.join(_joined_aliases(run), "account_key").withColumnsRenamed({
         "charge_lb": "ammonia_lb", "max_site_charge_lb": "max_site_ammonia_lb"}).select(*ACCOUNT_COLUMNS)
 
 
-def queue_table(run: RegistryRun) -> DataFrame:
-    return cold_queue(run).withColumnsRenamed(
-        {"facility_id": "rmp_id", "charge_lb": "ammonia_lb"}).orderBy("kind_ord", "rmp_id", "reported_name").select(*QUEUE_COLUMNS)
+def _joined_aliases(run: RegistryRun | WaterRun) -> DataFrame:
+    return run.account_aliases.groupBy("account_key").agg(
+        F.array_join(F.array_sort(F.collect_set("alias")), " | ").alias("aliases"))
+
+
+def water_accounts_table(run: WaterRun) -> DataFrame:
+    return run.accounts.join(_joined_aliases(run), "account_key").select(*WATER_COLUMNS)
+
 
+Provenance = Mapping[str, str] | Sequence[Mapping[str, str]]
 
-def write_registry(run: RegistryRun, folder: str, provenance: Mapping[str, str]) -> None:
+
+def _write_all(accounts: DataFrame, sites: DataFrame, queue: DataFrame, folder: str, provenance: Provenance) -> None:
     """Accounts, sites and queue as CSV, and the seed tables as JSON with provenance.
 
-    Output without attribution is refused: the licence requires it.
+    Output without attribution is refused: the licence requires it.  Tables that are
+    written twice are pinned first.
     """
-    if not provenance.get("attribution") or not provenance.get("licence"):
+    origins = [provenance] if isinstance(provenance, Mapping) else list(provenance)
+    if not origins or not all(p.get("attribution") and p.get("licence") for p in origins):
         raise ValueError("attribution and licence are required in every output")
-    accounts = accounts_table(run).orderBy("rank")
+    tables = {"accounts": (pin(accounts, "accounts-out"), ["rank"]), "sites": (pin(sites, "sites-out"), []),
+              "review_queue": (pin(queue, "queue-out"), ["kind_ord", "rmp_id", "reported_name"])}
+    meta = accounts.sparkSession.createDataFrame([dict(p) for p in origins])
+    meta.write.mode("overwrite").json(f"{folder}/seed/meta")
+    for name, (table, order) in tables.items():
+        shown = (table.orderBy(*order) if order else table).drop("kind_ord")
+        write_csv(shown, f"{folder}/{name}_csv")
+        shown.write.mode("overwrite").json(f"{folder}/seed/{name}")
+
+
+def write_registry(run: RegistryRun, folder: str, provenance: Provenance) -> None:
     sites = run.account_sites.drop("account_key", "key", "shown", "resolved_by", "merged", "ord")
-    queue = queue_table(run)
-    write_csv(accounts, f"{folder}/accounts_csv")
-    write_csv(sites, f"{folder}/sites_csv")
-    write_csv(queue, f"{folder}/review_queue_csv")
-    spark = accounts.sparkSession
-    meta = spark.createDataFrame([dict(provenance)])
-    for name, table in (("meta", meta), ("accounts", accounts), ("sites", sites), ("review_queue", queue)):
-        table.write.mode("overwrite").json(f"{folder}/seed/{name}")
+    queue = cold_queue(run).withColumnsRenamed({"facility_id": "rmp_id", "charge_lb": "ammonia_lb"})
+    _write_all(accounts_table(run), sites, queue.select("kind_ord", *QUEUE_COLUMNS), folder, provenance)
+
+
+def write_water(run: WaterRun, folder: str, provenance: Provenance) -> None:
+    sites = run.account_sites.drop("account_key", "key", "shown", "resolved_by", "ord", "excluded")
+    queue = run.review_queue.withColumnRenamed("facility_id", "rmp_id").withColumn(
+        "kind_ord", F.array_position(F.array(*map(F.lit, WATER_KINDS)), F.col("kind")).cast("long"))
+    _write_all(water_accounts_table(run), sites, queue.select("kind_ord", *WATER_QUEUE_COLUMNS), folder, provenance)
 
 
 def write_triage(results: DataFrame, path: str) -> None:

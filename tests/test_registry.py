@@ -235,9 +235,13 @@ def test_command_line(spark, tmp_path):
 
     wet = [{"facilityId": str(i), "parentCompanyName": f"Town {chr(97 + i)} Water District", "facilityName": "Elm Pump Station",
             "state": "TX", "naicsCode": "22131", "chemicals": [{"chemicalId": 17, "quantity": 50_000}]} for i in range(8)]
+    wet.append({**wet[0], "facilityId": "food", "parentCompanyName": "A Food Plant", "naicsCode": "31161"})  # out of scope
     path = land(tmp_path, wet, "water.json")
     main(["water", "--from-json", path, "--outdir", str(tmp_path / "water")])
-    assert spark.read.csv(str(tmp_path / "water" / "accounts_csv"), header=True).count() == 8
+    written = spark.read.csv(str(tmp_path / "water" / "accounts_csv"), header=True)
+    assert written.count() == 8 and {r["aliases"] for r in written.collect()} == {f"Town {chr(97 + i)} Water District" for i in range(8)}
+    assert spark.read.csv(str(tmp_path / "water" / "sites_csv"), header=True).count() == 8
+    assert spark.read.json(str(tmp_path / "water" / "seed" / "meta")).first()["licence"] == "CC BY-SA 4.0"
     for run, at in (("r1", "2026-01-01"), ("r2", "2026-02-01")):
         main(["triage", "--from-json", path, "--sidecar", str(tmp_path / "side"), "--snapshots", str(tmp_path / "snaps"),
               "--outdir", str(tmp_path / run), "--run", run, "--judged-at", at, "--mock", "--limit", "5"])
