@@ -63,9 +63,19 @@ def _hashed(df: DataFrame, key: list[str], text: str) -> DataFrame:
 
 
 def _windows(size: int) -> str:
-    parts = ", ".join(f"get(hashes, i + {k})" for k in range(size))
-    return (f"if(size(hashes) >= {size}, transform(sequence(0, size(hashes) - {size}), i -> xxhash64({parts})), "
-            f"cast(array() as array<bigint>))")
+    """Hashes of all windows of ``size`` words: pairs of shorter windows, by doubling.
+
+    A window of any size is two overlapping windows of the largest power of two in it.
+    """
+    def pairs(array: str, apart: int) -> str:
+        left = f"greatest(size(h) - {apart}, 0)"
+        return (f"transform(array({array}), h -> zip_with(slice(h, 1, {left}), "
+                f"slice(h, {apart + 1}, {left}), (a, b) -> xxhash64(a, b)))[0]")
+
+    out, width = "hashes", 1
+    while 2 * width <= size:
+        out, width = pairs(out, width), 2 * width
+    return pairs(out, size - width) if width < size else out
 
 
 def _slots(size: int, at: str) -> str:
