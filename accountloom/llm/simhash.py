@@ -146,25 +146,59 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int64)
 
 
-def _spanning_links(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one bucket that connect all it connects, by a search over unseen fingerprints."""
-    left, right = [prints[:, :0]], [prints[:, :0]]
-    unseen = np.unique(prints, axis=1)
-    while unseen.shape[1] > 1:
-        queue, unseen = [unseen[:, 0]], unseen[:, 1:]
-        while queue and unseen.shape[1]:
+def _search(prints: np.ndarray, distance: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Components of a set of fingerprints, and the links of a search through each."""
+    label = np.full(prints.shape[1], -1)
+    left, right = [], []
+    unseen, number = np.arange(prints.shape[1]), 0
+    while len(unseen):
+        queue, unseen = [unseen[0]], unseen[1:]
+        label[queue] = number
+        while queue and len(unseen):
             at = queue.pop()
-            near = _distance(unseen, at[:, None]) <= distance
+            near = _distance(prints[:, unseen], prints[:, at][:, None]) <= distance
             if near.any():
-                found = unseen[:, near]
-                left.append(np.repeat(at[:, None], found.shape[1], axis=1))
+                found, unseen = unseen[near], unseen[~near]
+                label[found] = number
+                left.append(np.full(len(found), at))
                 right.append(found)
-                queue.extend(found.T)
-                unseen = unseen[:, ~near]
-    return np.concatenate(left, axis=1), np.concatenate(right, axis=1)
-
-
-def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+                queue.extend(found)
+        number += 1
+    return label, left, right
+
+
+def _crowded_links(prints: np.ndarray, own: np.ndarray, value: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a bucket in which most rows are near each other.
+
+    Table entries get the links of a search.  Look-ups that share a value are table
+    entries elsewhere and are connected there, so one link from each of their
+    components to each component of this table is enough.
+    """
+    table = np.flatnonzero(own == value)
+    label, left, right = _search(prints[:, table], distance)
+    left, right = [table[i] for i in left], [table[i] for i in right]
+    asking = np.flatnonzero(own != value)
+    unit, units = np.zeros(len(asking), np.int64), 0
+    for other in np.unique(own[asking]).tolist():
+        rows = np.flatnonzero(own[asking] == other)
+        found, _, _ = _search(prints[:, asking[rows]], distance)
+        unit[rows] = found + units
+        units += int(found.max()) + 1
+    step = max(1, PAIRS // max(1, len(table)))
+    for low in range(0, len(asking), step):
+        rows = asking[low:low + step]
+        near = _distance(prints[:, rows][:, :, None], prints[:, table][:, None, :]) <= distance
+        i, j = np.nonzero(near)
+        _, first = np.unique(np.stack([unit[low + i], label[j]]), axis=1, return_index=True)
+        left.append(rows[i[first]])
+        right.append(table[j[first]])
+    if not left:
+        return prints[:, :0], prints[:, :0]
+    return prints[:, np.concatenate(left)], prints[:, np.concatenate(right)]
+
+
+def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int, segments: Sequence[tuple[int, int]],
+                  ) -> tuple[np.ndarray, np.ndarray]:
     """Links within whole buckets; rows are sorted by bucket, table entries first."""
     key = bucket >> 1
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -174,7 +208,7 @@ def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int) -> tupl
     # every row is compared with the table entries before it
     count = np.minimum(np.arange(len(key)) - start[group], tables[group])
     lefts, rights = [prints[:, :0]], [prints[:, :0]]
-    crowded = np.zeros(len(start), bool)
+    links = np.zeros(len(start), np.int64)
     ends = np.cumsum(count)
     low = 0
     while low < len(key):
@@ -187,23 +221,26 @@ def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int) -> tupl
         near = _distance(prints[:, left], prints[:, right]) <= distance
         left, right = left[near], right[near]
         owner = group[left]
-        crowded |= np.bincount(owner, minlength=len(start)) > 4 * size
-        keep = ~crowded[owner]
+        links += np.bincount(owner, minlength=len(start))
+        keep = links[owner] <= 2 * size[owner]
         lefts.append(prints[:, left[keep]])
         rights.append(prints[:, right[keep]])
         low = high
-    for k in np.flatnonzero(crowded).tolist():
-        a, b = _spanning_links(prints[:, start[k]:start[k] + size[k]], distance)
+    for k in np.flatnonzero(links > 2 * size).tolist():
+        value, number = divmod(int(key[start[k]]), len(segments))
+        word, shift = divmod(sum(w for w, _ in segments[:number]), 64)
+        part = prints[:, start[k]:start[k] + size[k]]
+        own = (part[word] >> np.uint64(shift)) & np.uint64((1 << segments[number][0]) - 1)
+        a, b = _crowded_links(part, own, value, distance)
         lefts.append(a)
         rights.append(b)
     return np.concatenate(lefts, axis=1), np.concatenate(rights, axis=1)
 
 
-def _links(distance: int, names: Sequence[str]):
+def _links(distance: int, names: Sequence[str], segments: Sequence[tuple[int, int]]):
     def emit(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        a, b = _bucket_links(bucket, prints, distance)
-        apart = (a != b).any(axis=0)
-        columns = [np.ascontiguousarray(side[k][apart]).view(np.int64) for side in (a, b) for k in range(len(names))]
+        a, b = _bucket_links(bucket, prints, distance, segments)
+        columns = [np.ascontiguousarray(side[k]).view(np.int64) for side in (a, b) for k in range(len(names))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
                                           names=[f"{side}_{n}" for side in ("u", "v") for n in names])
 
@@ -241,7 +278,7 @@ def links(prints: DataFrame, distance: int = 4, segments: Sequence[tuple[int, in
     entries = map_arrow(prints.select(*names).distinct(), _entries(segments, names), f"bucket long, {columns}")
     buckets = entries.repartition(F.shiftright("bucket", 1)).sortWithinPartitions("bucket")
     ends = ", ".join(f"{side}_{n} long" for side in ("u", "v") for n in names)
-    return map_arrow(buckets, _links(distance, names), ends).select(
+    return map_arrow(buckets, _links(distance, names, segments), ends).select(
         _as_text(names, "u_").alias("u"), _as_text(names, "v_").alias("v"))
 
 

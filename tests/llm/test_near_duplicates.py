@@ -81,14 +81,22 @@ def test_links_of_planted_distances(spark):
     assert len({graph.get(v, v) for v in values}) == len({w for w in want.values()})
 
 
-def test_crowded_bucket_hands_on_few_links():
+def test_crowded_buckets_hand_on_few_links_and_lose_no_connection(spark):
+    """5,000 near copies: few links per fingerprint, and the same groups as all pairs give."""
     rng = np.random.default_rng(3)
-    flips = rng.integers(0, 20, (5000, 2))
-    bits = np.full(5000, 0xFFFF0000AAAA5555, np.uint64) ^ (np.uint64(1) << flips[:, 0].astype(np.uint64)) \
-        ^ (np.uint64(1) << flips[:, 1].astype(np.uint64))
-    a, b = simhash._bucket_links(np.zeros(5000, np.int64), bits[None, :], 4)
-    assert a.shape[1] <= 5000
-    assert (np.bitwise_count(a ^ b) <= 4).all()
+    flips = np.uint64(1) << rng.integers(0, 64, (5000, 3)).astype(np.uint64)
+    prints = np.unique(np.uint64(0xFFFF0000AAAA5555) ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2])
+    prints = np.concatenate([prints, rng.integers(0, 1 << 62, 3000).astype(np.uint64)])
+    links = simhash.links(spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "b0 long"), 4)
+    found = links.distinct()
+    assert found.count() < 8 * len(prints)
+    label, _, _ = simhash._search(prints[None, :], 4)
+    got = {int(r["node"], 16): r["component"] for r in components.connected_components(found).collect()}
+    groups = {}
+    for p, k in zip(prints.tolist(), label.tolist()):
+        groups.setdefault(k, set()).add(got.get(p, p))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
 def test_wide_fingerprints_find_similar_texts(spark):
