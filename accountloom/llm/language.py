@@ -32,6 +32,7 @@ BINS = 4096
 NGRAMS = (1, 2, 3)
 SEGMENT = 1 << 21
 ROWS = 256
+FULL_FLOOR = 300  # n-grams from which a text must reach the whole floor
 
 
 @functools.cache
@@ -229,7 +230,9 @@ def _predict(model: LanguageModel, keep: tuple[str, ...]):
                 top = cosines[np.arange(len(best)), best]
                 lang[known] = [model.languages[b] for b in best]
                 score[known] = np.clip(top, 0, 1)
-                rejected[known] = top < model.floors[best]
+                # a short text has few n-grams to agree in: its floor is lower in proportion
+                weight = np.minimum(1, counts[known].sum(axis=1) / FULL_FLOOR)
+                rejected[known] = top < model.floors[best] * weight
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                 names=[*keep, "lang_pred", "score", "rejected"])
