@@ -41,7 +41,7 @@ class BatchEncoder:
     is forgotten is encoded again, which changes nothing else.
     """
 
-    def __init__(self, path: str, memo_limit: int = 500_000) -> None:
+    def __init__(self, path: str, memo_limit: int = 300_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
