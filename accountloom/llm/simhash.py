@@ -3,11 +3,15 @@
 A fingerprint of one or more 64-bit words is cut into segments with a radius each.
 Two fingerprints within the distance agree, up to the radius, in some segment: always
 if the radii plus one add up to more than the distance, else with a probability that
-``segment_recall`` gives.  Every distinct fingerprint is filed under its segment
+``segment_recall`` gives.  Segments beyond the fingerprint's width are cut from the same
+bits in another order, which raises that probability.  Every distinct fingerprint is filed under its segment
 values (the tables) and looks up the Hamming ball around them.  Table entries and
 look-ups of one value stand together after a sort, the complete distance is verified
 there, and a crowded bucket hands on only links that connect something new.
 
+``similar_groups`` uses such links as candidates only: the texts behind each are compared
+by the Jaccard similarity of their shingle sets before they make a group.
+
 Defined results: a null or blank text has fingerprint zero and links like any other;
 a text with fewer words than a shingle is one shingle; equal fingerprints are one
 node, so copies are never paired; rows that repeat an id get one result each; an
@@ -29,11 +33,12 @@ from pyspark.sql import functions as F
 
 from accountloom.llm.components import connected_components
 from accountloom.llm.frames import map_arrow
-from accountloom.session import pin
+from accountloom.session import compute_once, pin
 
 SEED = 42
 SEGMENTS = ((22, 1), (21, 1), (21, 0))  # (bits, radius): (1+1) + (1+1) + (0+1) = 4 + 1
-WIDE_SEGMENTS = ((16, 1),) * 8
+WIDE_SEGMENTS = ((16, 1),) * 16  # 128 bits twice, the second time in another order
+STRIDE = 9  # odd, so that every bit of a fingerprint comes once
 BLOCK = 1 << 13
 PAIRS = 1 << 22
 
@@ -51,8 +56,8 @@ def _word(hashes: np.ndarray, number: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def text_fingerprint(text: str | None, words_per_shingle: int, width: int = 64) -> list[int]:
-    """SimHash of a whole text, repeats included, as 64-bit words."""
+def text_fingerprint(text: str | None, words_per_shingle: int, width: int = 64, once: bool = False) -> list[int]:
+    """SimHash of a whole text as 64-bit words; repeated shingles count again, or ``once``."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return [0] * (width // 64)
@@ -63,9 +68,13 @@ def text_fingerprint(text: str | None, words_per_shingle: int, width: int = 64)
     stops = (ends - 1)[min(words_per_shingle, len(words)) - 1:].tolist()
     digest = xxhash.xxh64_intdigest
     set_in = np.zeros((width // 64, 64), np.int64)
-    for low in range(0, n, BLOCK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in
-                           zip(starts[low:low + BLOCK], stops[low:low + BLOCK])], np.uint64)
+    blocks = (np.array([digest(joined[a:b], SEED) for a, b in zip(starts[low:low + BLOCK], stops[low:low + BLOCK])],
+                       np.uint64) for low in range(0, n, BLOCK))
+    if once:
+        different = np.unique(np.concatenate(list(blocks)))
+        n = len(different)
+        blocks = (different[low:low + BLOCK] for low in range(0, n, BLOCK))
+    for hashes in blocks:
         for k in range(width // 64):
             bits = np.unpackbits(_word(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             set_in[k] += bits.sum(axis=0, dtype=np.int64)
@@ -109,6 +118,20 @@ def distance_for(similarity: float, width: int = 64, spread: float = 1.1) -> int
     return round(width * share + spread * sqrt(width * share * (1 - share)))
 
 
+def _rearranged(prints: np.ndarray) -> np.ndarray:
+    """The same fingerprints with their bits in another order."""
+    bits = np.unpackbits(np.ascontiguousarray(prints.T).astype(">u8").view(np.uint8).reshape(prints.shape[1], -1), axis=1)
+    order = np.arange(bits.shape[1]) * STRIDE % bits.shape[1]
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").astype(np.uint64).T
+
+
+def _segment(prints: np.ndarray, segments: Sequence[tuple[int, int]], number: int) -> np.ndarray:
+    """Values of a segment; those beyond the fingerprint are of the rearranged bits."""
+    word, shift = divmod(sum(w for w, _ in segments[:number]), 64)
+    source = prints if word < len(prints) else _rearranged(prints)
+    return (source[word % len(prints)] >> np.uint64(shift)) & np.uint64((1 << segments[number][0]) - 1)
+
+
 def _entries(segments: Sequence[tuple[int, int]], names: Sequence[str]):
     """Table entries (even buckets) and look-ups (odd: the bucket below plus one)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +140,9 @@ def _entries(segments: Sequence[tuple[int, int]], names: Sequence[str]):
             for low in range(0, prints.shape[1], BLOCK):
                 part = prints[:, low:low + BLOCK]
                 rows = np.arange(part.shape[1])
-                buckets, owners, at = [], [], 0
+                buckets, owners = [], []
                 for number, (width, radius) in enumerate(segments):
-                    word, shift = divmod(at, 64)
-                    at += width
-                    value = (part[word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                    value = _segment(part, segments, number)
                     base = value * np.uint64(len(segments)) + np.uint64(number)
                     buckets.append(base << np.uint64(1))
                     owners.append(rows)
@@ -198,8 +219,12 @@ def _crowded_links(prints: np.ndarray, own: np.ndarray, value: int, distance: in
 
 
 def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int, segments: Sequence[tuple[int, int]],
-                  ) -> tuple[np.ndarray, np.ndarray]:
-    """Links within whole buckets; rows are sorted by bucket, table entries first."""
+                  levels: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Links within whole buckets; rows are sorted by bucket, table entries first.
+
+    A crowded bucket hands on the spanning links of each of the smaller distances
+    ``levels`` as well, so that what is near has a link that is near.
+    """
     key = bucket >> 1
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((start, [len(key)])))
@@ -228,18 +253,18 @@ def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int, segment
         low = high
     for k in np.flatnonzero(links > 2 * size).tolist():
         value, number = divmod(int(key[start[k]]), len(segments))
-        word, shift = divmod(sum(w for w, _ in segments[:number]), 64)
         part = prints[:, start[k]:start[k] + size[k]]
-        own = (part[word] >> np.uint64(shift)) & np.uint64((1 << segments[number][0]) - 1)
-        a, b = _crowded_links(part, own, value, distance)
-        lefts.append(a)
-        rights.append(b)
+        own = _segment(part, segments, number)
+        for level in (*levels, distance):
+            a, b = _crowded_links(part, own, value, level)
+            lefts.append(a)
+            rights.append(b)
     return np.concatenate(lefts, axis=1), np.concatenate(rights, axis=1)
 
 
-def _links(distance: int, names: Sequence[str], segments: Sequence[tuple[int, int]]):
+def _links(distance: int, names: Sequence[str], segments: Sequence[tuple[int, int]], levels: Sequence[int]):
     def emit(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        a, b = _bucket_links(bucket, prints, distance, segments)
+        a, b = _bucket_links(bucket, prints, distance, segments, levels)
         columns = [np.ascontiguousarray(side[k]).view(np.int64) for side in (a, b) for k in range(len(names))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
                                           names=[f"{side}_{n}" for side in ("u", "v") for n in names])
@@ -269,16 +294,17 @@ def _as_text(names: Sequence[str], prefix: str = "") -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(prefix + n)), 16, "0") for n in names])
 
 
-def links(prints: DataFrame, distance: int = 4, segments: Sequence[tuple[int, int]] = SEGMENTS) -> DataFrame:
+def links(prints: DataFrame, distance: int = 4, segments: Sequence[tuple[int, int]] = SEGMENTS,
+          levels: Sequence[int] = ()) -> DataFrame:
     """``u, v``: links between distinct fingerprints, as hexadecimal text."""
     names = [c for c in prints.columns if c != "doc_id"]
-    if sum(w for w, _ in segments) != 64 * len(names):
+    if sum(w for w, _ in segments) not in (64 * len(names), 128 * len(names)):
         raise ValueError("segments must cover the fingerprint")
     columns = ", ".join(f"{n} long" for n in names)
     entries = map_arrow(prints.select(*names).distinct(), _entries(segments, names), f"bucket long, {columns}")
     buckets = entries.repartition(F.shiftright("bucket", 1)).sortWithinPartitions("bucket")
     ends = ", ".join(f"{side}_{n} long" for side in ("u", "v") for n in names)
-    return map_arrow(buckets, _links(distance, names, segments), ends).select(
+    return map_arrow(buckets, _links(distance, names, segments, levels), ends).select(
         _as_text(names, "u_").alias("u"), _as_text(names, "v_").alias("v"))
 
 
@@ -295,3 +321,70 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 5, distance: in
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_print = joined.join(least, "component").select("fingerprint", "component_id")
     return named.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _keyed(words_per_shingle: int, width: int):
+    """Per row: a digest of its words, which equal word lists share, and the fingerprint of its distinct shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("text")]
+            prints = np.array([text_fingerprint(t, words_per_shingle, width, once=True) for t in texts],
+                              np.uint64).reshape(-1, width // 64)
+            nodes = [xxhash.xxh3_128_hexdigest(b" ".join((t or "").encode().lower().split())) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.string()),
+                 *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T)],
+                names=["doc_id", "text_hash", "node", *_names(width)])
+
+    return run
+
+
+def shingle_set(text: Column, words: int) -> Column:
+    """Hashes of the distinct shingles of the words that the fingerprint reads."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hashes = F.transform(F.filter(F.split(lowered, r"[ \t-\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+    def shingles(h: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.size(h) - words),
+                            lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(words)]))
+        return F.when(F.size(h) >= words, whole).otherwise(F.array(F.xxhash64(h)))
+
+    return F.array_distinct(F.transform(F.array(hashes), shingles)[0])
+
+
+def similar_groups(docs: DataFrame, *, similarity: float = 0.8, words_per_shingle: int = 5, width: int = 128,
+                   segments: Sequence[tuple[int, int]] = WIDE_SEGMENTS, spread: float = 3.0) -> DataFrame:
+    """``doc_id, text_hash, component`` for every row, ``text_hash`` being ``xxhash64(text)``.
+
+    Texts are joined if the Jaccard similarity of their shingle sets is at least
+    ``similarity``, directly or through others.  Fingerprints of distinct shingles only
+    choose which texts are compared, one per list of words.  Texts with one fingerprint
+    are compared with the least of them, which stands for them in the other links.
+    """
+    distance, names = distance_for(similarity, width, spread), _names(width)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = pin(map_arrow(keyed, _keyed(words_per_shingle, width), ", ".join(
+        ["doc_id long, text_hash long, node string", *(f"{n} long" for n in names)])), "fingerprints")
+    nodes = rows.groupBy("node", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    printed = nodes.select("node", _as_text(names).alias("fingerprint"))
+    first = printed.groupBy("fingerprint").agg(F.min("node").alias("first"))
+    near = links(rows.select(*names), distance, segments, range(4, distance, 4)).distinct()
+    ends = near.join(first.select(F.col("fingerprint").alias("u"), F.col("first").alias("a")), "u").join(
+        first.select(F.col("fingerprint").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    same = printed.join(first, "fingerprint").filter("node <> first").select(
+        F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = pin(ends.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(
+        "node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
+    texts = pin(keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id"]) & (keyed["text_hash"] == wanted["hash"]))
+                .select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    sets = compute_once(both.select("a", "b", "left", "right"), x=shingle_set(F.col("left"), words_per_shingle),
+                        y=shingle_set(F.col("right"), words_per_shingle)).select("a", "b", "x", "y")
+    shared = compute_once(sets, n=F.size(F.array_intersect("x", "y")), total=F.size("x") + F.size("y"))
+    groups = connected_components(shared.filter(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n")))
+                                  .select("a", "b"), "a", "b")
+    return rows.select("doc_id", "text_hash", "node").join(groups, "node", "left").select(
+        "doc_id", "text_hash", F.coalesce("component", "node").alias("component"))

@@ -186,3 +186,52 @@ def test_edited_texts(spark):
         assert (r["near_edited"] == 1.0) >= (edited == text)
     same = [r["fingerprint"] for r in got if r["doc_id"] == 31]
     assert same[0] == same[1]
+
+
+def test_pipeline_groups_are_verified_by_jaccard(spark):
+    """Every pair from 0.8 on falls together, none below, though fingerprints of 0.6 to 0.8 are near as well."""
+    rng = random.Random(12)
+    words = [f"z{i}" for i in range(5000)]
+    rows = []
+    for k in range(150):
+        base = [rng.choice(words) for _ in range(300)]
+        other = list(base)
+        for p in range(5, 5 + 20 * (k % 15 + 1), 20):  # each edit breaks five shingles
+            other[p] = rng.choice(words)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    line = " ".join(f"line{i}" for i in range(8))
+    tails = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(2)]
+    rows += [(1000, " ".join([line] * 400 + tails[:1])), (1001, " ".join([line] * 400 + tails[1:]))]  # unlike but for repeats
+    got = {r["doc_id"]: r["component"] for r in
+           simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by_id = dict(rows)
+    for a in range(0, 300, 2):
+        x, y = shingles(by_id[a]), shingles(by_id[a + 1])
+        assert (got[a] == got[a + 1]) == (len(x & y) >= 0.8 * len(x | y)), a
+    assert got[1000] != got[1001]
+
+
+def test_crowded_candidates_keep_every_similar_text(spark):
+    """Hundreds of copies of one text in families: no family is lost to links that are not similar enough."""
+    rng = random.Random(13)
+    words = [f"y{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for family in range(40):
+        head = list(base)
+        for p in range(5 + family % 5, 300, 43):  # families resemble each other at 0.6 to 0.74
+            head[p] = rng.choice(words)
+        for member in range(10):
+            copy = list(head)
+            copy[rng.randrange(300)] = rng.choice(words)
+            rows.append((10 * family + member, " ".join(copy)))
+    got = {r["doc_id"]: r["component"] for r in
+           simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i, j in itertools.combinations(sets, 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = {k: new if r == old else r for k, r in root.items()}
+    assert len(set(root.values())) > 30
+    assert len({(root[i], got[i]) for i in sets}) == len(set(root.values())) == len(set(got.values()))
