@@ -78,3 +78,14 @@ def test_stages_take_odd_tables(spark):
     empty = docs.filter("false")
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids_keep_their_texts(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    text = [" ".join(f"{k}word{i}" for i in range(60)) for k in range(6)]
+    near = text[0] + " more"
+    rows = [(None, text[1], "a"), (None, text[2], "b"), (None, text[2], "b"), (None, text[0], "c"),
+            (1, near, "d"), (7, text[0], "e"), (7, text[3], "f"), (7, text[4], "g"), (8, text[4], "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(r["lang"] for r in pipeline.one_of_each_group(spark, docs, FOLDER).collect())
+    assert got == ["a", "b", "d", "f", "g"]
