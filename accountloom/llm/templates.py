@@ -8,7 +8,7 @@ and different ones for different ones, so a re-parameterised question is caught
 chance match of placeholders is not.
 
 Defined results: null and empty texts match nothing; benchmark items with fewer than
-``min_words`` words are never matched, items shorter than a window are matched as a
+``min_words`` words are never matched, an item of numbers or names only as it stands, items shorter than a window are matched as a
 whole; rows that repeat an id are judged by their own text, and the removal works on
 (id, text), so equal rows go or stay together; empty tables give empty results; extra
 columns are kept by ``decontaminate`` and not read.
@@ -93,12 +93,13 @@ def _seen(df: DataFrame, size: int, *columns: str) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_words: int = 4,
-                 min_plain: float = 0.6, min_share: float = 0.25) -> DataFrame:
+                 min_plain: float = 0.6, min_share: float = 0.25, min_run: int = 13) -> DataFrame:
     """``doc_id, text_hash, item_id, matched, windows, verbatim, slots_changed``.
 
-    A document holds an item if at least ``min_share`` of the item's windows occur in it
-    with consistent slots.  Windows in which less than ``min_plain`` of the words are
-    plain say too little and are left out.
+    A document holds an item if at least ``min_share`` of the item's windows, or of those
+    with enough plain words, occur in it, or ``min_run`` windows of the item in a row.
+    Slots must be consistent; in windows in which less than ``min_plain`` of the words are
+    plain they must be equal, since their templates say too little.
     """
     items = _hashed(benchmark.select("item_id", "text"), ["item_id"], "text").filter(
         F.size("words") >= min_words)
@@ -109,35 +110,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_
     for size in sizes:
         fits = F.size("words") >= window if size == window else F.size("words") == size
         part = (_seen(items.filter(fits), size, "item_id", "words")
-                .filter(F.expr(f"size({_slots(size, 'pos')}) <= {size * (1 - min_plain)}"))
                 .select(F.lit(size).alias("size"), "window", "item_id", F.col("pos").alias("item_pos"),
-                        F.expr(_slots(size, "pos")).alias("item_slots")))
+                        F.expr(_slots(size, "pos")).alias("item_slots"))
+                .withColumn("low", F.size("item_slots") > size * (1 - min_plain)))
         wanted = part if wanted is None else wanted.unionByName(part)
     wanted = wanted.persist()
     try:
         few = wanted.count() <= BROADCAST_WINDOWS
-        totals = wanted.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
+        totals = wanted.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"),
+                                                 F.sum((~F.col("low")).cast("long")).alias("plain_windows"))
         key = ["doc_id", "text_hash"]
         texts = _hashed(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), key, "text")
         hits = None
         for size in sizes:
             seen = _seen(texts, size, *key, "words")
             mine = wanted.filter(F.col("size") == size)
-            slots = F.expr(_slots(size, "pos")).alias("slots")
+            slots = F.expr(_slots(size, "pos"))
+            right = mine.withColumnRenamed("window", "wanted")
             if few:  # the texts' words are read only where a window matched
-                part = seen.join(F.broadcast(mine), "window").select(*key, "item_id", "item_pos", "item_slots", slots)
+                fits = (F.col("window") == F.col("wanted")) & (~F.col("low") | (F.col("item_slots") == slots))
+                part = seen.join(F.broadcast(right), fits).select(
+                    *key, "item_id", "item_pos", "item_slots", "low", slots.alias("slots"))
             else:
-                part = seen.select(*key, "window", slots).join(mine, "window").select(
-                    *key, "item_id", "item_pos", "item_slots", "slots")
+                fits = (F.col("window") == F.col("wanted")) & (~F.col("low") | (F.col("item_slots") == F.col("slots")))
+                part = seen.select(*key, "window", slots.alias("slots")).join(right, fits).select(
+                    *key, "item_id", "item_pos", "item_slots", "low", "slots")
             hits = part if hits is None else hits.unionByName(part)
         consistent = ("size(array_distinct(arrays_zip(item_slots, slots))) = size(array_distinct(item_slots)) and "
                       "size(array_distinct(arrays_zip(item_slots, slots))) = size(array_distinct(slots))")
         changed = F.expr("size(filter(zip_with(item_slots, slots, (a, b) -> a <> b), d -> d))")
-        places = (hits.filter(consistent).select(*key, "item_id", "item_pos", changed.alias("changed"))
-                  .groupBy(*key, "item_id", "item_pos").agg(F.min("changed").alias("changed")))
+        places = (hits.filter(consistent).select(*key, "item_id", "item_pos", "low", changed.alias("changed"))
+                  .groupBy(*key, "item_id", "item_pos", "low").agg(F.min("changed").alias("changed")))
         found = places.groupBy(*key, "item_id").agg(
-            F.count(F.lit(1)).alias("matched"), F.max("changed").alias("slots_changed"))
-        return (found.join(totals, "item_id").filter(F.col("matched") >= F.col("windows") * min_share)
+            F.count(F.lit(1)).alias("matched"), F.max("changed").alias("slots_changed"),
+            F.sum((~F.col("low")).cast("long")).alias("plain"),
+            F.sort_array(F.collect_list("item_pos")).alias("places"))  # at most the windows of one item
+        run = "if(p = s.last + 1, s.run + 1, 1)"
+        longest = F.expr("aggregate(places, named_struct('last', -2, 'run', 0, 'best', 0), (s, p) -> named_struct("
+                         f"'last', p, 'run', {run}, 'best', greatest(s.best, {run})), s -> s.best)")
+        return (found.join(totals, "item_id")
+                .filter((F.col("matched") >= F.col("windows") * min_share) | (longest >= min_run)
+                        | ((F.col("plain") > 0) & (F.col("plain") >= F.col("plain_windows") * min_share)))
                 .select(*key, "item_id", "matched", "windows", (F.col("slots_changed") == 0).alias("verbatim"),
                         "slots_changed"))
     finally:

@@ -260,3 +260,23 @@ def test_windows_join_without_broadcast(spark, monkeypatch):
     near = sorted(map(tuple, templates.contaminated(docs, bench).collect()))
     monkeypatch.setattr(templates, "BROADCAST_WINDOWS", 0)
     assert sorted(map(tuple, templates.contaminated(docs, bench).collect())) == near and len(near) == 1
+
+
+def test_items_of_numbers_are_found_as_they_stand(spark):
+    numbers = "12 7 19 3 88 41 5 60 23 17 9 34"
+    bench = spark.createDataFrame([(1, numbers), (2, "1 2 3 4 5")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "here they are: " + numbers + " and on it goes"), (2, "13 8 20 4 89 42 6 61 24 18 10 35"),
+                                  (3, "we count 1 2 3 4 5 now"), (4, "we count 1 2 3 4 6 now")], "doc_id long, text string")
+    got = templates.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 2)} and all(r["verbatim"] for r in got)
+
+
+def test_a_long_passage_of_a_long_item_is_found(spark, monkeypatch):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before it " + " ".join(words[200:290]) + " after it"),
+                                  (2, "before it " + " ".join(words[50:62]) + " after it")], "doc_id long, text string")
+    for few in (templates.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(templates, "BROADCAST_WINDOWS", few)
+        assert {r["doc_id"]: r["matched"] for r in templates.contaminated(docs, bench).collect()} == {1: 83}
