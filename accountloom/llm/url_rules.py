@@ -7,7 +7,7 @@ that no rule allows.  An explicit allow always stands.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no
 rule and no alias, and is allowed; null html has no links; repeated pages get one
-result each; an empty table gives an empty result; other columns are not read.
+result each; of several links or redirects of a page each one counts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,11 +85,12 @@ def _absolute(href: Column, url: Column) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``u, v``: addresses that a redirect or a canonical link declares to be one."""
     url = F.col("url")
-    links = pages.filter(F.col("html").contains("canonical") | F.lower("html").contains("refresh")).select(
-        "url", F.regexp_extract("html", LINK, 0).alias("link"), F.regexp_extract("html", REFRESH, 0).alias("meta"))
-    href = F.concat(*[F.regexp_extract("link", HREF, k) for k in (1, 2, 3)])
-    targets = links.select("url", F.explode(F.array(
-        _absolute(href, url), _absolute(F.regexp_extract("meta", REFRESH_URL, 1), url))).alias("target"))
+    tags = F.concat(*[F.regexp_extract_all("html", F.lit(p), F.lit(0)) for p in (LINK, REFRESH)])
+    # an outer explode: an inner one would add a filter that reads every page a second time
+    links = pages.select("url", F.explode_outer(tags).alias("tag")).filter(F.col("tag").isNotNull())
+    href = F.concat(*[F.regexp_extract("tag", HREF, k) for k in (1, 2, 3)])
+    address = F.when(F.col("tag").rlike(r"(?i)^<link\b"), href).otherwise(F.regexp_extract("tag", REFRESH_URL, 1))
+    targets = links.select("url", _absolute(address, url).alias("target"))
     return (targets.filter(F.col("target").isNotNull() & (F.instr("url", "://") > 0))
             .select(_same_place(url).alias("u"), _same_place(F.col("target")).alias("v"))
             .filter("u <> v").distinct())

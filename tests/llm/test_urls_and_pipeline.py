@@ -89,3 +89,14 @@ def test_rows_without_or_with_repeated_ids_keep_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = sorted(r["lang"] for r in pipeline.one_of_each_group(spark, docs, FOLDER).collect())
     assert got == ["a", "b", "d", "f", "g"]
+
+
+def test_links_in_capitals_and_further_links_count(spark):
+    rows = [(1, "https://a.org/1", '<LINK REL="CANONICAL" HREF="https://example.com/en/z">'),
+            (2, "https://a.org/2", '<link rel="canonical" href="/9"><link rel="canonical" href="https://example.com/en/z">'),
+            (3, "https://a.org/3", "<meta http-equiv=refresh content='0; url=/8'>"
+                                   "<META HTTP-EQUIV=Refresh CONTENT='5; URL=https://example.com/en/z'>"),
+            (4, "https://a.org/4", "<p>no link</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
