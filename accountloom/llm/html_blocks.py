@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags.  Each block has its number of words
 and its link density, those of its neighbours, and what its surroundings are called.
 A decision tree, trained on the small labelled table in ``html_labels``, keeps or
-drops it.  Kept blocks are joined in page order.
+drops it.  Of the elements around a block, the nearest that is named as main text or as
+something beside it decides; names of both kinds at once decide nothing and are a
+feature of their own.  Kept blocks are joined in page order.
 
 Defined results: null and empty html, and pages without main text, give an empty
 text; unclosed tags are closed by the end of the page; text in script, style and other
@@ -28,9 +30,12 @@ from accountloom.llm.frames import map_arrow, row_slices
 
 # FIXED VALUES: element names and the words that class, id and role attributes use
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s "
-                   "samp small span strike strong sub sup time tt u var wbr".split())
-UNSEEN = ("script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object",
-          "canvas", "audio", "video", "title")
+                   "samp small span strike strong sub sup time tt u var wbr "
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts "
+                   "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none "
+                   "semantics".split())
+UNSEEN = ("script", "style", "noscript", "template", "textarea", "select", "svg", "iframe", "object",
+          "canvas", "audio", "video", "title", "annotation", "annotation-xml")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE_TAGS = frozenset("nav footer aside form dialog menu button fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -59,36 +64,44 @@ class Block:
     aside: bool
     main: bool
     heading: bool
+    mixed: bool
 
 
-def _surroundings(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is named as something beside the main text, and as the main text."""
-    aside, main = tag in ASIDE_TAGS, tag in MAIN_TAGS
+def _surroundings(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is not shown, is named as something beside the main text, and as the main text."""
+    hidden, aside, main = False, tag in ASIDE_TAGS, tag in MAIN_TAGS
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                aside = True
+                hidden = True
             elif name == "style":
-                aside |= "display:none" in value.replace(" ", "")
+                hidden |= "display:none" in value.replace(" ", "")
             elif name in ("class", "id", "role"):
                 named = set(re.findall(r"[a-z]+", value))
                 aside |= bool(named & ASIDE_WORDS)
-                main |= bool(named & MAIN_WORDS) and not named & ASIDE_WORDS
-    return aside, main
+                main |= bool(named & MAIN_WORDS)
+    return hidden, aside, main
 
 
 def split_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with character references decoded."""
     blocks: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, beside the main text, main text
+    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, hidden, beside the main text, main text
+    # what the open elements with one kind of name are, innermost last: the last one decides
+    decided: list[str] = []
     parts: list[str] = []
     linked = 0
-    depth = {"a": 0, "aside": 0, "main": 0, "header": 0, "heading": 0}
-
-    def count(tag: str, aside: bool, main: bool, by: int) -> None:
-        depth["aside"] += by * aside
-        depth["main"] += by * main
+    depth = {"a": 0, "hidden": 0, "mixed": 0, "header": 0, "heading": 0}
+
+    def count(tag: str, hidden: bool, aside: bool, main: bool, by: int) -> None:
+        depth["hidden"] += by * hidden
+        depth["mixed"] += by * (aside and main)
+        if aside != main:
+            if by > 0:
+                decided.append("aside" if aside else "main")
+            else:
+                decided.pop()
         depth["a"] += by * (tag == "a")
         depth["header"] += by * (tag == "header")
         depth["heading"] += by * (tag in HEADINGS)
@@ -100,9 +113,11 @@ def split_blocks(page: str) -> list[Block]:
             if text:
                 heading = depth["heading"] > 0
                 # the header of an article holds its headline; any other is beside the main text
-                header = depth["header"] > 0 and not (depth["main"] > 0 and heading)
-                blocks.append(Block(text, text.count(" ") + 1, linked, depth["aside"] > 0 or header,
-                                    depth["main"] > 0, heading))
+                main = decided[-1:] == ["main"] and not depth["hidden"]
+                header = depth["header"] > 0 and not (main and heading)
+                aside = depth["hidden"] > 0 or decided[-1:] == ["aside"]
+                blocks.append(Block(text, text.count(" ") + 1, linked, aside or header, main, heading,
+                                    depth["mixed"] > 0))
             parts.clear()
         linked = 0
 
@@ -130,8 +145,8 @@ def split_blocks(page: str) -> list[Block]:
         if m[1]:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
-                    for name, aside, main in reversed(open_tags[k:]):
-                        count(name, aside, main, -1)
+                    for element in reversed(open_tags[k:]):
+                        count(*element, -1)
                     del open_tags[k:]
                     break
             continue
@@ -145,11 +160,11 @@ def split_blocks(page: str) -> list[Block]:
             continue
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option", "a") and open_tags and open_tags[-1][0] == tag:
             count(*open_tags.pop(), -1)  # these end where the next one starts
-        aside, main = _surroundings(tag, attributes)
+        hidden, aside, main = _surroundings(tag, attributes)
         if tag in ("body", "html"):
-            aside = main = False
-        open_tags.append((tag, aside, main))
-        count(tag, aside, main, 1)
+            hidden = aside = main = False
+        open_tags.append((tag, hidden, aside, main))
+        count(tag, hidden, aside, main, 1)
     flush()
     return blocks
 
@@ -163,7 +178,8 @@ def features(blocks: Sequence[Block]) -> np.ndarray:
     return np.column_stack([
         words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:],
         [b.aside for b in blocks], main, [b.heading for b in blocks],
-        np.full(len(blocks), main.any()) > main])  # another block is marked as main text, this one is not
+        np.full(len(blocks), main.any()) > main,  # another block is marked as main text, this one is not
+        [b.mixed for b in blocks]])
 
 
 @dataclass(frozen=True)

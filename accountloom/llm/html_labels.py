@@ -54,4 +54,15 @@ PAGES = (
     plum jam, which did not last past the first week.</p><p>+Yours, Ida</p></body>""",
     """<main><h2>+Opening hours</h2><p>+We are open from nine to five on all working days, and from ten to two on the
     first Saturday of the month.</p><p>+Closed today</p></main><footer><p>-Imprint</p><p>-Contact</p></footer>""",
+    """<body><div class="content-sidebar-wrap"><h1>+Salt pans of the coast</h1><p>+The sea is let into shallow basins in
+    April, and the sun takes the water away until a white crust can be raked together.</p><p>+Three families still
+    work there.</p><div class="sidebar"><p>-Sign up now and read every story of the coast before all others do.</p>
+    <a href="/1">-Older</a></div></div><div class="footer-content"><a href="/i">-Imprint</a></div></body>""",
+    """<body><div class="main has-sidebar"><p>+The old ferry runs twice a day while the ice allows it, and the crew rings
+    a bell before it leaves the pier.</p><p>+Bring coins.</p></div><div id="sidebar"><p>-Our partners offer cheap rooms
+    with a view of the lake for guests who book early.</p></div></body>""",
+    """<body><article class="post comments-open"><h2>+A kite of paper</h2><p>+Fold the sheet along both diagonals and glue
+    two thin sticks across it before you tie the line.</p><p>+Wait for wind.</p><div id="comments"><div
+    class="comment-body"><p>-Mine flew for an hour and then it was lost in the neighbour's tree for good.</p></div>
+    </div></article></body>""",
 )

@@ -35,6 +35,21 @@ def test_main_text(page, text):
     assert html_blocks.main_text(page, TREE) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='content-sidebar-wrap'><p>The long winter had closed all the roads to the village.</p><p>Nobody came.</p></div>",
+     "The long winter had closed all the roads to the village. Nobody came."),
+    ("<div class='main has-sidebar'><p>The long winter had closed all the roads to the village.</p></div><div id=sidebar>"
+     "<p>Rooms for rent in the old mill, ask at the desk.</p></div>", "The long winter had closed all the roads to the village."),
+    ("<article class='comments-open'><p>The long winter had closed all the roads to the village.</p><div class=comments>"
+     "<p>I remember that winter very well, it was a cold one.</p></div></article>",
+     "The long winter had closed all the roads to the village."),
+    ("<div class='sidebar-right'><main><p>Snow fell for nine days.</p></main></div>", "Snow fell for nine days."),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>", "so x=2 holds"),
+])
+def test_main_text_in_mixed_surroundings(page, text):
+    assert html_blocks.main_text(page, TREE) == text
+
+
 def test_pages_query(spark):
     rows = [(1, "u", "<article><p>é x</p></article>", "c"), (1, "u", "<article><p>é x</p></article>", "c"), (2, None, None, "c"),
             (3, "v", "<article>" + "<p>long text </p>" * 20000 + "</article>", "c")]
