@@ -4,8 +4,8 @@ A text becomes hashed letter n-grams, weighted by term frequency and inverse
 document frequency and normalised.  Document frequencies cover every training
 document.  Each language's centroids are clustered from a bounded sample, at most
 ``sample`` documents chosen by a hash of their id.  A text takes the language of the
-centroid with the largest cosine and is rejected when it is much farther from it
-than the documents the centroid was made from.
+centroid with the largest cosine and is rejected when that is well below a low
+quantile of the cosines of all training documents of the language and its length.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; without any training document every text is; equal texts get equal
@@ -32,7 +32,9 @@ BINS = 4096
 NGRAMS = (1, 2, 3)
 SEGMENT = 1 << 21
 ROWS = 256
-FULL_FLOOR = 300  # n-grams from which a text must reach the whole floor
+LENGTHS = 32  # classes of text length: octaves of the number of n-grams
+BINS_OF_COSINES = 1000
+ENOUGH = 20  # training documents from which a length class has a floor of its own
 
 
 @functools.cache
@@ -149,12 +151,12 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in _text_rows(batches):
         counts, _ = ngram_counts(texts)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("lang"), pa.array([c.tobytes() for c in counts], pa.binary())],
-            names=["lang", "counts"])
+            [rows.column("lang"), pa.array([c.tobytes() for c in counts], pa.binary()), rows.column("_h"), rows.column("_n")],
+            names=["lang", "counts", "_h", "_n"])
 
 
-def cluster(points: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread-out seeds; centroids, and the least cosine of a member of each."""
+def cluster(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Centroids of spherical k-means from spread-out seeds."""
     mean = _unit(points.mean(axis=0, keepdims=True))
     seeds = [int((points @ mean[0]).argmax())]
     while len(seeds) < min(k, len(points)):
@@ -167,27 +169,84 @@ def cluster(points: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, n
         member = (points @ centroids.T).argmax(axis=1)
         centroids = _unit(np.stack([points[member == j].mean(axis=0) if (member == j).any() else centroids[j]
                                     for j in range(len(centroids))]))
-    cosines = points @ centroids.T
-    member = cosines.argmax(axis=1)
-    least = np.array([cosines[member == j, j].min() if (member == j).any() else 1.0
-                      for j in range(len(centroids))], np.float32)
-    return centroids.astype(np.float32), least
+    return centroids.astype(np.float32)
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]  # one per centroid
     centroids: np.ndarray
-    floors: np.ndarray  # least cosine that is not rejected, per centroid
+    floors: np.ndarray  # least cosine that is not rejected, per centroid and length class
     idf: np.ndarray
 
 
-def fit(docs: DataFrame, training: Column, *, sample: int = 400, clusters: int = 4,
-        leniency: float = 0.25) -> LanguageModel:
+def _length_class(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1, dtype=np.float64), 1)).astype(np.int64), LENGTHS - 1)
+
+
+def _nearest(counts: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """The centroid with the largest cosine, and that cosine."""
+    cosines = vectors(counts, model.idf) @ model.centroids.T
+    best = cosines.argmax(axis=1)
+    return best, cosines[np.arange(len(best)), best]
+
+
+def _cosine_counts(model: LanguageModel):
+    """How many documents of each language and length class have which cosine, where the label is the prediction."""
+    names, number = np.unique(np.array(model.languages), return_inverse=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(names) * LENGTHS * BINS_OF_COSINES, np.int64)
+        for rows, texts in _text_rows(batches):
+            counts, lettered = ngram_counts(texts)
+            if not lettered.any():
+                continue
+            best, top = _nearest(counts[lettered], model)
+            label = np.array(rows.column("lang").to_pylist(), object)[lettered]
+            right = np.array([model.languages[k] for k in best], object) == label
+            level = np.clip(top * BINS_OF_COSINES, 0, BINS_OF_COSINES - 1).astype(np.int64)
+            cell = (number[best] * LENGTHS + _length_class(counts[lettered])) * BINS_OF_COSINES + level
+            np.add.at(held, cell[right], 1)
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], names=["cell", "docs"])
+
+    return run
+
+
+def _sample_hash() -> Column:
+    return F.xxhash64("doc_id", F.lit("language sample"))
+
+
+def floors_of(seen: np.ndarray, quantile: float, leniency: float) -> np.ndarray:
+    """Floors per length class from counts of cosines per length class.
+
+    A class with fewer than ``ENOUGH`` documents takes in the shorter ones next to it,
+    whose cosines are smaller; with fewer even so, its floor is lower in proportion.  Classes shorter than any document fall with the square
+    root of the length, as the cosines of few n-grams do.
+    """
+    out, filled = np.zeros(LENGTHS), np.flatnonzero(seen.sum(axis=1))
+    if not len(filled):
+        return out
+    for k in range(filled[0], LENGTHS):
+        low = k
+        while low > filled[0] and seen[low:k + 1].sum() < ENOUGH:
+            low -= 1
+        total = seen[low:k + 1].sum(axis=0).cumsum()
+        level = np.searchsorted(total, max(1, quantile * total[-1])) / BINS_OF_COSINES
+        out[k] = leniency * level * min(1, total[-1] / ENOUGH)
+    for k in range(filled[0]):
+        out[k] = out[filled[0]] * 2 ** ((k - filled[0]) / 2)
+    return out
+
+
+def fit(docs: DataFrame, training: Column, *, sample: int = 400, clusters: int = 4, quantile: float = 0.005,
+        leniency: float = 0.7) -> LanguageModel:
     """Learn from the rows of ``docs`` where ``training`` holds and ``lang`` is not null.
 
-    ``sample`` documents per language at most make its centroids.  A text is rejected
-    below ``leniency`` times the least cosine of a centroid's own documents.
+    ``sample`` documents per language at most, and no more than half, make its centroids.
+    A text is rejected below ``leniency`` times this ``quantile`` of the cosines of all
+    other training documents of its language and length class, or of its length class
+    where the language has fewer than ``ENOUGH``.
     """
     learn = docs.filter(training & F.col("lang").isNotNull())
     partial = map_arrow(learn.select("text"), _document_frequencies, "bin int, docs long")
@@ -197,23 +256,38 @@ def fit(docs: DataFrame, training: Column, *, sample: int = 400, clusters: int =
     idf = (np.log((1 + totals.get(-1, 0)) / (1 + frequency)) + 1).astype(np.float32)
 
     ranked = learn.filter(F.col("text").rlike(r"\p{L}")).select(
-        "text", "lang", F.xxhash64("doc_id", F.lit("language sample")).alias("_h"), "doc_id")
+        "text", "lang", _sample_hash().alias("_h"), "doc_id")
     first = Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))
-    chosen = ranked.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample)
-    counted = map_arrow(chosen.select("lang", "text"), _sparse, "lang string, counts binary")
+    chosen = ranked.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 2 * sample)
+    counted = map_arrow(chosen.select("lang", "text", "_h", "_n"), _sparse,
+                        "lang string, counts binary, _h long, _n int")
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_n").head(min(sample, (len(group) + 1) // 2))
         counts = np.stack([np.frombuffer(c, np.float32) for c in group["counts"]])
-        found, least = cluster(vectors(counts, idf), clusters)
+        found = cluster(vectors(counts, idf), clusters)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.tobytes() for c in found],
-                             "least": least.astype(float)})
+                             "border": group["_h"].iloc[-1]})
 
-    rows = counted.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, least double").collect()
+    rows = counted.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, border long").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
     matrix = (np.stack([np.frombuffer(r["centroid"], np.float32) for r in rows])
               if rows else np.zeros((0, BINS), np.float32))
-    return LanguageModel(tuple(r["lang"] for r in rows), matrix,
-                         np.array([r["least"] * leniency for r in rows], np.float32), idf)
+    languages = tuple(r["lang"] for r in rows)
+    model = LanguageModel(languages, matrix, np.zeros((len(rows), LENGTHS)), idf)
+    if not rows:
+        return model
+    names, number = np.unique(np.array(languages), return_inverse=True)
+    seen = np.zeros(len(names) * LENGTHS * BINS_OF_COSINES, np.int64)
+    border = F.create_map(*[F.lit(x) for lang, h in {(r["lang"], r["border"]) for r in rows} for x in (lang, h)])
+    others = learn.filter(_sample_hash() > border[F.col("lang")])
+    cells = map_arrow(others.select("text", "lang"), _cosine_counts(model), "cell long, docs long")
+    for r in cells.groupBy("cell").agg(F.sum("docs").alias("docs")).collect():  # a few thousand per language at most
+        seen[r["cell"]] = r["docs"]
+    seen = seen.reshape(len(names), LENGTHS, BINS_OF_COSINES)
+    own = seen.sum(axis=2, keepdims=True) >= ENOUGH  # elsewhere the documents of all languages count
+    floors = np.stack([floors_of(s, quantile, leniency) for s in np.where(own, seen, seen.sum(axis=0))])
+    return LanguageModel(languages, matrix, floors[number], idf)
 
 
 def _predict(model: LanguageModel, keep: tuple[str, ...]):
@@ -225,14 +299,10 @@ def _predict(model: LanguageModel, keep: tuple[str, ...]):
             score = np.zeros(len(texts))
             rejected = np.ones(len(texts), bool)
             if known.any():
-                cosines = vectors(counts[known], model.idf) @ model.centroids.T
-                best = cosines.argmax(axis=1)
-                top = cosines[np.arange(len(best)), best]
+                best, top = _nearest(counts[known], model)
                 lang[known] = [model.languages[b] for b in best]
                 score[known] = np.clip(top, 0, 1)
-                # a short text has few n-grams to agree in: its floor is lower in proportion
-                weight = np.minimum(1, counts[known].sum(axis=1) / FULL_FLOOR)
-                rejected[known] = top < model.floors[best] * weight
+                rejected[known] = top < model.floors[best, _length_class(counts[known])]
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                 names=[*keep, "lang_pred", "score", "rejected"])

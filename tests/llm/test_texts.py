@@ -1,5 +1,7 @@
 import hashlib
 import math
+import base64
+import os
 import random
 import zlib
 from collections import Counter
@@ -224,6 +226,32 @@ def test_language_model(spark):
     assert {r["lang_pred"] for r in language.predict(docs, none).collect()} == {"und"}
 
 
+UNLEARNED = {
+    "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita e quanto a dir "
+          "qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura",
+    "pl": "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność "
+          "twą w całej ozdobie widzę i opisuję bo tęsknię po tobie",
+    "nl": "Het was een koude dag in de winter toen de oude man besloot om naar de stad te lopen en daar zijn broer te "
+          "bezoeken die hij al jaren niet meer had gezien en die hem nooit had geschreven",
+    "fi": "Mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saa'ani sanelemahan sukuvirttä suoltamahan lajivirttä "
+          "laulamahan sanat suussani sulavat puhe'et putoelevat",
+    "letters": " ".join("".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for k in range(60)),
+    "base64": base64.b64encode(random.Random(1).randbytes(300)).decode(),
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="tables not present")
+def test_unlearned_languages_and_gibberish_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fold = language.held_out(4, 2)
+    model = language.fit(docs, ~fold)
+    texts = [(k, t * n) for k, t in UNLEARNED.items() for n in (2, 8, 40)]
+    got = language.predict(spark.createDataFrame(texts, "name string, text string"), model).collect()
+    assert [r["name"] for r in got if not r["rejected"]] == []
+    known = language.predict(docs.filter(fold & F.col("lang").isNotNull()), model).filter(F.length("text") > 20)
+    assert known.filter("rejected").count() <= 0.001 * known.count()
+
+
 def test_ngram_counts_of_very_long_texts(monkeypatch):
     text = "abc déf, ghi " * 50
     whole, _ = language.ngram_counts([text, "x"])
