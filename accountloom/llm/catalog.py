@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountloom.llm import (chat, html_blocks, language, language_model, packing, simhash, sketches, sql,
-                             templates, token_files, url_rules)
+from accountloom.llm import (chat, hard_negatives, html_blocks, language, language_model, packing, phrases, simhash,
+                             sketches, sql, templates, token_files, url_rules)
 from accountloom.llm.frames import table
 from accountloom.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op5_decontamination": sql.DECONTAMINATION, "op7_url_rules": sql.URL_RULES}
+SQL: dict[str, str] = {"op5_decontamination": sql.DECONTAMINATION, "op7_url_rules": sql.URL_RULES,
+                       "op12_hard_negatives": sql.HARD_NEGATIVES, "op13_collocations": sql.COLLOCATIONS}
 
 URL_RULES = (
     url_rules.UrlRule("allow", "com", "/"),
@@ -102,3 +103,15 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), path)
     return token_files.token_file_digest(spark, path)
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))

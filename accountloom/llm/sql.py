@@ -107,3 +107,66 @@ SELECT page_id, host, path, rule, CASE
   WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM judged LEFT JOIN blocked ON judged.place = blocked.node
 """
+
+# every language's phrases of one to three words inside pieces, their weakest cuts, and the first 2000
+COLLOCATIONS = r"""
+with pieces as (
+  select row_number() over () as piece, lang, words from (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from (
+      select coalesce(lang, 'und') as lang,
+             unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+      from documents)) where len(words) > 0),
+grams as (
+  select lang, g.n as words, unnest(list_transform(range(1, len(p.words) - g.n + 2),
+         lambda i: array_to_string(p.words[i:i + g.n - 1], ' '))) as phrase
+  from pieces p, (values (1), (2), (3)) g(n) where len(p.words) >= g.n),
+counted as materialized (select lang, words, phrase, count(*) as f from grams group by all),
+totals as (select lang, sum(f) as n from counted where words = 1 group by lang),
+candidates as materialized (select *, string_split(phrase, ' ') as w from counted where words > 1 and f >= 10),
+parts as (
+  select lang, phrase, words, f as a, k, array_to_string(w[1:k], ' ') as left_part,
+         array_to_string(w[k + 1:words], ' ') as right_part
+  from candidates, (values (1), (2)) t(k) where k < words),
+lefts as materialized (
+  select p.*, c.f as l from parts p join counted c on c.lang = p.lang and c.phrase = p.left_part),
+cuts as (
+  select p.lang, p.phrase, p.words, a, k, l, c.f as r,
+         (1000000::hugeint * a::hugeint * a::hugeint) // (l::hugeint * c.f::hugeint) as score
+  from lefts p join counted c on c.lang = p.lang and c.phrase = p.right_part),
+weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (
+  select lang, phrase, max(f) as f from (
+    select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, f
+    from candidates where words = 3) group by lang, phrase),
+kept as (
+  select w.* from weakest w left join longer g on g.lang = w.lang and g.phrase = w.phrase and w.words = 2
+  where g.f is null or 100 * g.f < 50 * w.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n,
+       score::bigint as score, words, k as cut
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+# ten different-label rows of each anchor's first five rows of its own label, by integer inner product
+HARD_NEGATIVES = """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as positive,
+         list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint as score
+  from vectors a join vectors b on a.vec_id % 100 = 0 and (a.label <> b.label or a.vec_id <> b.vec_id)),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scores where positive
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.positive_id,
+       (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id))::int as rank,
+       s.id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scores s on s.anchor_id = p.anchor_id and not s.positive
+ and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify rank <= 10
+"""
