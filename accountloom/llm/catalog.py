@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountloom.llm import (chat, hard_negatives, html_blocks, language, language_model, packing, phrases, simhash,
-                             sketches, sql, templates, token_files, url_rules)
+                             sketches, sql, templates, token_files, toxicity, url_rules)
 from accountloom.llm.frames import table
 from accountloom.session import shared_folder
 
@@ -115,3 +115,12 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+@_query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fold = language.held_out(4, 2)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~fold)
+    return toxicity.score_texts(docs.select("doc_id", fold.alias("held_out"), "text"), model,
+                                keep=("doc_id", "held_out"))
