@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from accountloom import refdata as R
 from accountloom.functions import similarity as S
 from accountloom.functions.names import match_key, tokens
+from accountloom.operators.similar_sets import similar_pairs
 from accountloom.session import pin
 
 MAX_CHOICES = 4096       # subsets of one input name
@@ -249,6 +250,26 @@ def resolve_fuzzy(inputs: DataFrame, name: str, candidates: DataFrame, candidate
             .withColumn("status", status))
 
 
+def similar_names(names: DataFrame, name: str, cut: float) -> DataFrame:
+    """The alias-similarity report: likely false splits, for a person to confirm.
+
+    Every pair of names whose distinctive tokens have a Jaccard similarity of ``cut`` or
+    more, a cut below that of a merge.  Names with the same tokens are one class: the
+    first name of the class stands in the pairs, and every other one is linked to it
+    (similarity 1).  ``score`` and ``acceptable`` are those of the matcher.  Names without
+    distinctive tokens are in no pair.
+    """
+    sets = token_sets(names, name, "input").select(F.col("input").alias("name"), F.col("input_d").alias("words"))
+    classes = pin(sets.join(sets.groupBy("words").agg(F.min("name").alias("head")), "words"), "token-classes")
+    heads = classes.filter("name = head").select("name", "words")
+    pairs = similar_pairs(heads, "name", "words", cut).select(
+        F.least("left", "right").alias("account"), F.greatest("left", "right").alias("other"), "similarity")
+    members = classes.filter("name != head").select(F.col("head").alias("account"), F.col("name").alias("other"),
+                                                    F.lit(1.0).alias("similarity"))
+    scored = score_pairs(pairs.unionByName(members), "account", "other")
+    return scored.select("account", "other", "similarity", "score", "acceptable")
+
+
 def resolve_three_pass(names: DataFrame, name: str, accounts: DataFrame, account: str) -> DataFrame:
     """Known key, then fuzzy match, then a person.
 

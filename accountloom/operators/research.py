@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from accountloom import refdata as R
 from accountloom.functions.names import tokens
 from accountloom.operators.gates import numbered_within
+from accountloom.operators.similar_sets import connected_components, similar_pairs
+from accountloom.session import pin
 
 
 def _day(d: str) -> Column:
@@ -18,16 +20,25 @@ def _day(d: str) -> Column:
 
 # --- signals -----------------------------------------------------------------
 
-def dedup_signals(signals: DataFrame, keys: Sequence[str], title: str, first: Sequence[str]) -> DataFrame:
-    """One signal per (keys, title words); the first one survives and counts its repeats.
+def dedup_signals(signals: DataFrame, keys: Sequence[str], title: str, first: Sequence[str], cut: float) -> DataFrame:
+    """One signal per event reported: equal keys and similar titles, over any number of steps.
 
-    Titles are the same when they hold the same words in any order, case and
-    punctuation, so repeats meet by equality and no pairs are compared.
+    Titles are similar when their words, in any order, case and punctuation, have a
+    Jaccard similarity of ``cut`` or more.  ``first`` names a signal and orders them: the
+    first one survives with its title's words and counts the reports.  Equal titles meet
+    by equality, so only different ones are compared.  Titles without words, and signals
+    with a null key, are the same only as signals equal in all of these.
     """
-    words = F.array_join(F.array_sort(tokens(F.col(title))), " ")
-    return signals.withColumn("title_words", words).groupBy(*keys, "title_words").agg(
-        F.min(F.struct(*first)).alias("_f"), F.count(F.lit(1)).alias("reports")).select(
-        *keys, "title_words", "_f.*", "reports")
+    words = F.array_sort(tokens(F.col(title)))
+    same = pin(signals.withColumn("_words", words).groupBy(*keys, "_words").agg(
+        F.min(F.struct(*first)).alias("_f"), F.count(F.lit(1)).alias("reports")), "titles")
+    links = similar_pairs(same, "_f", "_words", cut, keys)
+    groups = connected_components(links, "left", "right")
+    joined = same.join(groups, same["_f"] == groups["node"], "left")
+    kept = F.coalesce("component", "_f")
+    total = joined.groupBy(kept.alias("_kept")).agg(F.sum("reports").alias("_reports"), F.count(F.lit(1)).alias("titles"))
+    return same.drop("reports").join(total, F.col("_f") == F.col("_kept")).select(
+        *keys, F.array_join("_words", " ").alias("title_words"), "_f.*", F.col("_reports").alias("reports"), "titles")
 
 
 def impact(signals: DataFrame, at: str, materiality: Column, proximity: Column, as_of: str, *,

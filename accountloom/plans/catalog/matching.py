@@ -87,18 +87,38 @@ def entity_resolution(spark, folder):
     return M.resolve_three_pass(crm, "name", registry_run(spark, folder).buckets, "account")
 
 
-@query("alias_similarity", S.ROLLED + f""",
+@query("alias_closest", S.ROLLED + f""",
 inputs AS {sets('account', 'buckets')}, cands AS (SELECT * FROM inputs)""" + _BEST.replace(
     "AND length(b.d) > 0", "AND length(b.d) > 0 AND a.nm <> b.nm") + """
 SELECT a AS account, b AS closest, round(score, 6) AS score FROM placed WHERE place = 1""")
-def alias_similarity(spark, folder):
-    """Likely false splits: the closest other account of every account."""
+def alias_closest(spark, folder):
+    """The closest other account that would pass for a merge, of every account that has one."""
     names = registry_run(spark, folder).buckets.select("account")
     top = M.best_matches(names, "account", names, "account", keep=1, skip_same=True)
     return top.select(F.col("input").alias("account"), F.col("candidate").alias("closest"),
                       F.round("score", 6).alias("score"))
 
 
+ALIAS_CUT = 0.4
+
+
+@query("alias_similarity", S.ROLLED + f""",
+worded AS (SELECT nm, t, d, s, list_sort(d) AS words FROM {sets('account', 'buckets')} WHERE length(d) > 0),
+classes AS (SELECT *, min(nm) OVER (PARTITION BY words) AS head FROM worded),
+linked AS (SELECT a.nm AS a, b.nm AS b FROM classes a JOIN classes b ON a.nm < b.nm AND a.nm = a.head AND b.nm = b.head
+  WHERE length(list_intersect(a.d, b.d))::DOUBLE / length(list_distinct(list_concat(a.d, b.d))) >= {ALIAS_CUT}::DOUBLE
+  UNION ALL SELECT head, nm FROM classes WHERE nm <> head),
+pairs AS (SELECT l.a, l.b, x.d AS ad, y.d AS bd, x.s AS a_s, y.s AS b_s FROM linked l JOIN worded x ON x.nm = l.a JOIN worded y ON y.nm = l.b),"""
++ _PAIR + """
+SELECT a AS account, b AS other, round(length(list_intersect(ad, bd))::DOUBLE / length(list_distinct(list_concat(ad, bd))), 6) AS similarity,
+  round(CASE WHEN strong_shared > 0 THEN least(0.99::DOUBLE, 0.62::DOUBLE + ratio * 0.37::DOUBLE) ELSE ratio * 0.5::DOUBLE END, 6) AS score,
+  strong_shared > 0 AND ratio >= 0.5 AS acceptable FROM m1""")
+def alias_similarity(spark, folder):
+    """Likely false splits: every pair of accounts above a cut below that of a merge."""
+    out = M.similar_names(registry_run(spark, folder).buckets.select("account"), "account", ALIAS_CUT)
+    return out.withColumns({c: F.round(c, 6) for c in ("similarity", "score")})
+
+
 @query("name_tokens", S.RESOLVED + f"""
 SELECT nm AS reported, {S.norm_of('nm')} AS norm, array_to_string(list_sort(t), ' ') AS tokens,
   array_to_string(list_sort(d), ' ') AS distinctive, array_to_string(list_sort(s), ' ') AS strong,

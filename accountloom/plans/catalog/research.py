@@ -43,14 +43,25 @@ def _impacts(spark, folder):
                     AS_OF, weights=(0.5, 0.3, 0.2), window_days=30)
 
 
-@query("signal_dedup", f"""WITH {SIGNALS}
-SELECT account_id, occurred_on::VARCHAR AS occurred_on, type,
-  (SELECT string_agg(w, ' ' ORDER BY w) FROM (SELECT DISTINCT unnest(string_split(lower(title), ' ')) AS w) WHERE length(w) > 1) AS title_words,
-  min(signal_id) AS signal_id, count(*) AS reports
-FROM signals GROUP BY ALL""")
+TITLE_CUT = 0.5
+
+
+@query("signal_dedup", f"""WITH RECURSIVE {SIGNALS},
+worded AS (SELECT account_id, occurred_on::VARCHAR AS occurred_on, type, signal_id,
+    list_sort(list_distinct(list_filter(string_split(lower(title), ' '), lambda w: length(w) > 1))) AS words FROM signals),
+same AS (SELECT account_id, occurred_on, type, words, min(signal_id) AS signal_id, count(*) AS reports FROM worded GROUP BY ALL),
+links AS (SELECT a.signal_id AS u, b.signal_id AS v FROM same a JOIN same b USING (account_id, occurred_on, type)
+    WHERE a.signal_id <> b.signal_id
+      AND length(list_intersect(a.words, b.words))::DOUBLE / length(list_distinct(list_concat(a.words, b.words))) >= {TITLE_CUT}::DOUBLE),
+reach AS (SELECT signal_id AS node, signal_id AS root FROM same
+    UNION SELECT l.v, r.root FROM reach r JOIN links l ON l.u = r.node WHERE r.root < l.v),
+grouped AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+total AS (SELECT root, sum(reports)::BIGINT AS reports, count(*) AS titles FROM grouped JOIN same ON signal_id = node GROUP BY root)
+SELECT account_id, occurred_on, type, array_to_string(words, ' ') AS title_words, signal_id, total.reports, titles
+FROM total JOIN same ON signal_id = root""")
 def signal_dedup(spark, folder):
     rows = signals(spark, folder).withColumn("occurred_on", F.col("occurred_on").cast("string"))
-    return X.dedup_signals(rows, ["account_id", "occurred_on", "type"], "title", ["signal_id"])
+    return X.dedup_signals(rows, ["account_id", "occurred_on", "type"], "title", ["signal_id"], TITLE_CUT)
 
 
 @query("signal_impact", f"WITH {_IMPACT} SELECT signal_id, impact_score, impact, why_it_matters FROM impacts WHERE why_it_matters IS NOT NULL")
