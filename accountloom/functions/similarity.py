@@ -32,7 +32,11 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 
 def whole_name_similarity(a: Column, b: Column) -> Column:
-    na, nb = norm_name(a), norm_name(b)
+    return string_similarity(norm_name(a), norm_name(b))
+
+
+def string_similarity(na: Column, nb: Column) -> Column:
+    """As ``whole_name_similarity``, of names that are normalised already."""
     return F.when((na == "") | (nb == ""), F.lit(0.0)).otherwise(
         F.lit(1.0) - F.levenshtein(na, nb) / F.greatest(F.length(na), F.length(nb)))
 

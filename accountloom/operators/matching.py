@@ -1,21 +1,27 @@
 """Fuzzy name matching on distinctive tokens, without comparing all names.
 
-A candidate is acceptable when it shares a strong token and at least half of
-the shorter name's distinctive tokens, exactly or nearly.  Only the best few
-candidates of a name are wanted, so frequent tokens need no pair lists:
-
-* Every candidate is filed under each subset of its tokens, and each (subset,
-  size) entry keeps only its first k candidates.  All candidates of one entry
-  score at least as much as the subset promises, so the k best candidates of a
-  name are always among the entries its own subsets reach.
-* Names with so many tokens or misspellings that their subsets would outnumber
-  ``MAX_CHOICES`` are compared through their rarest tokens instead.
-
-Both routes verify each candidate with the full scoring expression.
+A candidate is acceptable when it shares a strong token and at least half of the
+shorter name's distinctive tokens, exactly or nearly.  Only the best few candidates of a
+name are wanted, so frequent tokens need no pair lists.
+
+Candidates are filed in posting lists under their tokens, rarest first.  A list that
+holds more than ``PAGE`` candidates is overfull: of every size it keeps only its first k
+candidates, and all of its candidates are filed again under that token and each more
+frequent one of theirs, and so on.  A name looks up its own tokens, and what they may be
+misspellings of, by the same rule: it goes on to longer token sets only where a list is
+overfull.  Nothing is lost.  Let M be the tokens of a candidate that a name can use.  If
+any of the lists along M, from the rarest token on, is whole, the candidate is in it.
+If all are overfull, so is the list of M itself, and k candidates of the same size that
+hold all of M, and so score at least as much, stand before it there.
+
+Lists multiply only where more than ``PAGE`` names share whole sets of tokens; names with
+the same tokens count as one there.  Every pair found is scored once by the full
+expression.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,13 +29,11 @@ from pyspark.sql import functions as F
 
 from accountloom import refdata as R
 from accountloom.functions import similarity as S
-from accountloom.functions.names import match_key, tokens
+from accountloom.functions.names import match_key, norm_name, tokens
 from accountloom.operators.similar_sets import similar_pairs
 from accountloom.session import pin
 
-MAX_CHOICES = 4096       # subsets of one input name
-MAX_INDEXED_TOKENS = 8   # tokens of one indexed candidate: at most 255 subsets
-LONG_TOKEN = 19          # from this length on, misspellings are found by segments
+PAGE = 32  # candidates that a posting list holds before it is split by further tokens
 
 
 def token_sets(names: DataFrame, name: str, prefix: str) -> DataFrame:
@@ -47,57 +51,41 @@ def edits_allowed(length: int) -> int:
     return int((1 - R.TYPO_SIMILARITY) * length + 1e-9)
 
 
-def _depth(length: int) -> int:
-    """Deletions a token must be filed under to meet every similar token shorter
-    than ``LONG_TOKEN``."""
-    partners = range(length, LONG_TOKEN)
-    return max((edits_allowed(m) for m in partners if m - length <= edits_allowed(m)), default=0)
+_SHORTEST = next(n for n in range(5, 100) if edits_allowed(n))  # below it no different token is close enough
 
 
-def _deletions(token: Column) -> Column:
-    """The token and every string left after up to ``_depth`` deletions."""
-    def drop_one(t: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(
-            F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
+def _edits(length: Column) -> Column:
+    return F.floor((1 - R.TYPO_SIMILARITY) * length + 1e-9).cast("int")
 
-    depth = F.try_element_at(F.array(*[F.lit(_depth(n)) for n in range(1, LONG_TOKEN)]), F.length(token))
-    levels = [F.array(token)]
-    for _ in range(max(map(_depth, range(1, LONG_TOKEN)))):
-        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], drop_one))))
-    out = levels[0]
-    for d, level in enumerate(levels[1:], 1):
-        out = F.when(depth >= d, F.array_union(out, level)).otherwise(out)
-    return out
 
+def _piece(number: Column, length: Column, edits: Column) -> tuple[Column, Column]:
+    """Start (from 0) and end of a piece of a token cut into ``edits + 1`` pieces."""
+    return (F.floor(number * length / (edits + 1)).cast("int"),
+            F.floor((number + 1) * length / (edits + 1)).cast("int"))
 
-def _segments_of_longer(vocabulary: DataFrame, name: str) -> DataFrame:
-    """Long tokens cut into one more piece than edits are allowed: one must survive."""
+
+def _pieces_of_longer(vocabulary: DataFrame, name: str) -> DataFrame:
+    """Tokens cut into one more piece than edits are allowed: one piece must survive."""
     m = F.length(name)
-    d = F.floor((1 - R.TYPO_SIMILARITY) * m + 1e-9).cast("int")
-    cut = vocabulary.filter(m >= LONG_TOKEN).select(
-        name, m.alias("m"), d.alias("d"), F.explode(F.sequence(F.lit(0), d)).alias("i"))
-    start, end = F.floor(F.col("i") * F.col("m") / (F.col("d") + 1)), F.floor(
-        (F.col("i") + 1) * F.col("m") / (F.col("d") + 1))
-    return cut.select(name, "m", "i", F.substr(F.col(name), (start + 1).cast("int"),
-                                               (end - start).cast("int")).alias("piece"))
+    cut = vocabulary.filter(m >= _SHORTEST).select(
+        name, m.alias("m"), _edits(m).alias("d"), F.explode(F.sequence(F.lit(0), _edits(m))).alias("i"))
+    start, end = _piece(F.col("i"), F.col("m"), F.col("d"))
+    return cut.select(name, "m", "i", F.substr(F.col(name), start + 1, end - start).alias("piece"))
 
 
 def _pieces_of_shorter(vocabulary: DataFrame, name: str) -> DataFrame:
-    """Substrings where a piece of a token of length m could have survived."""
+    """Substrings where a piece of a token of length m, at least as long, could have survived."""
     n = F.length(name)
     longest = (n / R.TYPO_SIMILARITY + 1).cast("int")
-    lengths = vocabulary.filter(longest >= LONG_TOKEN).select(
-        name, n.alias("n"), F.explode(F.sequence(F.greatest(n, F.lit(LONG_TOKEN)), F.greatest(
-            longest, F.lit(LONG_TOKEN)))).alias("m"))
-    d = F.floor((1 - R.TYPO_SIMILARITY) * F.col("m") + 1e-9).cast("int")
-    cut = lengths.withColumn("d", d).filter(F.col("m") - F.col("n") <= F.col("d")).select(
+    lengths = vocabulary.filter(longest >= _SHORTEST).select(
+        name, n.alias("n"), F.explode(F.sequence(F.greatest(n, F.lit(_SHORTEST)), longest)).alias("m"))
+    cut = lengths.withColumn("d", _edits(F.col("m"))).filter(F.col("m") - F.col("n") <= F.col("d")).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i")).select(
         "*", F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("shift"))
-    start = F.floor(F.col("i") * F.col("m") / (F.col("d") + 1))
-    end = F.floor((F.col("i") + 1) * F.col("m") / (F.col("d") + 1))
-    at = (start + 1 + F.col("shift")).cast("int")
+    start, end = _piece(F.col("i"), F.col("m"), F.col("d"))
+    at = start + 1 + F.col("shift")
     return cut.filter(at >= 1).select(
-        name, "m", "i", F.substr(F.col(name), at, (end - start).cast("int")).alias("piece")).distinct()
+        name, "m", "i", F.substr(F.col(name), at, end - start).alias("piece")).distinct()
 
 
 def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -105,19 +93,12 @@ def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     enough.  Both inputs are vocabularies with one column ``token``."""
     a = left.filter(F.length("token") >= 5).select(F.col("token").alias("x"))
     b = right.filter(F.length("token") >= 5).select(F.col("token").alias("y"))
-    short = F.length("x") < LONG_TOKEN
-    by_deletion = (
-        a.filter(short).select("x", F.explode(_deletions(F.col("x"))).alias("left_over"))
-        .join(b.filter(F.length("y") < LONG_TOKEN).select(
-            "y", F.explode(_deletions(F.col("y"))).alias("left_over")), "left_over")
-        .select("x", "y"))
     on = ["m", "i", "piece"]
-    by_segment = (_pieces_of_shorter(a, "x").join(_segments_of_longer(b, "y"), on).select("x", "y")
-                  .unionByName(_segments_of_longer(a, "x").join(_pieces_of_shorter(b, "y"), on)
-                               .select("x", "y")))
+    met = (_pieces_of_shorter(a, "x").join(_pieces_of_longer(b, "y"), on).select("x", "y")
+           .unionByName(_pieces_of_longer(a, "x").join(_pieces_of_shorter(b, "y"), on).select("x", "y")))
     close = S.token_similarity(F.col("x"), F.col("y")) >= R.TYPO_SIMILARITY
-    return (by_deletion.unionByName(by_segment).filter(F.col("x") != F.col("y")).filter(close)
-            .select(F.col("x").alias("token"), F.col("y").alias("near")).distinct())
+    return (met.filter(F.col("x") != F.col("y")).distinct().filter(close)
+            .select(F.col("x").alias("token"), F.col("y").alias("near")))
 
 
 # --- candidates --------------------------------------------------------------
@@ -126,107 +107,73 @@ def _vocabulary(sets: DataFrame, column: str) -> DataFrame:
     return sets.select(F.explode(column).alias("token")).distinct()
 
 
-def _is_strong(t: Column) -> Column:
-    return (F.length(t) >= 5) & ~t.isin(*R.WEAK_TOKENS)
-
-
-def _with_alternatives(inputs: DataFrame, near: DataFrame) -> DataFrame:
-    """Per input name: each token with the candidate tokens it may stand for."""
-    grouped = near.groupBy("token").agg(F.array_sort(F.collect_list("near")).alias("near"))
-    spread = inputs.select("input", F.explode("input_d").alias("token"))
-    joined = spread.join(grouped, "token", "left").select(
-        "input", F.struct("token", F.coalesce("near", F.array().cast("array<string>")).alias("near")).alias("t"))
-    per_name = joined.groupBy("input").agg(F.array_sort(F.collect_list("t")).alias("choices"))
-    return inputs.join(per_name, "input").withColumn("n_choices", F.aggregate(
-        "choices", F.lit(1.0), lambda acc, c: acc * (F.size(c["near"]) + 2)))
-
-
-def _subset_index(candidates: DataFrame, keep: int) -> DataFrame:
-    """First ``keep`` candidates of every (token subset, candidate size)."""
-    empty = F.array(F.array().cast("array<string>"))
-    subsets = F.aggregate("candidate_d", empty, lambda acc, t: F.concat(
-        acc, F.transform(acc, lambda s: F.concat(s, F.array(t)))))
-    filed = candidates.select(
-        "*", F.size("candidate_d").alias("b"), F.explode(subsets).alias("_s")).filter(
-        F.size("_s") > 0).withColumn("subset", F.array_join("_s", " ")).drop("_s")
-    w = Window.partitionBy("subset", "b").orderBy("candidate")
-    return filed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
-
-
-def _reachable_subsets(inputs: DataFrame) -> DataFrame:
-    """Every candidate-token subset an input can stand for, with its best weight."""
-    start = F.array(F.struct(F.array().cast("array<string>").alias("s"), F.lit(0.0).alias("w"),
-                             F.lit(False).alias("strong")))
-
-    def add(acc: Column, c: Column) -> Column:
-        def take(y: Column, weight: float) -> Column:
-            strong = _is_strong(c["token"]) & _is_strong(y)
-            return F.transform(acc, lambda p: F.struct(
-                F.concat(p["s"], F.array(y)).alias("s"), (p["w"] + weight).alias("w"),
-                (p["strong"] | strong).alias("strong")))
-
-        return F.flatten(F.concat(
-            F.array(acc, take(c["token"], 1.0)),
-            F.transform(c["near"], lambda y: take(y, 0.85))))
-
-    choices = inputs.select("input", "input_d", "input_s",
-                            F.explode(F.aggregate("choices", start, add)).alias("p"))
-    subset = F.array_join(F.array_sort(F.array_distinct("p.s")), " ")
-    return (choices.filter("p.strong").withColumn("subset", subset)
-            .groupBy("input", "subset").agg(
-                F.max("p.w").alias("w"), F.any_value("input_d").alias("input_d"),
-                F.any_value("input_s").alias("input_s")))
-
-
-def _through_subsets(inputs: DataFrame, candidates: DataFrame, keep: int) -> DataFrame:
-    a, b = F.size("input_d"), F.col("b")
-    return (_reachable_subsets(inputs).join(_subset_index(candidates, keep), "subset")
-            .filter(F.col("w") / F.least(a, b) >= R.MATCH_RATIO - 1e-9)
-            .select("input", "input_d", "input_s", "candidate", "candidate_d", "candidate_s"))
-
-
-def _through_rare_tokens(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs that share one of the input's rarest tokens.
-
-    At least half of the shorter name must match, so with a tokens on one side
-    one of the a - ceil(min(a, b)/2) + 1 rarest must be among the matches.
-    """
-    filed = candidates.select("*", F.explode("candidate_d").alias("y"))
-    frequency = filed.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    spread = inputs.select("input", F.explode("choices").alias("c")).select(
-        "input", "c.token", F.explode(F.concat(F.array("c.token"), "c.near")).alias("y"))
-    rarity = spread.join(frequency, "y", "left").groupBy("input", "token").agg(
-        F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    place = rarity.withColumn("pos", F.row_number().over(
-        Window.partitionBy("input").orderBy("n", "token"))).drop("n")
-    a, b = F.size("input_d"), F.size("candidate_d")
-    return (spread.join(place, ["input", "token"]).join(filed, "y")
-            .join(inputs.select("input", "input_d", "input_s"), "input")
-            .filter(F.col("pos") <= a - F.ceil(F.least(a, b) / 2) + 1)
-            .select("input", "input_d", "input_s", "candidate", "candidate_d", "candidate_s"))
+def _first_of_each_set(candidates: DataFrame, keep: int) -> DataFrame:
+    """The first ``keep`` candidates of every set of tokens; the rest can never be among the best."""
+    order = Window.partitionBy("_set").orderBy("candidate")
+    return (candidates.withColumn("_set", F.array_sort("candidate_d")).withColumn("_n", F.row_number().over(order))
+            .filter(F.col("_n") <= keep).select("candidate", "candidate_d"))
+
+
+def _filed(rows: DataFrame) -> DataFrame:
+    """Rows under each of their tokens: ``list`` is the token, ``rest`` the more frequent ones."""
+    return rows.select("*", F.posexplode("toks").alias("_at", "list")).withColumn(
+        "rest", F.expr("slice(toks, _at + 2, size(toks))")).drop("_at", "toks")
+
+
+def _refiled(rows: DataFrame) -> DataFrame:
+    """Rows under one more of their tokens each."""
+    return rows.select("*", F.posexplode("rest").alias("_at", "_next")).withColumns({
+        "list": F.concat_ws(" ", "list", "_next"), "rest": F.expr("slice(rest, _at + 2, size(rest))")}).drop("_at", "_next")
+
+
+def _through_lists(inputs: DataFrame, candidates: DataFrame, near: DataFrame, keep: int, page: int) -> DataFrame:
+    """Pairs that hold the ``keep`` best candidates of every input."""
+    spread = candidates.select("candidate", "candidate_d", F.explode("candidate_d").alias("token"))
+    often = pin(spread.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    usable = inputs.select("input", F.explode("input_d").alias("token"))
+    usable = usable.unionByName(usable.join(near, "token").select("input", F.col("near").alias("token"))).distinct()
+
+    def rarest_first(rows: DataFrame, name: str) -> DataFrame:
+        ranked = rows.select(name, "token").join(often, "token").groupBy(name).agg(
+            F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_r"))
+        return ranked.select(name, F.transform("_r", lambda r: r["token"]).alias("toks"))
+
+    asking = pin(_filed(rarest_first(usable, "input").join(inputs.select("input", "input_d"), "input")), "asking")
+    filed = _filed(rarest_first(spread, "candidate").join(candidates, "candidate"))
+    found = []
+    while True:
+        asked = asking.select("list").distinct()
+        filed = pin(filed.join(asked, "list", "left_semi"), "filed")
+        long = pin(filed.groupBy("list").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > page).select("list"), "overfull")
+        whole = filed.join(long, "list", "left_anti")
+        overfull = filed.join(long, "list", "left_semi")
+        order = Window.partitionBy("list", F.size("candidate_d")).orderBy("candidate")
+        first = overfull.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).drop("_n")
+        lists = whole.unionByName(first).select("list", "candidate", "candidate_d")
+        found.append(asking.join(lists, "list").select("input", "input_d", "candidate", "candidate_d"))
+        if long.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+        asking = pin(_refiled(asking.join(long, "list", "left_semi")), "asking")
+        filed = _refiled(overfull)
 
 
 def best_matches(inputs: DataFrame, name: str, candidates: DataFrame, candidate: str, *,
-                 keep: int = 2, skip_same: bool = False) -> DataFrame:
+                 keep: int = 2, skip_same: bool = False, page: int = PAGE) -> DataFrame:
     """The ``keep`` best acceptable candidates per input name.
 
     Ties go to the candidate that sorts first.  ``skip_same`` leaves out the
     candidate that is the input itself.
     """
     want = keep + 1 if skip_same else keep
-    a = token_sets(inputs, name, "input")
-    b = pin(token_sets(candidates, candidate, "candidate"), "candidates")
+    a = pin(token_sets(inputs, name, "input").drop("input_s"), "inputs")
+    b = pin(_first_of_each_set(token_sets(candidates, candidate, "candidate"), want), "candidates")
     near = similar_tokens(_vocabulary(a, "input_d"), _vocabulary(b, "candidate_d"))
-    a = pin(_with_alternatives(a, near), "inputs")
-    few = F.col("n_choices") <= MAX_CHOICES
-    indexed = F.size("candidate_d") <= MAX_INDEXED_TOKENS
-    pairs = (_through_subsets(a.filter(few), b.filter(indexed), want)
-             .unionByName(_through_rare_tokens(a.filter(~few), b))
-             .unionByName(_through_rare_tokens(a.filter(few), b.filter(~indexed))))
+    pairs = _through_lists(a, b, pin(near, "near-tokens"), want, page)
     if skip_same:
         pairs = pairs.filter(F.col("input") != F.col("candidate"))
     pairs = pairs.dropDuplicates(["input", "candidate"])
-    match = S.distinctive_match(*[F.col(c) for c in ("input_d", "candidate_d", "input_s", "candidate_s")])
+    match = S.distinctive_match(F.col("input_d"), F.col("candidate_d"), S.strong(F.col("input_d")),
+                                S.strong(F.col("candidate_d")))
     scored = pairs.withColumn("m", match).withColumn(
         "score", S.candidate_score(F.col("m"), F.lit(0.0)))
     good = scored.filter(S.is_acceptable(F.col("m"), F.col("score")))
@@ -305,28 +252,44 @@ def score_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
         "score", "acceptable")
 
 
-def suppress_customers(rows: DataFrame, name: str, customers: Sequence[str], fuzzy_cut: float,
-                       limit: int = 1000) -> DataFrame:
-    """Suppression against a short customer list, with the evidence on each row.
+def suppress_customers(rows: DataFrame, name: str, customers: DataFrame, customer: str, fuzzy_cut: float,
+                       block: int = 256) -> DataFrame:
+    """Suppression against a table of customers, with the evidence on each row.
 
-    ``suppressed`` needs the same key or an acceptable distinctive match; mere
-    similarity is ``queued`` for a person.  The list is a constant in the plan,
-    so its length is checked; larger lists go through ``best_matches``.
+    ``suppressed`` needs the same key or an acceptable distinctive match; mere similarity
+    is ``queued`` for a person.  Keys meet by equality and matches through posting lists.
+    Only names that neither settles are compared as whole strings, for which no list
+    exists at such low cuts: blocks of about ``block`` customers go to every share of the
+    names.  Rows without a name are kept.
     """
-    if len(customers) > limit:
-        raise ValueError(f"{len(customers)} customers: use best_matches against a table")
-    t = tokens(F.col(name))
-    rows = rows.withColumns({"_key": match_key(F.col(name)), "_d": S.distinctive(t), "_s": S.strong(t)})
-    exact, distinct, loose = F.lit(False), F.lit(False), F.lit(0.0)
-    for c in customers:
-        tc = tokens(F.lit(c))
-        m = S.distinctive_match(F.col("_d"), S.distinctive(tc), F.col("_s"), S.strong(tc))
-        exact = exact | (F.col("_key") == match_key(F.lit(c)))
-        distinct = distinct | S.is_acceptable(m, S.candidate_score(m, F.lit(0.0)))
-        loose = F.greatest(loose, S.loose_similarity(F.col(name), F.lit(c)))
-    decision = (F.when(exact, "suppressed_exact").when(distinct, "suppressed_distinctive")
-                .when(loose >= fuzzy_cut, "queued_fuzzy").otherwise("kept"))
-    return rows.withColumn("decision", decision).drop("_key", "_d", "_s")
+    spark = rows.sparkSession
+    names = pin(rows.select(F.col(name).alias("_name")).filter("_name is not null").distinct()
+                .withColumn("_key", match_key(F.col("_name"))), "names")
+    listed = pin(customers.select(F.col(customer).alias("_customer")).filter("_customer is not null").distinct(), "customers")
+    keys = listed.select(match_key(F.col("_customer")).alias("_key")).distinct()
+    exact = names.join(keys, "_key", "left_semi").select("_name", F.lit("suppressed_exact").alias("decision"))
+    other = pin(names.join(keys, "_key", "left_anti").select("_name"), "names")
+    near = best_matches(other, "_name", listed, "_customer", keep=1)
+    distinct = pin(near.select(F.col("input").alias("_name"), F.lit("suppressed_distinctive").alias("decision")), "matched")
+
+    blocks = listed.count() // block + 1
+    shares = max(1, spark.sparkContext.defaultParallelism)
+    listed_blocks = listed.select(
+        F.pmod(F.xxhash64("_customer"), F.lit(blocks)).alias("_block"),
+        F.struct(norm_name(F.col("_customer")).alias("norm"), tokens(F.col("_customer")).alias("toks")).alias("_c")).groupBy(
+        "_block").agg(F.collect_list("_c").alias("_listed")).withColumn(
+        "_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    still = other.join(distinct, "_name", "left_anti").select(
+        "_name", norm_name(F.col("_name")).alias("_norm"), tokens(F.col("_name")).alias("_toks"),
+        F.pmod(F.xxhash64("_name"), F.lit(shares)).cast("int").alias("_share"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    alike = F.exists("_listed", lambda c: (S.jaccard(F.col("_toks"), c["toks"]) >= fuzzy_cut)
+                     | (S.string_similarity(F.col("_norm"), c["norm"]) >= fuzzy_cut))
+    queued = still.join(listed_blocks, ["_block", "_share"]).filter(alike).select(
+        "_name", F.lit("queued_fuzzy").alias("decision")).distinct()
+    decided = exact.unionByName(distinct).unionByName(queued)
+    return (rows.join(decided, rows[name] == decided["_name"], "left").drop("_name")
+            .withColumn("decision", F.coalesce("decision", F.lit("kept"))))
 
 
 # --- reconciliation ----------------------------------------------------------

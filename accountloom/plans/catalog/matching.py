@@ -158,7 +158,7 @@ def pair_scores(spark, folder):
 
 
 @query("customer_suppression", S.ROLLED + f""",
-c AS (SELECT unnest(['Old Widget Holdings', 'hot rod', 'Large Anvil Inc.']) AS cust),
+c AS (SELECT DISTINCT p_name || ' Holdings' AS cust FROM part WHERE p_size = 1),
 cs AS {sets('cust', 'c')}, sp AS {sets('reported', 'spellings')},
 pairs AS (SELECT sp.nm AS a, cs.nm AS b, sp.d AS ad, cs.d AS bd, sp.s AS a_s, cs.s AS b_s, sp.t AS ta, cs.t AS tb,
   {S.key_of('sp.nm')} = {S.key_of('cs.nm')} AS same, {S.norm_of('sp.nm')} AS na, {S.norm_of('cs.nm')} AS nb FROM sp, cs),""" + _PAIR + """,
@@ -171,8 +171,8 @@ SELECT a AS reported, CASE WHEN exact THEN 'suppressed_exact' WHEN dist THEN 'su
   WHEN loose >= 0.6::DOUBLE THEN 'queued_fuzzy' ELSE 'kept' END AS decision FROM g""")
 def customer_suppression(spark, folder):
     names = registry_run(spark, folder).spellings.select("reported")
-    return M.suppress_customers(names, "reported", ("Old Widget Holdings", "hot rod", "Large Anvil Inc."),
-                                fuzzy_cut=0.6)
+    customers = table(spark, folder, "part").filter("p_size = 1").select(F.concat("p_name", F.lit(" Holdings")).alias("customer"))
+    return M.suppress_customers(names, "reported", customers, "customer", fuzzy_cut=0.6)
 
 
 @query("reconcile", S.BASE + f""",

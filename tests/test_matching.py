@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from accountloom import refdata as R
 from accountloom.operators import matching as M
@@ -47,11 +48,11 @@ def brute(inputs, candidates, keep):
     return out
 
 
-def ours(spark, inputs, candidates, keep):
+def ours(spark, inputs, candidates, keep, **sizes):
     a = spark.createDataFrame([(x,) for x in inputs], "n string")
     b = spark.createDataFrame([(x,) for x in candidates], "c string")
     return {(r.input, r.place): (r.candidate, round(r.score, 9))
-            for r in M.best_matches(a, "n", b, "c", keep=keep).collect()}
+            for r in M.best_matches(a, "n", b, "c", keep=keep, **sizes).collect()}
 
 
 def random_names(rng, n):
@@ -61,14 +62,24 @@ def random_names(rng, n):
     return [" ".join(rng.choice(stock) for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 6]))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_best_matches_equal_brute_force(spark, seed):
-    rng = random.Random(seed)
-    inputs, candidates = random_names(rng, 60), random_names(rng, 60)
-    assert ours(spark, inputs, candidates, 2) == brute(inputs, candidates, 2)
+@pytest.mark.parametrize("page", [1, 4, M.PAGE])
+def test_best_matches_equal_brute_force(spark, page):
+    rng = random.Random(page)
+    inputs, candidates = random_names(rng, 80), random_names(rng, 80)
+    assert ours(spark, inputs, candidates, 2, page=page) == brute(inputs, candidates, 2)
 
 
-def test_names_with_many_tokens_take_the_other_route(spark):
+@pytest.mark.parametrize("page", [2, M.PAGE])
+def test_short_inputs_against_long_candidates(spark, page):
+    rng = random.Random(4)
+    words = [f"tok{c}word" for c in "abcdefghijklmnopqrstuvwx"]
+    long = [" ".join(rng.sample(words, 12)) for _ in range(40)]
+    short = words[:8] + ["tokaword tokbwort", "tokcword zonedline", "nothing"]
+    assert ours(spark, short, long + words[:3], 2, page=page) == brute(short, long + words[:3], 2)
+    assert ours(spark, long[:6], short, 2, page=page) == brute(long[:6], short, 2)
+
+
+def test_names_with_many_tokens(spark):
     rng = random.Random(9)
     words = [f"tok{c}word" for c in "abcdefghijklmnopqrstuvwx"] + [f"zone{c}line" for c in "abcdefgh"]
     many = [" ".join(rng.sample(words, k)) for k in (9, 10, 13, 14, 15, 9, 12)]
@@ -123,12 +134,31 @@ def test_ambiguous_names_show_both_candidates(spark):
 def test_suppression_needs_positive_evidence(spark):
     names = ["Americold Realty Trust", "AMERICOLD REALTY", "VersaCold Logistics", "Americald Realty Trust", "Amaricold Reilty Trest"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = {r["n"]: r["decision"] for r in M.suppress_customers(df, "n", ("Americold Realty Trust",), 0.6).collect()}
+    customers = spark.createDataFrame([("Americold Realty Trust",), (None,)], "c string")
+    got = {r["n"]: r["decision"] for r in M.suppress_customers(df, "n", customers, "c", 0.6).collect()}
     assert got["Americold Realty Trust"] == "suppressed_exact"
     assert got["AMERICOLD REALTY"] == "suppressed_distinctive"
     assert got["VersaCold Logistics"] == "kept"
-    with pytest.raises(ValueError):
-        M.suppress_customers(df, "n", ["x"] * 1001, 0.6)
+    assert got["Amaricold Reilty Trest"] == "queued_fuzzy"
+
+
+def test_suppression_against_many_customers(spark):
+    """More customers than fit one block: the same decisions as the pair by pair rule."""
+    rng = random.Random(8)
+    customers, names = random_names(rng, 150), random_names(rng, 60) + [None, "", "acme inc", "harbour nrthgate zed"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    table = spark.createDataFrame([(c,) for c in customers], "c string")
+    got = sorted((r["n"] or "", r["decision"]) for r in M.suppress_customers(df, "n", table, "c", 0.75, block=16).collect())
+    pairs = df.distinct().crossJoin(table.distinct())
+    scored = M.score_pairs(pairs, "n", "c").selectExpr("n", "acceptable", "loose", "c").collect()
+    keys = {r["n"]: r["k"] for r in df.union(table).distinct().select("n", M.match_key(F.col("n")).alias("k")).collect()}
+    want = []
+    for n in names:
+        mine = [r for r in scored if r["n"] == n and n is not None]
+        want.append((n or "", "suppressed_exact" if any(keys[r["c"]] == keys[n] for r in mine)
+                     else "suppressed_distinctive" if any(r["acceptable"] for r in mine)
+                     else "queued_fuzzy" if any(r["loose"] >= 0.75 for r in mine) else "kept"))
+    assert got == sorted(want) and len({d for _, d in got}) == 4
 
 
 def test_reconcile_people(spark):
