@@ -103,20 +103,24 @@ def resolve_names(spark, folder):
 
 
 @query("resolve_by_rule_table", S.BASE + """,
-rules AS (SELECT DISTINCT p_name AS pattern, p_name || ' Group' AS canonical, string_split(p_name, ' ')[1] AS anchor,
-            dense_rank() OVER (ORDER BY p_name) AS rule_ord FROM part),
+rules AS (SELECT DISTINCT replace(p_name, ' ', '[- ]?') || '|^the ' || p_name AS pattern, p_name || ' Group' AS canonical, 'b' || p_name AS rule_ord FROM part
+  UNION ALL SELECT 'works \\((the )?' || lower(n_name), n_name || ' Works', 'a' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'),
 names AS (SELECT DISTINCT facility_name AS name FROM filings)
 SELECT name, arg_min(canonical, rule_ord) AS canonical
-FROM names JOIN rules ON regexp_matches(lower(name), '(^|[^a-z0-9])' || pattern)
+FROM names JOIN rules ON regexp_matches(lower(name), '(^|[^a-z0-9])(' || pattern || ')')
 GROUP BY name""")
 def resolve_by_rule_table(spark, folder):
-    """Rules as a table: as many as there are part names, found by their anchor word."""
-    part = table(spark, folder, "part").select(F.col("p_name").alias("pattern")).distinct()
-    rules = part.select("pattern", F.concat("pattern", F.lit(" Group")).alias("canonical"),
-                        F.element_at(F.split("pattern", " "), 1).alias("anchor"),
-                        F.col("pattern").alias("rule_ord"))
+    """Rules as a table, without anchors: one per part name, and some on the word that all names share."""
+    named = F.col("p_name")
+    part = table(spark, folder, "part").select(
+        F.concat(F.replace(named, F.lit(" "), F.lit("[- ]?")), F.lit("|^the "), named).alias("pattern"),
+        F.concat(named, F.lit(" Group")).alias("canonical"), F.concat(F.lit("b"), named).alias("rule_ord")).distinct()
+    asia = table(spark, folder, "nation").join(table(spark, folder, "region").filter("r_name = 'ASIA'"),
+                                               F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = asia.select(F.concat(F.lit(r"works \((the )?"), F.lower("n_name")).alias("pattern"),
+                         F.concat("n_name", F.lit(" Works")).alias("canonical"), F.concat(F.lit("a"), "n_name").alias("rule_ord"))
     names = all_filings(spark, folder).select(F.col("facility_name").alias("name")).distinct()
-    return RS.resolve_by_rule_table(names, "name", rules)
+    return RS.resolve_by_rule_table(names, "name", part.unionByName(nation))
 
 
 @query("site_flags", S.FLAGGED + """
