@@ -9,6 +9,7 @@ one whole number each, ``BITS`` bits a word and 0 where a shorter phrase has end
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -54,7 +55,9 @@ class _Node:
     def _burst(self, at: int, burst: int) -> None:
         """Split a container by range until all of its parts fit, or turn it into a node."""
         child, shift = self.children[at], (DEPTH - 1 - self.level) * BITS
-        keys = np.sort(np.fromiter(child, np.int64, len(child)))
+        keys = np.fromiter(child, np.int64, len(child))
+        order = np.argsort(keys)
+        keys, counts = keys[order], np.fromiter(child.values(), np.int64, len(child))[order]
         words = keys >> shift
         if words[0] == words[-1]:
             if self.level + 1 < DEPTH:  # one word: the next word tells its phrases apart
@@ -62,13 +65,12 @@ class _Node:
                 self.children[at] = node
                 node._burst(0, burst)
             return
-        middle = words[len(words) // 2]
-        if middle == words[0]:
-            middle = words[np.searchsorted(words, middle, "right")]
-        border = int(middle) << shift
-        low, high = Counter(), Counter()
-        for key, count in child.items():
-            (low if key < border else high)[key] = count
+        cut = np.searchsorted(words, words[len(words) // 2])
+        if cut == 0:
+            cut = np.searchsorted(words, words[0], "right")
+        border = int(words[cut]) << shift
+        low, high = (Counter(dict(zip(keys[part].tolist(), counts[part].tolist())))
+                     for part in (slice(cut), slice(cut, None)))
         self.children[at:at + 1] = [low, high]
         self.starts[at:at + 1] = [self.starts[at], border]
         for i, part in ((at + 1, high), (at, low)):
@@ -113,5 +115,5 @@ class HatTrie:
             self.root.children[i] = Counter()
             held -= sizes[i]
         total = sum(map(len, taken))
-        return (np.fromiter((k for c in taken for k in c), np.int64, total),
-                np.fromiter((n for c in taken for n in c.values()), np.int64, total))
+        return (np.fromiter(chain.from_iterable(taken), np.int64, total),
+                np.fromiter(chain.from_iterable(c.values() for c in taken), np.int64, total))

@@ -41,6 +41,7 @@ SLICE_BYTES = 2 << 20
 PART_BYTES = 3 << 20
 HELD_PHRASES = 1 << 20
 HELD_WORDS = 400_000
+_NOTHING = pa.scalar(b"", pa.large_binary())
 RUN = "lang string, part int, run binary"
 COUNTED = "lang string, words int, phrase binary, f long"
 
@@ -53,6 +54,8 @@ class _Words:
 
     def __init__(self) -> None:
         self.ids: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
+        self.sorted: list[bytes] = []
+        self.hashes = np.zeros(1, np.uint64)
 
     def read(self, tokens: list[bytes]) -> np.ndarray:
         """Ids of all words in order, with a 0 between pieces."""
@@ -62,12 +65,15 @@ class _Words:
 
     def tables(self) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
         """By id: words, words behind a space, places in byte order, and hashes."""
-        words = [b"", *self.ids]
-        rank = np.empty(len(words), np.int64)
-        rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
-        hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-        return (pa.array(words, pa.large_binary()),
-                pa.array([b"", *(b" " + w for w in words[1:])], pa.large_binary()), rank, hashes)
+        new = list(itertools.islice(self.ids, len(self.sorted), None))
+        self.hashes = np.concatenate((self.hashes, np.fromiter(map(zlib.crc32, new), np.uint64, len(new))))
+        self.sorted = sorted(self.sorted + sorted(new))  # two sorted runs, which the sort merges
+        rank = np.zeros(len(self.sorted) + 1, np.int64)
+        rank[np.fromiter(map(self.ids.__getitem__, self.sorted), np.int64, len(self.sorted))] = np.arange(
+            1, len(self.sorted) + 1)
+        words = pa.array([b"", *self.ids], pa.large_binary())
+        behind = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), words, _NOTHING)
+        return words, pa.concat_arrays([words[:1], behind[1:]]), rank, self.hashes
 
 
 def _chunks(text: bytes, limit: int) -> Iterator[bytes]:
@@ -115,7 +121,7 @@ def _runs(lang: str, keys: np.ndarray, counts: np.ndarray, tables, parts: int) -
     order = np.lexsort((path_keys(*(rank[i] for i in ids)), part))
     ids, part, counts = [i[order] for i in ids], part[order], counts[order]
     phrases = pc.binary_join_element_wise(words.take(pa.array(ids[0])), behind.take(pa.array(ids[1])),
-                                          behind.take(pa.array(ids[2])), pa.scalar(b"", pa.large_binary()))
+                                          behind.take(pa.array(ids[2])), _NOTHING)
     offsets = np.frombuffer(phrases.buffers()[1], np.int64)[:len(phrases) + 1]
     data = memoryview(phrases.buffers()[2])
     packer = zstandard.ZstdCompressor(level=1)
@@ -169,7 +175,7 @@ def _count_phrases(longest: int, parts: int, held: int, burst: int, slice_bytes:
                             yield from spill(0)
                             words, tries, size = _Words(), {}, 0
                         elif size > held:
-                            yield from spill(held // 2)
+                            yield from spill(held // 4)
                             tries = {lang: trie for lang, trie in tries.items() if len(trie)}
         yield from spill(0)
 
@@ -267,7 +273,13 @@ def collocations(docs: DataFrame, *, least: int = 10, top: int = 2000, contained
                      | (F.lit(100).cast("decimal(3,0)") * F.col("longer") < F.lit(contained).cast("decimal(3,0)") * F.col("a")))
              .drop("longer"))
     scored = alone.unionByName(triples_scored).select("lang", phrase, "a", "words", "cut.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    return (scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).join(totals, "lang")
+    # a language may have most phrases: each of its 32 shares keeps its first ones before they meet
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    share = F.pmod(F.xxhash64("phrase"), F.lit(32))
+    first = (scored.withColumn("share", share)
+             .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order)))
+             .filter(F.col("rank") <= top).drop("share"))
+    return (first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+            .filter(F.col("rank") <= top).join(totals, "lang")
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score",
                     "words", F.col("k").alias("cut")))
