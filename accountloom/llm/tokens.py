@@ -4,7 +4,8 @@ The tokenizer file's own model encodes every distinct word once per worker; a
 batch then gathers the ids of its words by position.  A byte-level tokenizer cuts
 a text in front of every space that a visible character follows, so the ids of a
 text are those of its space-separated parts, in order.  Texts with a space before
-other white space, and parts outside the Latin blocks, go to the tokenizer whole.
+other white space or with an added token such as ``<|endoftext|>``, and parts outside the
+Latin blocks, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -46,7 +47,9 @@ class BatchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold an added token, as text, are encoded whole: the library cuts there first
+        added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD_SPACE, *added])
         self.model = self.tokenizer.model
         self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
         self.alphabet = _byte_alphabet()
@@ -98,7 +101,7 @@ class BatchEncoder:
         texts = pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), ""), pa.array([""], pa.large_string())])
         texts = texts.slice(0, len(column))
         rows = len(texts)
-        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
         if len(odd):
             mask = np.zeros(rows, bool)
             mask[odd] = True
