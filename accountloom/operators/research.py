@@ -214,15 +214,6 @@ def facets(accounts: DataFrame, where: Column, score: str, bands: int = 5) -> Da
         "primary_rto", "vertical", "band").agg(F.count(F.lit(1)).alias("accounts"))
 
 
-def text_search(docs: DataFrame, key: str, text: str, words: Sequence[str]) -> DataFrame:
-    """Documents whose whole text contains every word, whatever the case."""
-    low = F.lower(F.col(text))
-    hit = F.lit(True)
-    for w in words:
-        hit = hit & F.contains(low, F.lit(w.lower()))
-    return docs.filter(hit).select(key)
-
-
 def whitespace(accounts: DataFrame, crm_keys: DataFrame, key: str, accessibility: Column,
                grid: Column) -> DataFrame:
     """Accounts absent from the sales list, by fit x accessibility x grid x accidents."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from accountloom.operators import gates as G
 from accountloom.operators.ordering import latest_per_key
 from accountloom.plans.catalog import query
+from accountloom.sources.csv_files import read_csv
 from accountloom.sources.driver_tables import table
+from accountloom.streaming.events import work_folder
 
 AS_OF = "2024-07-10"
 PATTERNS = {"email": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+",
@@ -337,3 +339,12 @@ def latest_rows(spark, folder):
     """Last write wins per key."""
     return latest_per_key(table(spark, folder, "events"), ["user_id"],
                           [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "value")
+
+
+@query("csv_export", "SELECT doc_id::VARCHAR AS doc_id, lang, coalesce(text, '') AS text FROM documents")
+def csv_export(spark, folder):
+    """Documents as a quoted CSV export, their line breaks and quotes included, read back by as many tasks as it has stretches."""
+    path = f"{work_folder(spark, 'csv-export')}/rows"
+    (table(spark, folder, "documents").select("doc_id", "lang", "text").write
+     .options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+    return read_csv(spark, path, sep=",")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from accountloom.operators import identity as I
 from accountloom.operators import research as X
 from accountloom.operators.ordering import global_rank
+from accountloom.operators.search import build_index, search, searchable
 from accountloom.plans import queue as RQ
 from accountloom.plans.catalog import query
 from accountloom.plans.catalog import registry_sql as S
@@ -14,6 +15,7 @@ from accountloom.plans.catalog.gates import FACTS_SQL, facts
 from accountloom.plans.catalog.governance import ACCOUNTS, USERS, accounts, users
 from accountloom.plans.catalog.registry import registry_run
 from accountloom.sources.driver_tables import table
+from accountloom.streaming.events import work_folder
 
 AS_OF = "2024-01-31"
 
@@ -250,9 +252,35 @@ def faceted_accounts(spark, folder):
     return X.facets(rows, (F.col("sites") >= 10) & (F.col("accidents") > 0), "icp_score")
 
 
+def _indexed(spark, folder):
+    """Accounts, people, signals and deliverables in one index."""
+    path = f"{work_folder(spark, 'search')}/index"
+    build_index([
+        searchable(table(spark, folder, "part").select("p_name").distinct(), "account", "p_name", F.col("p_name")),
+        searchable(table(spark, folder, "customer"), "person", "c_custkey", F.col("c_name")),
+        searchable(signals(spark, folder), "signal", "signal_id", F.col("title")),
+        searchable(table(spark, folder, "documents"), "deliverable", "doc_id", F.col("text"))], path)
+    return path
+
+
+_EVERYTHING = """WITH everything AS (SELECT DISTINCT 'account' AS kind, p_name AS key, p_name AS text FROM part
+  UNION ALL SELECT 'person', c_custkey::VARCHAR, c_name FROM customer
+  UNION ALL SELECT 'signal', event_id::VARCHAR, event_type || ' near ' || regexp_extract(props, '"k": (\\d+)', 1) FROM events
+  UNION ALL SELECT 'deliverable', doc_id::VARCHAR, text FROM documents)
+"""
+
+
 @query("text_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with')")
 def text_search(spark, folder):
-    return X.text_search(table(spark, folder, "documents"), "doc_id", "text", ["the", "With"])
+    """Deliverables that mention both words, through the index."""
+    found = search(spark, _indexed(spark, folder), ["the", "With"], ["deliverable"])
+    return found.select(F.col("key").cast("long").alias("doc_id"))
+
+
+@query("search_everything", _EVERYTHING + "SELECT kind, key FROM everything WHERE contains(lower(text), 'er')")
+def search_everything(spark, folder):
+    """One word in all accounts, people, signals and deliverables."""
+    return search(spark, _indexed(spark, folder), ["eR"])
 
 
 _WHITE = S.ROLLED + f""",
