@@ -318,14 +318,21 @@ def feed_specification(df: DataFrame, spec: Mapping[str, tuple[str, Sequence[str
     return filled.select(F.inline(F.array(*entries)))
 
 
-def sample_audit(df: DataFrame, key: Column, stratum: str, correct: Column, share: float) -> DataFrame:
-    """S3: observed accuracy on a repeatable sample per stratum.
+def sample_audit(df: DataFrame, key: str, stratum: str, correct: Column, share: float) -> DataFrame:
+    """S3: observed accuracy on a repeatable sample of exact size per stratum, with its margin.
 
-    A record is sampled by a hash of its key, so a rerun audits the same rows.
+    Of a stratum of N records the ``ceil(share * N)`` with the least hash of their key are
+    audited, at any partitioning and in every rerun.  ``margin`` is half the width of the
+    95 % interval of the accuracy, with the correction for a sample without replacement.
     """
-    place = F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("long")
-    return (df.filter(place < int(share * 65536)).groupBy(stratum)
-            .agg(F.count(F.lit(1)).alias("audited"), F.round(F.avg(correct), 6).alias("accuracy")))
+    rows = df.select(F.col(stratum), F.md5(F.col(key).cast("string")).alias("_priority"), F.col(key).alias("_key"),
+                     correct.cast("double").alias("_correct"))
+    numbered = numbered_within(rows, [stratum], ["_priority", "_key"], "_nth")
+    audited = numbered.filter(F.col("_nth") <= F.ceil(F.lit(share) * F.col("_nths") - 1e-9)).groupBy(stratum).agg(
+        F.count(F.lit(1)).alias("audited"), F.max("_nths").alias("population"), F.avg("_correct").alias("_a"))
+    left = (F.col("population") - F.col("audited")) / F.greatest(F.col("population") - 1, F.lit(1))
+    return audited.select(stratum, "audited", "population", F.round("_a", 6).alias("accuracy"),
+                          F.round(1.96 * F.sqrt(F.col("_a") * (1 - F.col("_a")) / F.col("audited") * left), 6).alias("margin"))
 
 
 def delimiter(text: Column) -> Column:

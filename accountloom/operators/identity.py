@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from accountloom import refdata as R
 from accountloom.functions.names import initials, read_groups
+from accountloom.sources.commit_log import CommitLog
 
 
 USER = ("tenant_id", "user_id")  # a user number means something within its tenant only
@@ -157,6 +158,10 @@ def audit_trail(log: DataFrame, tenant, *, user=None, action: str | None = None,
     return rows.orderBy(F.desc(at), *([F.desc(tie)] if tie else [])).limit(limit)
 
 
-def append_audit(entries: DataFrame, path: str) -> None:
-    """The trail only grows: this sink appends and knows no other mode."""
-    entries.write.mode("append").parquet(path)
+def append_audit(entries: DataFrame, path: str, batch: str | None = None) -> bool:
+    """The trail only grows: this sink appends and knows no other mode.
+
+    Entries appear all at once or not at all, and a ``batch`` that is appended again after
+    a failure is not entered twice.
+    """
+    return CommitLog(entries.sparkSession, path, entries.schema).append(entries, batch=batch)

@@ -304,12 +304,17 @@ def feed_specification(spark, folder):
 
 
 @query("sample_audit", """
-SELECT source, count(*) AS audited, round(avg(quality), 6) AS accuracy FROM documents JOIN labels USING (doc_id)
-WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INTEGER < 16384 GROUP BY source""")
+WITH n AS (SELECT source, quality::DOUBLE AS quality, count(*) OVER (PARTITION BY source) AS population,
+  row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS nth FROM documents JOIN labels USING (doc_id)),
+a AS (SELECT source, count(*) AS audited, max(population) AS population, avg(quality) AS acc FROM n
+  WHERE nth <= ceil(0.25::DOUBLE * population) GROUP BY source)
+SELECT source, audited, population, round(acc, 6) AS accuracy,
+  round(1.96::DOUBLE * sqrt(acc * (1 - acc) / audited * ((population - audited)::DOUBLE / greatest(population - 1, 1))), 6) AS margin FROM a""")
 def sample_audit(spark, folder):
+    """A quarter of every source's labelled documents, exactly."""
     labelled = table(spark, folder, "documents").select("doc_id", "source").join(
         table(spark, folder, "labels"), "doc_id")
-    return G.sample_audit(labelled, F.col("doc_id"), "source", F.col("quality"), 0.25)
+    return G.sample_audit(labelled, "doc_id", "source", F.col("quality"), 0.25)
 
 
 @query("text_delimiters", """

@@ -8,7 +8,9 @@ from accountloom.functions.measures import pseudonym
 from accountloom.operators import access as A
 from accountloom.operators import identity as I
 from accountloom.plans.catalog import query
+from accountloom.sources.commit_log import CommitLog
 from accountloom.sources.driver_tables import table
+from accountloom.streaming.events import work_folder
 
 NOW, EVENTS_NOW = "1999-06-01 00:00:00", "2024-01-20 12:00:00"
 OWNERS = 97
@@ -187,8 +189,13 @@ WITH p AS (SELECT c_custkey, 'email' AS field FROM customer WHERE c_custkey % {O
 SELECT 5 AS user_id, 'pii.read' AS action, 'person' AS resource_type, c_custkey::VARCHAR AS resource_id, 'allow' AS outcome,
   '2024-01-01T00:00:00Z' AS at, field FROM p""")
 def pii_read_audit(spark, folder):
+    """Every contact field that a rep was shown, from the trail it was entered in."""
     owned, _ = A.project(_people(spark, folder), "person", REP, ["person_id"], owner=F.col("owner_id") == REP.user_id)
-    return A.pii_reads(owned, REP, "person", "person_id", "2024-01-01T00:00:00Z")
+    reads = A.pii_reads(owned, REP, "person", "person_id", "2024-01-01T00:00:00Z")
+    path = f"{work_folder(spark, 'audit')}/trail"
+    for _ in range(2):  # the second append repeats a batch that is in the trail
+        I.append_audit(reads, path, batch="2024-01-01")
+    return CommitLog(spark, path, reads.schema).read()
 
 
 @query("outbound_usable", f"""
@@ -207,7 +214,10 @@ def outbound_usable(spark, folder):
 
 @query("tenant_scope", f"WITH {ACCOUNTS} SELECT account_id, canonical_name, status FROM accounts WHERE tenant_id = 1")
 def tenant_scope(spark, folder):
-    return A.tenant_scope(accounts(spark, folder), 1).select("account_id", "canonical_name", "status")
+    """One tenant's accounts from a table laid out by tenant; nothing else is read."""
+    path = f"{work_folder(spark, 'tenants')}/accounts"
+    A.write_by_tenant(accounts(spark, folder), path)
+    return A.read_tenant(spark, path, 1).select("account_id", "canonical_name", "status")
 
 
 @query("draft_visibility", """

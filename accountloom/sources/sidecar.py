@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountloom.operators.ordering import latest_per_key
+from accountloom.sources.commit_log import CommitLog
 
 SCHEMA = """request_hash string, response_hash string, prompt_version string, model_version string,
 source string, account string,
@@ -19,20 +19,15 @@ buffer_probabilities:map<string,double>,continuous_p_yes:double,regulated_p_yes:
 usage struct<input_tokens:bigint,output_tokens:bigint>, wall_ms bigint, judged_at string"""
 
 
+def _log(spark: SparkSession, path: str) -> CommitLog:
+    return CommitLog(spark, path, SCHEMA, "json")
+
+
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """Last row per request hash; a sidecar that does not exist yet is empty."""
-    try:
-        rows = spark.read.schema(SCHEMA).json(path)
-        rows.limit(1).isEmpty()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], SCHEMA)
-    return latest_per_key(rows, ["request_hash"], [F.desc("judged_at"), F.desc("response_hash")])
+    return latest_per_key(_log(spark, path).read(), ["request_hash"], [F.desc("judged_at"), F.desc("response_hash")])
 
 
 def append_sidecar(rows: DataFrame, path: str) -> None:
-    """Add the rows whose request has not been answered before."""
-    seen = read_sidecar(rows.sparkSession, path).select("request_hash")
-    fresh = rows.dropDuplicates(["request_hash"]).join(seen, "request_hash", "left_anti")
-    fresh.write.mode("append").json(path)
+    """Add the rows whose request has not been answered before, whoever else appends."""
+    _log(rows.sparkSession, path).append(rows, ["request_hash"])
