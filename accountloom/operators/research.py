@@ -184,7 +184,7 @@ def unverified_numbers(texts: DataFrame, key: str, text: str, facts: DataFrame,
 def version_chain(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Each version beside the one before it.  The neighbour is found by an equi-join
     on (keys, version), so a long chain is spread over the cluster."""
-    numbered = numbered_within(rows, keys, order, "version")
+    numbered = pin(numbered_within(rows, keys, order, "version"), "versions")
     before = numbered.select(*keys, (F.col("version") + 1).alias("version"),
                              *[F.col(f).alias(f"previous_{f}") for f in fields])
     return numbered.join(before, [*keys, "version"], "left").withColumn(
@@ -222,12 +222,32 @@ def whitespace(accounts: DataFrame, crm_keys: DataFrame, key: str, accessibility
     return accounts.join(crm_keys, key, "left_anti").withColumn("whitespace_score", F.round(value, 6))
 
 
-def portfolio(sites: DataFrame) -> DataFrame:
-    """Totals per account and grid region, per account, and overall."""
-    return sites.rollup("account", "rto").agg(
+def portfolio(sites: DataFrame, cycles: int = 2) -> DataFrame:
+    """Totals per account and grid region, per account, and overall, with signal and notes.
+
+    ``cadence`` is the number of submissions per site that submits, and
+    ``replacement_sites`` counts those with an accident on file and at least ``cycles``
+    submissions: the proxy for aging equipment.  ``notes`` says what the figures rest on:
+    sites held below validation, whose charge is not in the total, and sites without any
+    submission; null where there is nothing to say.
+    """
+    held, filed = F.count_if(~F.col("validated")), F.count_if(F.col("submissions") > 0)
+    silent = F.count_if(F.coalesce(F.col("submissions"), F.lit(0)) <= 0)
+    totals = sites.rollup("account", "rto").agg(
         F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("sites"),
         F.sum(F.when(F.col("validated"), F.col("charge_lb")).otherwise(0)).alias("charge_lb"),
-        F.sum("accidents").alias("accidents"), F.count_if(~F.col("validated")).alias("held_sites"))
+        F.sum("accidents").alias("accidents"), held.alias("held_sites"),
+        F.coalesce(F.sum("submissions"), F.lit(0)).cast("long").alias("submissions"),
+        filed.alias("_filed"), silent.alias("_silent"),
+        F.count_if((F.col("accidents") > 0) & (F.col("submissions") >= cycles)).alias("replacement_sites"))
+
+    def note(n: str, text: str) -> Column:
+        return F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" sites {text}")))
+
+    notes = F.concat_ws("; ", note("held_sites", "held below validation"), note("_silent", "without a submission"))
+    return totals.withColumns({
+        "cadence": F.when(F.col("_filed") > 0, F.round(F.col("submissions") / F.col("_filed"), 6)),
+        "notes": F.nullif(notes, F.lit(""))}).drop("_filed", "_silent")
 
 
 def cost_rollup(events: DataFrame, by: Sequence[str]) -> DataFrame:

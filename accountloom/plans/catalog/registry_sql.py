@@ -58,7 +58,7 @@ filings AS (
     CASE WHEN l_linenumber % 2 = 1 THEN (l_quantity * 2500)::BIGINT
               * CASE WHEN l_orderkey % 7000 = 2 THEN 1000 ELSE 1 END ELSE 0 END AS chlorine_lb,
     l_linenumber % 3 + 1 AS program_level,
-    CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS accidents,
+    CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS accidents, (l_linenumber % 4)::INTEGER AS submissions,
     CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS recent_accidents,
     l_returnflag = 'A' AND l_linestatus = 'F' AS is_deregistered
   FROM lines JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey

@@ -317,12 +317,19 @@ def queue_by_severity(spark, folder):
         "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("portfolio_rollup", S.ROLLED + """
-SELECT account, rto, grouping(account, rto)::INTEGER AS level, count(*) AS sites, coalesce(sum(charge_lb) FILTER (validated), 0)::BIGINT AS charge_lb,
-  sum(accidents)::BIGINT AS accidents, count(*) FILTER (NOT validated) AS held_sites
-FROM (SELECT b.account, k.rto, k.charge_lb, k.accidents, k.validated FROM keyed k JOIN buckets b USING (account_key) WHERE admitted)
-GROUP BY ROLLUP (account, rto)""")
+@query("portfolio_rollup", S.ROLLED + """,
+t AS (SELECT account, rto, grouping(account, rto)::INTEGER AS level, count(*) AS sites, coalesce(sum(charge_lb) FILTER (validated), 0)::BIGINT AS charge_lb,
+  sum(accidents)::BIGINT AS accidents, count(*) FILTER (NOT validated) AS held_sites, sum(submissions)::BIGINT AS submissions,
+  count(*) FILTER (submissions > 0) AS filed, count(*) FILTER (submissions = 0) AS silent,
+  count(*) FILTER (accidents > 0 AND submissions >= 2) AS replacement_sites
+FROM (SELECT b.account, k.rto, k.charge_lb, k.accidents, k.validated, f.submissions
+  FROM keyed k JOIN buckets b USING (account_key) JOIN filings f USING (facility_id) WHERE admitted) GROUP BY ROLLUP (account, rto))
+SELECT account, rto, level, sites, charge_lb, accidents, held_sites, submissions, replacement_sites,
+  CASE WHEN filed > 0 THEN round(submissions::DOUBLE / filed, 6) END AS cadence,
+  nullif(concat_ws('; ', CASE WHEN held_sites > 0 THEN held_sites || ' sites held below validation' END,
+    CASE WHEN silent > 0 THEN silent || ' sites without a submission' END), '') AS notes FROM t""")
 def portfolio_rollup(spark, folder):
+    """Totals, replacement signal and data-quality notes of every account, by grid region."""
     return X.portfolio(registry_run(spark, folder).account_sites)
 
 

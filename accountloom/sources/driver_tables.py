@@ -86,6 +86,7 @@ def shape_filings(rows: DataFrame) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("accidents"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), 1).otherwise(0)
         .alias("recent_accidents"),
+        (n % 4).cast("int").alias("submissions"),
         ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")).alias("is_deregistered"),
         F.col("l_shipdate").alias("filed_at"), F.col("l_extendedprice").alias("version_price"))
 

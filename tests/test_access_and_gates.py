@@ -210,3 +210,14 @@ def test_title_decay_and_third_states(spark):
     assert sorted(r["id"] for r in X.third_states(df).collect()) == [3, 4]
     got = {r["id"]: r["confidence"] for r in X.title_decay(df, "as_of", "2024-07-15").collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_portfolio_says_what_it_rests_on(spark):
+    sites = spark.createDataFrame([("A", "r", 100, 1, True, 3), ("A", "r", 900, 0, False, 0), ("A", "s", 50, 1, True, 1),
+                                   ("B", "r", 10, 0, True, None)],
+                                  "account string, rto string, charge_lb long, accidents int, validated boolean, submissions int")
+    got = {(r["account"], r["rto"]): r for r in X.portfolio(sites).collect()}
+    a = got["A", None]
+    assert (a["sites"], a["charge_lb"], a["submissions"], a["cadence"], a["replacement_sites"]) == (3, 150, 4, 2.0, 1)
+    assert a["notes"] == "1 sites held below validation; 1 sites without a submission"
+    assert got["A", "s"]["notes"] is None and got["B", None]["cadence"] is None and got[None, None]["sites"] == 4
