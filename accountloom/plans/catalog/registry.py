@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -366,6 +367,18 @@ def grid_of_state(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", state.alias("state"), M.rto_of_state(state).alias("rto"))
 
 
+def _raw_filings(spark, folder):
+    """The view's filings in the shape the registry serves them."""
+    return filings(spark, folder).select(
+        F.lit("7").alias("dataset_version"), F.lit("CC BY-SA 4.0").alias("licence"), F.lit("the registry").alias("attribution"),
+        F.col("facility_id").alias("facilityId"), F.col("facility_name").alias("facilityName"), "city", "state",
+        F.col("parent_name").alias("parentCompanyName"), F.col("operator_name").alias("operatorName"),
+        F.col("is_deregistered").alias("isDeregistered"), F.col("naics").alias("naicsCode"),
+        F.col("accidents").alias("allAccidentsCount"),
+        F.transform("chemicals", lambda c: F.struct(
+            c["id"].alias("chemicalId"), c["name"].alias("chemicalName"), c["quantity"].alias("quantity"))).alias("chemicals"))
+
+
 @query("landed_filings", S.BASE + """
 SELECT facility_id, coalesce(parent_name, '') AS parent_name, facility_name, city, state, naics, greatest(charge_lb, 0) AS charge_lb,
   accidents::INTEGER AS accidents, is_deregistered FROM filings""")
@@ -374,17 +387,40 @@ def landed_filings(spark, folder):
     from accountloom.sources import snapshots
     from accountloom.streaming.events import work_folder
 
-    raw = filings(spark, folder).select(
-        F.lit("7").alias("dataset_version"), F.lit("CC BY-SA 4.0").alias("licence"), F.lit("the registry").alias("attribution"),
-        F.col("facility_id").alias("facilityId"), F.col("facility_name").alias("facilityName"), "city", "state",
-        F.col("parent_name").alias("parentCompanyName"), F.col("operator_name").alias("operatorName"),
-        F.col("is_deregistered").alias("isDeregistered"), F.col("naics").alias("naicsCode"),
-        F.col("accidents").alias("allAccidentsCount"),
-        F.transform("chemicals", lambda c: F.struct(
-            c["id"].alias("chemicalId"), c["name"].alias("chemicalName"), c["quantity"].alias("quantity"))).alias("chemicals"))
+    raw = _raw_filings(spark, folder)
     path = work_folder(spark, "landed")
     earlier = raw.withColumns({"ord": F.lit(0).cast("long"), "city": F.lit("elsewhere")})
     earlier.unionByName(raw.withColumn("ord", F.lit(1).cast("long"))).write.json(path)
     read = snapshots.normalise(snapshots.keep_last_filing(snapshots.read_landed(spark, path)))
     return read.select("facility_id", F.coalesce("parent_name", F.lit("")).alias("parent_name"), "facility_name", "city",
                        "state", "naics", "charge_lb", "accidents", "is_deregistered")
+
+
+@query("snapshot_envelopes", S.BASE + """
+SELECT facility_id, '7' AS dataset_version, 'CC BY-SA 4.0' AS licence, 'the registry' AS attribution, facility_name, city, state,
+  greatest(charge_lb, 0) AS charge_lb, accidents::INTEGER AS accidents FROM filings""")
+def snapshot_envelopes(spark, folder):
+    """Filings as snapshot envelopes, one JSON object per file of the export, read back with their provenance."""
+    from accountloom.sources import snapshots
+    from accountloom.streaming.events import work_folder
+
+    raw = _raw_filings(spark, folder)
+    items = raw.select(F.to_json(F.struct(*[c for c in raw.columns if c not in ("dataset_version", "licence", "attribution")])).alias("value"))
+
+    def enveloped(frames):
+        yield pd.DataFrame({"value": ['{"meta": {"dataset_version": "7", "licence": "CC BY-SA 4.0", "attribution": "the registry"},'
+                                      ' "facilities": [']})
+        first = True
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"value": ["" if first and i == 0 else ", " for i in range(len(frame))]}) + frame
+                first = False
+        yield pd.DataFrame({"value": ["]}"]})
+
+    path = work_folder(spark, "envelopes")
+    items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(enveloped, "value string").write.text(path)
+    read = snapshots.read_snapshot(spark, path)
+    shaped = snapshots.normalise(snapshots.keep_last_filing(read)).select(
+        "facility_id", "facility_name", "city", "state", "charge_lb", "accidents")
+    return shaped.join(read.select(F.col("facilityId").alias("facility_id"), "dataset_version", "licence", "attribution"), "facility_id")
+
