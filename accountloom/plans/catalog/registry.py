@@ -221,6 +221,23 @@ def queue_ranked_counts(spark, folder):
     return queue.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+_KINDS = "', '".join(RQ.KIND_ORDER)
+
+
+@query("queue_ranked", _QUEUE + f""",
+severe AS (SELECT *, CASE WHEN kind IN ('merge_rescue', 'unresolved_name') THEN 1 WHEN kind = 'operator_is_person' THEN 3 ELSE 2 END AS level FROM queue)
+SELECT kind, facility_id, account, reported_name, action, CASE level WHEN 1 THEN 'blocking' WHEN 2 THEN 'waiting' ELSE 'info' END AS severity,
+  row_number() OVER (ORDER BY level, list_position(['{_KINDS}'], kind), coalesce(facility_id, ''), coalesce(account, ''), coalesce(reported_name, '')) AS rank
+FROM severe""")
+def queue_ranked(spark, folder):
+    """The review queue as the one list that is worked off: by severity, kind and name."""
+    queue = RQ.with_severity(registry_run(spark, folder).review_queue)
+    rows = queue.select("kind", "kind_ord", "severity", "facility_id", "account", "reported_name", "action").withColumns({
+        f"_{c}": F.coalesce(c, F.lit("")) for c in ("facility_id", "account", "reported_name")})
+    order = [RQ.by_severity(), F.asc("kind_ord"), F.asc("_facility_id"), F.asc("_account"), F.asc("_reported_name")]
+    return O.global_rank(rows, order).select("kind", "facility_id", "account", "reported_name", "action", "severity", "rank")
+
+
 @query("unresolved_names", S.FLAGGED + """
 SELECT facility_id, reported, city, state FROM sites LEFT JOIN spellings USING (reported) WHERE key IS NULL""")
 def unresolved_names(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accountloom.functions import names as N
@@ -127,7 +127,11 @@ def with_severity(queue: DataFrame) -> DataFrame:
         .when(F.col("kind") == "operator_is_person", "info").otherwise("waiting"))
 
 
-def ranked(queue: DataFrame, severities: tuple[str, ...] = ("blocking", "waiting", "info")) -> list:
-    """Sort columns of the one ranked list: severity first, then age."""
-    order = F.array_position(F.array(*map(F.lit, severities)), F.col("severity"))
-    return [order.asc(), F.col("created_at").asc()]
+def by_severity(severities: tuple[str, ...] = ("blocking", "waiting", "info")) -> Column:
+    """Sort column of the one ranked list: what blocks comes first."""
+    return F.array_position(F.array(*map(F.lit, severities)), F.col("severity")).asc()
+
+
+def ranked(queue: DataFrame) -> list[Column]:
+    """Sort columns of a list whose rows have an age: severity first, then age."""
+    return [by_severity(), F.col("created_at").asc()]
