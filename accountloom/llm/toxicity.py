@@ -236,9 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, *, sample: int = 4
     order = Window.partitionBy("label").orderBy("number", "doc_id")
     picked = (ids.withColumn("number", number).withColumn("nth", F.row_number().over(order))
               .filter(F.col("nth") <= sample).drop("nth"))
-    # one text per id: the one with the least hash
+    # at most 2 * sample ids of three numbers each; one text per id, the one with the least hash
     text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text")
-    held = pin(rows.join(picked, "doc_id").groupBy("doc_id", "label", "number").agg(text.alias("text")), "labelled")
+    held = pin(rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "number").agg(text.alias("text")), "labelled")
     learnt, line = held.filter("number % 5 > 0"), held.filter("number % 5 = 0")
 
     docs_of = {r["label"]: r["count"] for r in learnt.groupBy("label").count().collect()}
