@@ -27,6 +27,7 @@ from accountloom.llm.tokens import default_tokenizer, encoder
 from accountloom.session import pin
 
 SCHEMA = "slice int, pos int, doc_id long, first_token long, n_tokens long, ids array<int>"
+SLICE_BYTES = 4 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1_000
@@ -40,7 +41,7 @@ def encode_slices(tokenizer: str, end_id: int):
         number = TaskContext.get().partitionId()
         pos = tokens = 0
         for batch in batches:
-            for part in row_slices(batch, "text"):
+            for part in row_slices(batch, "text", SLICE_BYTES):
                 offsets, ids = encoder(tokenizer).encode(part.column("text"))
                 rows = part.num_rows
                 ids = np.insert(ids.astype(np.int32), offsets[1:], end_id)

@@ -25,6 +25,7 @@ PRINTABLE_BYTES = (range(33, 127), range(161, 173), range(174, 256))
 
 ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 STOPS = ".,;:!?"
+MEMO_LETTERS = 64
 
 
 def _byte_alphabet() -> str:
@@ -38,8 +39,9 @@ def _byte_alphabet() -> str:
 class BatchEncoder:
     """Ids of text columns by one tokenizer file; equal to its ``encode_batch``.
 
-    ``memo_limit`` bounds the words a worker remembers, in two generations; a word that
-    is forgotten is encoded again, which changes nothing else.
+    ``memo_limit`` bounds the words a worker remembers, in two generations of words of up
+    to ``MEMO_LETTERS`` characters; a word that is forgotten is encoded again, which
+    changes nothing else.
     """
 
     def __init__(self, path: str, memo_limit: int = 300_000) -> None:
@@ -69,12 +71,16 @@ class BatchEncoder:
                 self.memo[key] = found
         return found
 
+    def _remember(self, key: str, ids: bytes) -> None:
+        if len(key) <= MEMO_LETTERS:
+            self.memo[key] = ids
+
     def _piece(self, piece: str) -> bytes:
         found = self._recall(piece)
         if found is None:
             shown = charmap_decode(piece.encode(), "strict", self.alphabet)[0]
             found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.memo[piece] = found
+            self._remember(piece, found)
         return found
 
     def _part(self, part: str) -> bytes:
@@ -90,7 +96,7 @@ class BatchEncoder:
                     found = self._piece(word)
                     return found + self._piece(part[len(word):]) if len(word) < len(part) else found
                 found = b"".join([self._piece(p) for p in self.split(part)])
-            self.memo[part] = found
+            self._remember(part, found)
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
