@@ -167,63 +167,48 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int64)
 
 
-def _search(prints: np.ndarray, distance: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Components of a set of fingerprints, and the links of a search through each."""
-    label = np.full(prints.shape[1], -1)
-    left, right = [], []
-    unseen, number = np.arange(prints.shape[1]), 0
-    while len(unseen):
-        queue, unseen = [unseen[0]], unseen[1:]
-        label[queue] = number
-        while queue and len(unseen):
-            at = queue.pop()
-            near = _distance(prints[:, unseen], prints[:, at][:, None]) <= distance
-            if near.any():
-                found, unseen = unseen[near], unseen[~near]
-                label[found] = number
-                left.append(np.full(len(found), at))
-                right.append(found)
-                queue.extend(found)
-        number += 1
-    return label, left, right
-
-
-def _crowded_links(prints: np.ndarray, own: np.ndarray, value: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a bucket in which most rows are near each other.
-
-    Table entries get the links of a search.  Look-ups that share a value are table
-    entries elsewhere and are connected there, so one link from each of their
-    components to each component of this table is enough.
+def _crowded_links(prints: np.ndarray, distance: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a bucket in which most rows are near each other: a least spanning forest and near neighbours.
+
+    Links are ordered by distance, then by their fingerprints, so the forest is the only
+    one: it joins what is joined at any distance up to ``distance``, holds the nearest
+    neighbour of every row, and buckets that share rows tend to share its links.
+    ``nearest`` more neighbours of every row are handed on as well.
     """
-    table = np.flatnonzero(own == value)
-    label, left, right = _search(prints[:, table], distance)
-    left, right = [table[i] for i in left], [table[i] for i in right]
-    asking = np.flatnonzero(own != value)
-    unit, units = np.zeros(len(asking), np.int64), 0
-    for other in np.unique(own[asking]).tolist():
-        rows = np.flatnonzero(own[asking] == other)
-        found, _, _ = _search(prints[:, asking[rows]], distance)
-        unit[rows] = found + units
-        units += int(found.max()) + 1
-    step = max(1, PAIRS // max(1, len(table)))
-    for low in range(0, len(asking), step):
-        rows = asking[low:low + step]
-        near = _distance(prints[:, rows][:, :, None], prints[:, table][:, None, :]) <= distance
-        i, j = np.nonzero(near)
-        _, first = np.unique(np.stack([unit[low + i], label[j]]), axis=1, return_index=True)
-        left.append(rows[i[first]])
-        right.append(table[j[first]])
-    if not left:
-        return prints[:, :0], prints[:, :0]
-    return prints[:, np.concatenate(left)], prints[:, np.concatenate(right)]
-
-
-def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int, segments: Sequence[tuple[int, int]],
-                  levels: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    prints = prints[:, np.lexsort(prints[::-1])]
+    size = prints.shape[1]
+    unseen, best, origin = np.arange(1, size), np.full(size - 1, np.iinfo(np.int64).max), np.zeros(size - 1, np.int64)
+    left, right, at = [], [], 0
+    for left_over in range(size - 1, -1, -1):
+        if nearest:
+            apart = _distance(prints, prints[:, at][:, None])
+            apart[at] = distance + 1
+            near = np.argpartition(apart, min(nearest, size - 1))[:nearest] if size > nearest else np.arange(size)
+            near = near[apart[near] <= distance]
+            left += [at] * len(near)
+            right += near.tolist()
+        if not left_over:
+            break
+        gap = _distance(prints[:, unseen], prints[:, at][:, None])
+        weight = (gap * size + np.minimum(at, unseen)) * size + np.maximum(at, unseen)
+        closer = weight < best
+        best[closer], origin[closer] = weight[closer], at
+        i = int(best.argmin())
+        if best[i] // (size * size) <= distance:
+            left.append(int(origin[i]))
+            right.append(int(unseen[i]))
+        at = int(unseen[i])
+        for held in (unseen, best, origin):
+            held[i] = held[left_over - 1]
+        unseen, best, origin = unseen[:left_over - 1], best[:left_over - 1], origin[:left_over - 1]
+    return prints[:, np.array(left, np.int64)], prints[:, np.array(right, np.int64)]
+
+
+def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int,
+                  nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links within whole buckets; rows are sorted by bucket, table entries first.
 
-    A crowded bucket hands on the spanning links of each of the smaller distances
-    ``levels`` as well, so that what is near has a link that is near.
+    A crowded bucket, with more links than twice its rows, hands on a spanning forest.
     """
     key = bucket >> 1
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -252,19 +237,15 @@ def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int, segment
         rights.append(prints[:, right[keep]])
         low = high
     for k in np.flatnonzero(links > 2 * size).tolist():
-        value, number = divmod(int(key[start[k]]), len(segments))
-        part = prints[:, start[k]:start[k] + size[k]]
-        own = _segment(part, segments, number)
-        for level in (*levels, distance):
-            a, b = _crowded_links(part, own, value, level)
-            lefts.append(a)
-            rights.append(b)
+        a, b = _crowded_links(prints[:, start[k]:start[k] + size[k]], distance, nearest)
+        lefts.append(a)
+        rights.append(b)
     return np.concatenate(lefts, axis=1), np.concatenate(rights, axis=1)
 
 
-def _links(distance: int, names: Sequence[str], segments: Sequence[tuple[int, int]], levels: Sequence[int]):
+def _links(distance: int, names: Sequence[str], nearest: int):
     def emit(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        a, b = _bucket_links(bucket, prints, distance, segments, levels)
+        a, b = _bucket_links(bucket, prints, distance, nearest)
         columns = [np.ascontiguousarray(side[k]).view(np.int64) for side in (a, b) for k in range(len(names))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
                                           names=[f"{side}_{n}" for side in ("u", "v") for n in names])
@@ -295,7 +276,7 @@ def _as_text(names: Sequence[str], prefix: str = "") -> Column:
 
 
 def links(prints: DataFrame, distance: int = 4, segments: Sequence[tuple[int, int]] = SEGMENTS,
-          levels: Sequence[int] = ()) -> DataFrame:
+          nearest: int = 0) -> DataFrame:
     """``u, v``: links between distinct fingerprints, as hexadecimal text."""
     names = [c for c in prints.columns if c != "doc_id"]
     if sum(w for w, _ in segments) not in (64 * len(names), 128 * len(names)):
@@ -304,7 +285,7 @@ def links(prints: DataFrame, distance: int = 4, segments: Sequence[tuple[int, in
     entries = map_arrow(prints.select(*names).distinct(), _entries(segments, names), f"bucket long, {columns}")
     buckets = entries.repartition(F.shiftright("bucket", 1)).sortWithinPartitions("bucket")
     ends = ", ".join(f"{side}_{n} long" for side in ("u", "v") for n in names)
-    return map_arrow(buckets, _links(distance, names, segments, levels), ends).select(
+    return map_arrow(buckets, _links(distance, names, nearest), ends).select(
         _as_text(names, "u_").alias("u"), _as_text(names, "v_").alias("v"))
 
 
@@ -353,7 +334,8 @@ def shingle_set(text: Column, words: int) -> Column:
 
 
 def similar_groups(docs: DataFrame, *, similarity: float = 0.8, words_per_shingle: int = 5, width: int = 128,
-                   segments: Sequence[tuple[int, int]] = WIDE_SEGMENTS, spread: float = 3.0) -> DataFrame:
+                   segments: Sequence[tuple[int, int]] = WIDE_SEGMENTS, spread: float = 3.0,
+                   nearest: int = 2) -> DataFrame:
     """``doc_id, text_hash, component`` for every row, ``text_hash`` being ``xxhash64(text)``.
 
     Texts are joined if the Jaccard similarity of their shingle sets is at least
@@ -368,7 +350,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, words_per_shingl
     nodes = rows.groupBy("node", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     printed = nodes.select("node", _as_text(names).alias("fingerprint"))
     first = printed.groupBy("fingerprint").agg(F.min("node").alias("first"))
-    near = links(rows.select(*names), distance, segments, range(4, distance, 4)).distinct()
+    near = links(rows.select(*names), distance, segments, nearest).distinct()
     ends = near.join(first.select(F.col("fingerprint").alias("u"), F.col("first").alias("a")), "u").join(
         first.select(F.col("fingerprint").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
     same = printed.join(first, "fingerprint").filter("node <> first").select(

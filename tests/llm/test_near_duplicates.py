@@ -81,6 +81,50 @@ def test_links_of_planted_distances(spark):
     assert len({graph.get(v, v) for v in values}) == len({w for w in want.values()})
 
 
+def all_components(prints, distance):
+    """Components of a search from every fingerprint through all others."""
+    label, unseen, number = np.full(len(prints), -1), np.arange(len(prints)), 0
+    while len(unseen):
+        queue, unseen = [unseen[0]], unseen[1:]
+        while queue:
+            at = queue.pop()
+            label[at] = number
+            near = np.bitwise_count(prints[unseen] ^ prints[at]) <= distance
+            queue += unseen[near].tolist()
+            unseen = unseen[~near]
+        number += 1
+    return label
+
+
+def test_crowded_bucket_gives_the_least_forest_and_near_neighbours():
+    rng = np.random.default_rng(5)
+    prints = np.unique(rng.integers(0, 1 << 62, 30).astype(np.uint64)[:, None]
+                       ^ (np.uint64(1) << rng.integers(0, 62, (30, 9)).astype(np.uint64)))
+    rng.shuffle(prints)
+    gap = {(a, b): bin(a ^ b).count("1") for a, b in itertools.combinations(sorted(prints.tolist()), 2)}
+    root = {p: p for p in prints.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    forest = set()
+    for (a, b), d in sorted(gap.items(), key=lambda e: (e[1], e[0])):
+        if d <= 20 and find(a) != find(b):
+            root[find(a)] = find(b)
+            forest.add((a, b))
+    left, right = simhash._crowded_links(prints[None, :], 20, 0)
+    assert {tuple(sorted(e)) for e in zip(left[0].tolist(), right[0].tolist())} == forest
+    left, right = simhash._crowded_links(prints[None, :], 20, 3)
+    handed = {tuple(sorted(e)) for e in zip(left[0].tolist(), right[0].tolist())}
+    assert forest <= handed and all(gap[e] <= 20 for e in handed)
+    for p in prints.tolist():
+        ranked = sorted(gap[tuple(sorted((p, q)))] for q in prints.tolist() if q != p)
+        mine = sorted(gap[e] for e in handed if p in e)
+        assert [d for d in ranked[:3] if d <= 20] == mine[:len([d for d in ranked[:3] if d <= 20])]
+
+
 def test_crowded_buckets_hand_on_few_links_and_lose_no_connection(spark):
     """5,000 near copies: few links per fingerprint, and the same groups as all pairs give."""
     rng = np.random.default_rng(3)
@@ -90,7 +134,7 @@ def test_crowded_buckets_hand_on_few_links_and_lose_no_connection(spark):
     links = simhash.links(spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "b0 long"), 4)
     found = links.distinct()
     assert found.count() < 8 * len(prints)
-    label, _, _ = simhash._search(prints[None, :], 4)
+    label = all_components(prints, 4)
     got = {int(r["node"], 16): r["component"] for r in components.connected_components(found).collect()}
     groups = {}
     for p, k in zip(prints.tolist(), label.tolist()):
@@ -235,3 +279,26 @@ def test_crowded_candidates_keep_every_similar_text(spark):
             root = {k: new if r == old else r for k, r in root.items()}
     assert len(set(root.values())) > 30
     assert len({(root[i], got[i]) for i in sets}) == len(set(root.values())) == len(set(got.values()))
+
+
+def test_partners_in_a_crowded_group_stay_together(spark):
+    """600 texts that resemble each other at about 0.63, each with one partner at 0.82."""
+    rng = random.Random(21)
+    words = [f"z{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for pair in range(300):
+        head = list(base)
+        for p in rng.sample(range(0, 300, 5), 7):
+            head[p] = rng.choice(words)
+        copy = list(head)
+        for p in rng.sample(range(2, 300, 5), 6):
+            copy[p] = rng.choice(words)
+        rows += [(2 * pair, " ".join(head)), (2 * pair + 1, " ".join(copy))]
+    sets = {i: shingles(t) for i, t in rows}
+    partners = [k for k in range(300)
+                if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])]
+    got = {r["doc_id"]: r["component"] for r in
+           simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    together = sum(got[2 * k] == got[2 * k + 1] for k in partners)
+    assert len(partners) > 100 and together >= 0.95 * len(partners)
