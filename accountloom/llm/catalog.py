@@ -57,8 +57,8 @@ def op3_chat_examples(spark: SparkSession, folder: str) -> DataFrame:
         spark.sql(f"""select cast(-1 as bigint) conv_id, cast(turn as bigint) turn, role, '{control}' text
                       from values (0, 'user'), (1, 'assistant') as t(turn, role)"""))
     path = work_path(spark, "chat")
-    chat.format_conversations(rows).write.option("compression", "zstd").parquet(path)
-    return chat.conversation_digest(spark.read.schema(chat.TURNS).parquet(path))
+    chat.expand_conversations(rows).write.option("compression", "zstd").parquet(path)
+    return chat.examples_digest(spark.read.schema(chat.EXAMPLES).parquet(path))
 
 
 @_query

@@ -114,6 +114,35 @@ def test_no_control_string_survives_in_a_text():
     assert chat.parse_turn(chat.format_turn("a\nb\\", "x\ny")[0])[:2] == ("a\nb\\", "x\ny")
 
 
+def test_examples_are_written_out_and_read_back(spark, tmp_path):
+    rows = conversations(spark)
+    path = str(tmp_path / "examples")
+    chat.expand_conversations(rows).write.parquet(path)
+    written = spark.read.schema(chat.EXAMPLES).parquet(path)
+    turns = chat.format_conversations(rows)
+    assert sorted(map(str, written.collect())) == sorted(map(str, chat.example_texts(turns).collect()))
+    assert written.filter("closes").count() == rows.select("conv_id").distinct().count()
+    assert sorted(map(str, chat.examples_digest(written).collect())) == sorted(
+        map(str, chat.conversation_digest(turns).collect()))
+
+
+def test_op3_reads_its_digest_from_examples(spark, monkeypatch):
+    from accountloom.llm import catalog
+
+    read = []
+    digest = chat.examples_digest
+    monkeypatch.setattr(chat, "examples_digest", lambda e: read.append(e.count()) or digest(e))
+    got = catalog.QUERIES["op3_chat_examples"](spark, "/root/testdata/sf0.001").collect()
+    replies = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").filter("role = 'assistant'").count() + 1
+    assert read and read[0] >= replies and -1 in {r["conv_id"] for r in got}
+
+
+def test_overlapping_control_strings_are_escaped():
+    for text in ("<|>", "<<s>|>", "<</s>", "<|>|>", "[INST]<<SYS>>|>"):
+        escaped = chat.escape(text)
+        assert not any(c in escaped for c in chat.CONTROLS) and chat.unescape(escaped) == text
+
+
 def test_a_long_conversation_is_not_expanded_in_the_files(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(4000)]
     turns = chat.format_conversations(conversations(spark, rows))
