@@ -296,3 +296,16 @@ def test_a_page_may_land_once(spark, tmp_path):
         (tmp_path / name).write_text(json.dumps({"meta": META, "page": 1, "total": 2, "facilities": [filing(1)]}))
     with pytest.raises(ValueError):
         read_pages(spark, str(tmp_path))
+
+
+def test_landed_filings_are_compressed_and_merge_to_the_last(spark, tmp_path, monkeypatch):
+    from accountloom.plans.catalog import registry as C
+    from accountloom.sources.driver_tables import filings
+    from accountloom.streaming import events
+
+    monkeypatch.setattr(events, "work_folder", lambda spark, label: str(tmp_path / label))
+    got = C.landed_filings(spark, "/root/testdata/sf0.001")
+    files = [f.name for f in (tmp_path / "landed").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    wanted = filings(spark, "/root/testdata/sf0.001").select("facility_id", "city")
+    assert sorted(got.select("facility_id", "city").collect()) == sorted(wanted.collect())
