@@ -10,7 +10,9 @@ look-ups of one value stand together after a sort, the complete distance is veri
 there, and a crowded bucket hands on only links that connect something new.
 
 ``similar_groups`` uses such links as candidates only: the texts behind each are compared
-by the Jaccard similarity of their shingle sets before they make a group.
+by the Jaccard similarity of their shingle sets before they make a group.  Where links were
+left out, in crowded buckets and behind equal fingerprints, the groups found so far are then
+compared in full.
 
 Defined results: a null or blank text has fingerprint zero and links like any other;
 a text with fewer words than a shingle is one shingle; equal fingerprints are one
@@ -41,6 +43,7 @@ WIDE_SEGMENTS = ((16, 1),) * 16  # 128 bits twice, the second time in another or
 STRIDE = 9  # odd, so that every bit of a fingerprint comes once
 BLOCK = 1 << 13
 PAIRS = 1 << 22
+BLOCK_SHINGLES = 1 << 20  # of either side of a block of the full comparison
 
 # FIXED VALUES: multipliers that derive further words of a fingerprint from a shingle's hash
 _STEP, _MIX_A, _MIX_B = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -205,8 +208,8 @@ def _crowded_links(prints: np.ndarray, distance: int, nearest: int) -> tuple[np.
 
 
 def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int,
-                  nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links within whole buckets; rows are sorted by bucket, table entries first.
+                  nearest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within whole buckets, and which are of crowded ones; rows are sorted by bucket, table entries first.
 
     A crowded bucket, with more links than twice its rows, hands on a spanning forest.
     """
@@ -236,19 +239,21 @@ def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int,
         lefts.append(prints[:, left[keep]])
         rights.append(prints[:, right[keep]])
         low = high
+    whole = len(lefts)
     for k in np.flatnonzero(links > 2 * size).tolist():
         a, b = _crowded_links(prints[:, start[k]:start[k] + size[k]], distance, nearest)
         lefts.append(a)
         rights.append(b)
-    return np.concatenate(lefts, axis=1), np.concatenate(rights, axis=1)
+    crowded = np.repeat(np.arange(len(lefts)) >= whole, [part.shape[1] for part in lefts])
+    return np.concatenate(lefts, axis=1), np.concatenate(rights, axis=1), crowded
 
 
 def _links(distance: int, names: Sequence[str], nearest: int):
     def emit(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        a, b = _bucket_links(bucket, prints, distance, nearest)
+        a, b, crowded = _bucket_links(bucket, prints, distance, nearest)
         columns = [np.ascontiguousarray(side[k]).view(np.int64) for side in (a, b) for k in range(len(names))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
-                                          names=[f"{side}_{n}" for side in ("u", "v") for n in names])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(crowded)],
+                                          names=[*(f"{side}_{n}" for side in ("u", "v") for n in names), "crowded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_bucket: list[np.ndarray] = []
@@ -277,7 +282,10 @@ def _as_text(names: Sequence[str], prefix: str = "") -> Column:
 
 def links(prints: DataFrame, distance: int = 4, segments: Sequence[tuple[int, int]] = SEGMENTS,
           nearest: int = 0) -> DataFrame:
-    """``u, v``: links between distinct fingerprints, as hexadecimal text."""
+    """``u, v, crowded``: links between distinct fingerprints, as hexadecimal text.
+
+    A link is ``crowded`` if its bucket held more links than it hands on.
+    """
     names = [c for c in prints.columns if c != "doc_id"]
     if sum(w for w, _ in segments) not in (64 * len(names), 128 * len(names)):
         raise ValueError("segments must cover the fingerprint")
@@ -285,8 +293,8 @@ def links(prints: DataFrame, distance: int = 4, segments: Sequence[tuple[int, in
     entries = map_arrow(prints.select(*names).distinct(), _entries(segments, names), f"bucket long, {columns}")
     buckets = entries.repartition(F.shiftright("bucket", 1)).sortWithinPartitions("bucket")
     ends = ", ".join(f"{side}_{n} long" for side in ("u", "v") for n in names)
-    return map_arrow(buckets, _links(distance, names, nearest), ends).select(
-        _as_text(names, "u_").alias("u"), _as_text(names, "v_").alias("v"))
+    return map_arrow(buckets, _links(distance, names, nearest), f"{ends}, crowded boolean").select(
+        _as_text(names, "u_").alias("u"), _as_text(names, "v_").alias("v"), "crowded")
 
 
 def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 5, distance: int = 4, width: int = 64,
@@ -333,15 +341,90 @@ def shingle_set(text: Column, words: int) -> Column:
     return F.array_distinct(F.transform(F.array(hashes), shingles)[0])
 
 
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Elements and lengths of the sets of a block."""
+    sets = table.column("x").combine_chunks()
+    return sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
+
+
+def _missed(similarity: float):
+    def run(asking: pa.Table, others: pa.Table) -> pa.Table:
+        """Pairs of components of one block that hold similar texts, without those that others imply."""
+        ends: list[tuple[int, int]] = []
+        names, label = np.unique(np.concatenate([t.column("component").to_numpy() for t in (asking, others)]),
+                                 return_inverse=True)
+        if asking.num_rows and others.num_rows:
+            mine, theirs = label[:asking.num_rows], label[asking.num_rows:]
+            elements, size = _flat(others)
+            known, place = np.unique(elements, return_inverse=True)
+            start = np.concatenate(([0], np.cumsum(size)[:-1]))
+            asked, asked_size = _flat(asking)
+            found = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            held = known[found] == asked
+            stop = np.cumsum(asked_size)
+            marks, root = np.zeros(len(known), bool), np.arange(len(names))
+            for row, (low, high) in enumerate(zip((stop - asked_size).tolist(), stop.tolist())):
+                if (root[theirs] == root[mine[row]]).all():
+                    continue
+                own = found[low:high][held[low:high]]
+                marks[own] = True
+                shared = np.add.reduceat(marks[place], start, dtype=np.int64)
+                marks[own] = False
+                alike = shared >= similarity * (asked_size[row] + size - shared)
+                for other in np.unique(theirs[alike]).tolist():
+                    if root[other] != root[mine[row]]:
+                        ends.append((int(mine[row]), other))
+                        root[root == root[other]] = root[mine[row]]
+        return pa.table({side: pa.array([names[e[k]] for e in ends], pa.string()) for k, side in enumerate("ab")})
+
+    return run
+
+
+def _missed_links(pairs: DataFrame, texts: DataFrame, groups: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``a, b``: further links between the ``groups`` found so far, which handed-on candidates have not shown.
+
+    Of buckets that hand on a forest, and of texts behind one fingerprint, whatever could be
+    a pair is connected by ``crowded`` candidates.  So within each of their components every
+    text outside the largest group is compared with all texts of other groups, by the exact
+    similarity, in blocks of about ``BLOCK_SHINGLES`` a side.
+    """
+    crowds = connected_components(pairs.filter("crowded"), "a", "b").withColumnRenamed("component", "crowd")
+    members = crowds.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    by_group = members.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_crowds = by_group.groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
+                                                F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    sets = pin(compute_once(members.join(open_crowds, "crowd").join(texts, "node").select(
+        "crowd", "node", "component", (F.col("component") != F.col("largest")).alias("asks"), "text"),
+        x=shingle_set(F.col("text"), words)).drop("text"), "crowd-sets")
+    size = F.size("x").cast("long")
+    blocks = sets.groupBy("crowd").agg(
+        F.ceil(F.sum(F.when(F.col("asks"), size)) / BLOCK_SHINGLES).alias("asking_blocks"),
+        F.ceil(F.sum(size) / BLOCK_SHINGLES).alias("blocks"))
+    placed = sets.join(blocks, "crowd")
+
+    def block(count: str):
+        return F.pmod(F.xxhash64("node"), F.col(count))
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    key = ["crowd", "i", "j"]
+    asking = placed.filter("asks").select("crowd", block("asking_blocks").alias("i"), every("blocks").alias("j"), "component", "x")
+    others = placed.select("crowd", every("asking_blocks").alias("i"), block("blocks").alias("j"), "component", "x").toDF(
+        *asking.columns)  # columns of their own
+    return asking.groupBy(*key).cogroup(others.groupBy(*key)).applyInArrow(_missed(similarity), "a string, b string")
+
+
 def similar_groups(docs: DataFrame, *, similarity: float = 0.8, words_per_shingle: int = 5, width: int = 128,
                    segments: Sequence[tuple[int, int]] = WIDE_SEGMENTS, spread: float = 3.0,
-                   nearest: int = 2) -> DataFrame:
+                   nearest: int = 0) -> DataFrame:
     """``doc_id, text_hash, component`` for every row, ``text_hash`` being ``xxhash64(text)``.
 
     Texts are joined if the Jaccard similarity of their shingle sets is at least
     ``similarity``, directly or through others.  Fingerprints of distinct shingles only
-    choose which texts are compared, one per list of words.  Texts with one fingerprint
-    are compared with the least of them, which stands for them in the other links.
+    choose which texts are compared, one per list of words.  Crowded buckets hand on a
+    forest and texts with one fingerprint the least of them; what this leaves out is
+    compared by ``_missed_links``, so ``nearest`` changes how soon links are found, not which.
     """
     distance, names = distance_for(similarity, width, spread), _names(width)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -349,14 +432,15 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, words_per_shingl
         ["doc_id long, text_hash long, node string", *(f"{n} long" for n in names)])), "fingerprints")
     nodes = rows.groupBy("node", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     printed = nodes.select("node", _as_text(names).alias("fingerprint"))
-    first = printed.groupBy("fingerprint").agg(F.min("node").alias("first"))
-    near = links(rows.select(*names), distance, segments, nearest).distinct()
-    ends = near.join(first.select(F.col("fingerprint").alias("u"), F.col("first").alias("a")), "u").join(
-        first.select(F.col("fingerprint").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    first = printed.groupBy("fingerprint").agg(F.min("node").alias("first"), (F.count(F.lit(1)) > 1).alias("many"))
+    near = links(rows.select(*names), distance, segments, nearest).groupBy("u", "v").agg(F.max("crowded").alias("crowded"))
+    ends = near.join(first.select(F.col("fingerprint").alias("u"), F.col("first").alias("a"), F.col("many").alias("more")), "u").join(
+        first.select(F.col("fingerprint").alias("v"), F.col("first").alias("b"), "many"), "v").select(
+        "a", "b", F.expr("crowded or more or many").alias("crowded"))
     same = printed.join(first, "fingerprint").filter("node <> first").select(
-        F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = pin(ends.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-                "candidates")
+        F.col("first").alias("a"), F.col("node").alias("b"), F.lit(True).alias("crowded"))
+    pairs = pin(ends.unionByName(same).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.max("crowded").alias("crowded")), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(
         "node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
     texts = pin(keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id"]) & (keyed["text_hash"] == wanted["hash"]))
@@ -368,5 +452,8 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, words_per_shingl
     shared = compute_once(sets, n=F.size(F.array_intersect("x", "y")), total=F.size("x") + F.size("y"))
     groups = connected_components(shared.filter(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n")))
                                   .select("a", "b"), "a", "b")
-    return rows.select("doc_id", "text_hash", "node").join(groups, "node", "left").select(
-        "doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+    more = connected_components(_missed_links(pairs, texts, groups, similarity, words_per_shingle), "a", "b").select(
+        F.col("node").alias("group"), F.col("component").alias("whole"))
+    grouped = rows.select("doc_id", "text_hash", "node").join(groups, "node", "left").select(
+        "doc_id", "text_hash", F.coalesce("component", "node").alias("group"))
+    return grouped.join(more, "group", "left").select("doc_id", "text_hash", F.coalesce("whole", "group").alias("component"))

@@ -302,3 +302,41 @@ def test_partners_in_a_crowded_group_stay_together(spark):
            simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     together = sum(got[2 * k] == got[2 * k + 1] for k in partners)
     assert len(partners) > 100 and together >= 0.95 * len(partners)
+
+
+def test_no_partner_in_a_crowded_group_is_lost(spark):
+    """360 texts that are all alike at about 0.7, each with one partner at 0.8 or more: the groups of all pairs."""
+    rng = random.Random(31)
+    words = [f"q{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for pair in range(180):
+        head = list(base)
+        for p in rng.sample(range(0, 300, 5), 5):
+            head[p] = rng.choice(words)
+        copy = list(head)
+        for p in rng.sample(range(2, 300, 5), 6):
+            copy[p] = rng.choice(words)
+        rows += [(2 * pair, " ".join(head)), (2 * pair + 1, " ".join(copy))]
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i, j in itertools.combinations(sets, 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = {k: new if r == old else r for k, r in root.items()}
+    got = {r["doc_id"]: r["component"] for r in
+           simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({(root[i], got[i]) for i in sets}) == len(set(root.values())) == len(set(got.values()))
+    assert 1 < len(set(root.values())) < 180
+
+
+def test_full_comparison_gives_one_link_per_joined_component():
+    import pyarrow as pa
+
+    def block(rows):
+        return pa.table({"component": [c for c, _ in rows], "x": pa.array([x for _, x in rows], pa.list_(pa.int64()))})
+
+    others = [("a", [1, 2, 3, 4]), ("a", [1, 2, 3, 4, 5]), ("b", [1, 2, 3, 4, 6]), ("c", [7, 8]), ("d", [9])]
+    got = simhash._missed(0.8)(block([("b", [1, 2, 3, 4, 6]), ("c", [7, 8]), ("e", [9]), ("f", [99])]), block(others))
+    assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist())) == [("b", "a"), ("e", "d")]
+    assert simhash._missed(0.8)(block([]), block(others)).num_rows == 0
