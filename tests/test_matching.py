@@ -109,6 +109,15 @@ def test_similar_tokens_are_found_both_ways(spark, a, b):
     assert ({(a, b), (b, a)} if similar(a, b) else set()) == got
 
 
+def test_dense_numbers_meet_only_numbers_that_are_one_edit_apart(spark):
+    words = [str(1_000_000 + 7 * k) for k in range(300)] + ["10000071", "100007", "aabbccdd", "aabccdd", "abbccdd", "aabbccd"]
+    left = spark.createDataFrame([(w,) for w in words], "token string")
+    want = {(a, b) for a in words for b in words if a != b and 7 <= max(len(a), len(b)) and levenshtein(a, b) == 1}
+    assert {tuple(r) for r in M.similar_tokens(left, left).collect()} == want
+    met = M._one_edit_apart(left.toDF("x"), left.toDF("y")).filter("x <> y")
+    assert {tuple(r) for r in met.collect()} == want and met.count() <= 2 * len(want)
+
+
 CASES = [("VersaCold Logistics", "Americold Logistics", False), ("Sysco Charlotte, LLC", "Sysco Corporation", True),
          ("United Global Foods", "United Natural Foods Inc.", False), ("Penske Logistics", "VersaCold Logistics", False),
          ("Vertical Cold Storage", "Sodus Cold Storage", False)]
