@@ -309,3 +309,19 @@ def test_landed_filings_are_compressed_and_merge_to_the_last(spark, tmp_path, mo
     assert files and all(f.endswith(".json.gz") for f in files)
     wanted = filings(spark, "/root/testdata/sf0.001").select("facility_id", "city")
     assert sorted(got.select("facility_id", "city").collect()) == sorted(wanted.collect())
+
+
+def test_generated_code_of_the_site_step_is_small_enough_to_be_compiled(spark):
+    from accountloom.plans.catalog.demo import COLD_DEMO
+    from accountloom.sources.driver_tables import filings
+
+    named = P.with_reported(P.active(filings(spark, "/root/testdata/sf0.001")), COLD_DEMO)
+    sites = P.with_details(named).select(*P.SITE_COLUMNS, *P.SITE_DETAILS)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # stages are planned when asked for
+    try:
+        stages = sites._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) <= 8000
