@@ -42,7 +42,7 @@ SEGMENTS = ((22, 1), (21, 1), (21, 0))  # (bits, radius): (1+1) + (1+1) + (0+1)
 WIDE_SEGMENTS = ((16, 1),) * 16  # 128 bits twice, the second time in another order
 STRIDE = 9  # odd, so that every bit of a fingerprint comes once
 BLOCK = 1 << 13
-PAIRS = 1 << 22
+PAIRS = 1 << 19  # compared at once; more would take a large share of a worker's memory
 BLOCK_SHINGLES = 1 << 20  # of either side of a block of the full comparison
 
 # FIXED VALUES: multipliers that derive further words of a fingerprint from a shingle's hash
@@ -211,7 +211,7 @@ def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int,
                   nearest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links within whole buckets, and which are of crowded ones; rows are sorted by bucket, table entries first.
 
-    A crowded bucket, with more links than twice its rows, hands on a spanning forest.
+    A crowded bucket, with more links than twice its rows, hands on a spanning forest and no other links.
     """
     key = bucket >> 1
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -220,7 +220,7 @@ def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int,
     group = np.repeat(np.arange(len(start)), size)
     # every row is compared with the table entries before it
     count = np.minimum(np.arange(len(key)) - start[group], tables[group])
-    lefts, rights = [prints[:, :0]], [prints[:, :0]]
+    linked = [np.zeros((2, 0), np.int64)]
     links = np.zeros(len(start), np.int64)
     ends = np.cumsum(count)
     low = 0
@@ -236,15 +236,17 @@ def _bucket_links(bucket: np.ndarray, prints: np.ndarray, distance: int,
         owner = group[left]
         links += np.bincount(owner, minlength=len(start))
         keep = links[owner] <= 2 * size[owner]
-        lefts.append(prints[:, left[keep]])
-        rights.append(prints[:, right[keep]])
+        linked.append(np.stack((left[keep], right[keep])))
         low = high
-    whole = len(lefts)
-    for k in np.flatnonzero(links > 2 * size).tolist():
+    full = links > 2 * size
+    left, right = np.concatenate(linked, axis=1)
+    left, right = left[~full[group[left]]], right[~full[group[left]]]  # found before their bucket was full
+    lefts, rights = [prints[:, left]], [prints[:, right]]
+    for k in np.flatnonzero(full).tolist():
         a, b = _crowded_links(prints[:, start[k]:start[k] + size[k]], distance, nearest)
         lefts.append(a)
         rights.append(b)
-    crowded = np.repeat(np.arange(len(lefts)) >= whole, [part.shape[1] for part in lefts])
+    crowded = np.repeat(np.arange(len(lefts)) > 0, [part.shape[1] for part in lefts])
     return np.concatenate(lefts, axis=1), np.concatenate(rights, axis=1), crowded
 
 
