@@ -96,6 +96,25 @@ def test_hot_token_does_not_pair_everything(spark):
     assert all(got[n, 2][0] == ("Depot 0000x" if n != "Depot 0000x" else "Depot 0001x") for n in names[:20])
 
 
+def test_dense_numbers_are_not_all_scored(spark):
+    """Names of dense numbers share one misspelt token with very many; only pairs that may pass are scored."""
+    rng = random.Random(11)
+    names = [f"Depot {1_000_007 + 200 * rng.randrange(300)} {2_000_000 + rng.randrange(300)} {300 + k % 60}" for k in range(400)]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    inputs, candidates = M.token_sets(df, "n", "input"), M.token_sets(df, "n", "candidate")
+    near = M.similar_tokens(M._vocabulary(inputs, "input_d"), M._vocabulary(candidates, "candidate_d"))
+    assert M._through_lists(inputs, candidates, near, 2, M.PAGE).count() <= 15 * len(names) < near.count()
+    assert ours(spark, names[:60], names, 2) == brute(names[:60], names, 2)
+    assert ours(spark, names[:60], names, 3, page=2) == brute(names[:60], names, 3)
+
+
+def test_matches_are_searched_once(spark):
+    """Best and runner-up come out of one search."""
+    df = spark.createDataFrame([("Kingsbury East",), ("Kingsbury West",)], "n string")
+    plan = M.resolve_fuzzy(df, "n", df, "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+
+
 def test_edit_budget():
     assert [M.edits_allowed(n) for n in (6, 7, 12, 13, 18, 19, 24, 25)] == [0, 1, 1, 2, 2, 3, 3, 4]
 
