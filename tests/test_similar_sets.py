@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accountloom.operators import research as X
-from accountloom.operators.matching import similar_names
+from accountloom.operators.matching import score_pairs, similar_names
 from accountloom.operators.similar_sets import connected_components, similar_pairs
 
 
@@ -68,6 +68,24 @@ def test_equal_token_sets_are_linked_to_their_first_name(spark):
                    ("Acme Northgate", "Northgate Acme Harbour"): (0.666667, True)}
 
 
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_every_pair_of_names_above_the_cut(spark, block):
+    """Names with equal tokens included: two of one class, and each of them with each of another."""
+    rng = random.Random(6)
+    stock = ["acme", "harbour", "harbor", "northgate", "northgates", "zed", "kinsbury", "kingsbury", "depot", "west"]
+    names = {" ".join(rng.choices(stock, k=rng.choice([1, 2, 3]))) + rng.choice(["", " Foods", " Group", " inc"]) for _ in range(70)}
+    df = spark.createDataFrame([(n,) for n in [*names, None, "", "Foods"]], "n string")
+    got = similar_names(df, "n", 0.4, every_pair=True, block=block).collect()
+    words = {n: {w for w in n.lower().split() if w not in ("foods", "group", "inc")} for n in names}
+    want = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a in names for b in names if a < b}
+    want = {p: round(s, 6) for p, s in want.items() if s >= 0.4}
+    assert len(got) == len(want) and {(r["account"], r["other"]): round(r["similarity"], 6) for r in got} == want
+    assert len({p for p, s in want.items() if s == 1}) > 15
+    scored = score_pairs(spark.createDataFrame(list(want), "a string, b string"), "a", "b").collect()
+    assert {(r["account"], r["other"]): (round(r["score"], 6), r["acceptable"]) for r in got} == {
+        (r["a"], r["b"]): (round(r["score"], 6), r["acceptable"]) for r in scored}
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 520)]
